@@ -1,4 +1,73 @@
-"""Queries of the text problems over the driver's tables."""
+"""Queries of the text problems 7 to 9 over the driver's tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rootstock.llm import leakage, packing, tokens
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# 7 ---------------------------------------------------------------------------------------------
+
+
+def _capacity(spark: SparkSession, sf: str, name: str) -> int:
+    return table(spark, sf, "pack_size").where(F.col("pack_name") == name).first()["capacity_tokens"]
+
+
+def _packed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    sized = tokens.token_sizes(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return packing.pack(sized, "n_tokens", _capacity(spark, sf, name))
+
+
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's pieces and their containers of medium capacity."""
+    return _packed(spark, sf, "medium")
+
+
+def p7_packed_short(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf, "short")
+
+
+def p7_packed_long(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf, "long")
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers, tokens and share of used space at medium capacity."""
+    return packing.fill_report(_packed(spark, sf, "medium"), _capacity(spark, sf, "medium"))
+
+
+# 8 ---------------------------------------------------------------------------------------------
+
+
+def _leaked(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_item"), doc_id="doc_id", text="text", item="item_no", passage="passage")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Items and the documents that hold their passages."""
+    return _leaked(spark, sf).select(F.col("item").alias("item_no"), "doc_id").distinct()
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Per benchmark and split: items, leaked items and documents that hold any."""
+    found = _leaked(spark, sf).select("item", "doc_id").distinct()
+    items = table(spark, sf, "eval_item").select("item_no", "benchmark", "split")
+    joined = items.join(found, items["item_no"] == found["item"], "left")
+    return joined.groupBy("benchmark", "split").agg(F.count_distinct("item_no").alias("n_items"), F.count_distinct("item").alias("n_leaked"), F.count_distinct("doc_id").alias("n_documents"))
+
+
+QUERIES = {
+    "p7_packed": p7_packed,
+    "p7_packed_short": p7_packed_short,
+    "p7_packed_long": p7_packed_long,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
+}
+ORACLES: dict[str, str] = {}
