@@ -30,6 +30,20 @@ def encoding(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class _Words(dict):
+    """Tokens of a word with the space before it, by the word; counted when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> int:
+        n = len(self.encode(" " + word))
+        if len(word) <= 200:
+            self[word] = n
+        return n
+
+
 class Counter:
     """Number of tokens of a text.
 
@@ -39,28 +53,15 @@ class Counter:
 
     def __init__(self, path: str):
         self._encode = encoding(path).encode_ordinary
-        self._known: dict[str, int] = {}
+        self._words = _Words(self._encode)
 
     def __call__(self, text: str) -> int:
         if _UNSAFE.search(text):
             return len(self._encode(text))
-        known = self._known
+        if len(self._words) > _REMEMBERED:
+            self._words.clear()
         first, *rest = text.split(" ")
-        total = len(self._encode(first))
-        try:
-            return total + sum([known[w] for w in rest])
-        except KeyError:
-            pass
-        if len(known) > _REMEMBERED:
-            known.clear()
-        for w in rest:
-            n = known.get(w)
-            if n is None:
-                n = len(self._encode(" " + w))
-                if len(w) <= 200:
-                    known[w] = n
-            total += n
-        return total
+        return len(self._encode(first)) + sum(map(self._words.__getitem__, rest))
 
 
 def token_sizes(df: DataFrame, text: str, tokenizer: str = TOKENIZER, size: str = "n_tokens") -> DataFrame:
