@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class _Pool:
@@ -98,7 +99,7 @@ def pack(items: DataFrame, size: str, capacity: int, items_per_group: int = 20_0
     pieces = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / capacity).cast("bigint")))
     cut = dealt.withColumn("piece", F.explode(pieces)).withColumn("first", F.col("piece") * capacity).withColumn("length", F.least(F.col("n") - F.col("first"), F.lit(capacity).cast("bigint")))
     parts = cut.select("g", "item", F.col("piece").cast("int").alias("piece"), "first", "length")
-    schema = parts.drop("g").withColumn("container", F.lit(0).cast("bigint")).schema
+    schema = T.StructType([*parts.drop("g").schema.fields, T.StructField("container", T.LongType())])
 
     def fill(t: pa.Table) -> pa.Table:
         length = t["length"].to_numpy()
