@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootstock.llm import leakage, packing, tokens
+from rootstock.llm import leakage, moderation, packing, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,24 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("benchmark", "split").agg(F.count_distinct("item_no").alias("n_items"), F.count_distinct("item").alias("n_leaked"), F.count_distinct("doc_id").alias("n_documents"))
 
 
+# 9 ---------------------------------------------------------------------------------------------
+
+
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Score of every document for abusive, hateful or explicit wording."""
+    return moderation.moderated(table(spark, sf, "documents").select("doc_id", "source", "text"), table(spark, sf, "moderation_sample"), text="text")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose score reaches the threshold."""
+    return p9_scores(spark, sf).where("flagged").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates per source."""
+    return moderation.rates(p9_scores(spark, sf), "source")
+
+
 QUERIES = {
     "p7_packed": p7_packed,
     "p7_packed_short": p7_packed_short,
@@ -69,5 +87,8 @@ QUERIES = {
     "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 ORACLES: dict[str, str] = {}
