@@ -35,7 +35,7 @@ def event_types(events: DataFrame, kind: Column) -> list[str]:
     return sorted(found)
 
 
-def entity_features(events: DataFrame, *, entity: str, time: str, value: str, kind: Column, types: list[str] | None = None, scale: int = 4, rows_per_group: int = 250_000, entities_per_batch: int = 512) -> DataFrame:
+def entity_features(events: DataFrame, *, entity: str, time: str, value: str, kind: Column, types: list[str] | None = None, scale: int = 4, rows_per_group: int = 120_000, entities_per_batch: int = 512) -> DataFrame:
     """One row per entity: (entity, counts, latest, totals), arrays aligned with the sorted `types`.
 
     counts: bigint, 0 for a type the entity never had; latest: timestamp, NULL there; totals: double, the
@@ -58,16 +58,15 @@ def entity_features(events: DataFrame, *, entity: str, time: str, value: str, ki
         rows = rows.join(F.broadcast(sized) if hot <= BROADCAST_ROWS else sized, "__block", "left")
         salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in known.columns]), F.coalesce("__salts", F.lit(1))).cast("int")
         rows = rows.withColumn("__salt", salt).drop("__salts")
-    else:
-        rows = rows.withColumn("__salt", F.lit(0))
-    # One exchange by (block, salt): removing repeated rows and grouping both find their rows in place.
-    once = rows.repartition("__block", "__salt").dropDuplicates()
-    slim = once.select("__block", "__salt", F.col(f"`{entity}`").alias("e"), kind.cast("string").alias("k"), F.col(f"`{time}`").cast("timestamp_ntz").alias("t"), F.col(f"`{value}`").cast("double").alias("v"))
+    # One exchange by block and salt: removing repeated rows and grouping both find their rows in place.
+    place = ["__block", "__salt"] if hot else ["__block"]
+    once = rows.repartition(*place).dropDuplicates()
+    slim = once.select(*place, F.col(f"`{entity}`").alias("e"), kind.cast("string").alias("k"), F.col(f"`{time}`").cast("timestamp_ntz").alias("t"), F.col(f"`{value}`").cast("double").alias("v"))
 
     def encode(group: pa.Table) -> pa.Table:
         return pa.table({"__block": pa.array([group["__block"][0].as_py()], pa.int32()), "state": pa.array([_encode(group, codes, scale)], pa.binary())})
 
-    states = slim.groupBy("__block", "__salt").applyInArrow(encode, "__block int, state binary")
+    states = slim.groupBy(*place).applyInArrow(encode, "__block int, state binary")
     key_type = _arrow_type(key)
     out = T.StructType([T.StructField(entity, key), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("latest", T.ArrayType(T.TimestampNTZType())), T.StructField("totals", T.ArrayType(T.DoubleType()))])
 
