@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rootstock.functions.storage import keep
+
 HASHES = 5
 MAX_BITS = 1 << 26  # 8 MB
 
@@ -34,7 +36,8 @@ def build(keys: DataFrame, column: str, count: int) -> tuple[DataFrame, int]:
     words = positions.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(63).cast("int"))).alias("x"))
     empty = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("x"))
     full = words.unionByName(empty).groupBy("w").agg(F.bit_or("x").alias("x"))
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "x"))), lambda s: s["x"]).alias("words")), bits
+    # Kept: every probe of the filter then reads one stored row instead of planning the aggregation again.
+    return keep(full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "x"))), lambda s: s["x"]).alias("words"))), bits
 
 
 def might_contain(key: Column, words: Column, bits: int) -> Column:
