@@ -9,6 +9,7 @@ share of the passage that is covered, in whatever order; an exact count of the s
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -18,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootstock.llm.text import apart, decoded, readable, words
+from rootstock.llm.text import LIFTED, apart, decoded, readable, words
 
 SEED = 3
+#: What stands around places where something was lifted out.
+_AROUND = re.compile(rf"[^{LIFTED}]{{0,150}}(?:{LIFTED}[^{LIFTED}]{{0,150}})+")
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
 
@@ -141,12 +144,11 @@ class Matcher:
             return []
         plain = decoded(text)
         ids = self._ids(plain)
-        seeds, where = self._seeds(ids)
-        if not len(seeds):
-            return []
-        views = [(ids, seeds, where)]
-        if (other := apart(plain)) is not None:
-            ids = self._ids(other)
+        views = [(ids, *self._seeds(ids))]
+        other = apart(plain)
+        # Only where something was lifted out can there be seeds that the text in place hasn't.
+        if other is not None and (len(views[0][1]) or any(len(self._seeds(self._ids(m[0].replace(LIFTED, "")))[0]) for m in _AROUND.finditer(other))):
+            ids = self._ids(other.replace(LIFTED, ""))
             views.append((ids, *self._seeds(ids)))
         shared: dict[int, set[int]] = defaultdict(set)
         for _, s, _ in views:

@@ -11,7 +11,7 @@ _BREAKS = "br|p|div|li|ul|ol|dl|dt|dd|tr|td|th|table|caption|hr|h[1-6]|blockquot
 _BREAK = re.compile(rf"</?(?:{_BREAKS})\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?:[\s/][^<>]*)?>")
 _REF = re.compile(r"<ref\b[^<>]*?/>|<ref\b[^<>]*>(.*?)</ref\s*>", re.I | re.S)
-_COMMENT = re.compile(r"<!--|-->")
+_COMMENT = re.compile(r"<!--\s*-->|<!--|-->")
 _LINK = re.compile(r"\[\[([^\[\]|]*)((?:\|[^\[\]|]*)*)\]\]")
 _WEB = re.compile(r"\[(?:https?:)?//[^\s\]]+\s*([^\]]*)\]")
 _TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
@@ -73,14 +73,21 @@ def readable(text: str) -> str:
     return _QUOTES.sub("", text) if "''" in text else text
 
 
+#: Stands in a text where something was lifted out.
+LIFTED = "\x00"
+
+
 def apart(text: str) -> str | None:
-    """`decoded` text with footnotes and templates lifted out of the sentences that they interrupt, to the end; None if there are none."""
-    lifted: list[str] = []
+    """`decoded` text with footnotes and templates lifted out of the sentences that they interrupt, to the end; None if there are none.
+
+    LIFTED marks where they were.
+    """
+    held: list[str] = []
 
     def lift(m: re.Match) -> str:
         if m[1]:
-            lifted.append(m[1])
-        return ""
+            held.append(m[1])
+        return LIFTED
 
     out = _REF.sub(lift, text) if "<ref" in text or "<REF" in text or "<Ref" in text else text
     for _ in range(4):
@@ -88,7 +95,7 @@ def apart(text: str) -> str | None:
         if shorter == out:
             break
         out = shorter
-    return None if out == text else out + "\n" + "\n".join(lifted)
+    return None if out == text else out + "\n" + "\n".join(held).replace(LIFTED, "")
 
 
 def words(text: str) -> list[str]:
