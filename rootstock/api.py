@@ -92,7 +92,7 @@ def _window(rdb: Rdb, config: FeatureConfig) -> Compiler:
 def plan_features(rdb: Rdb, key_mappings: Mapping[str, str], config: FeatureConfig | None = None, cutoff: bool = False) -> dict[str, tuple[str, Feature]]:
     """Output name -> (target column, feature tree); no Spark job."""
     config = config or FeatureConfig()
-    primitives = [p if isinstance(p, Primitive) else get_primitive(p) for p in config.agg_primitives]
+    primitives = list(dict.fromkeys(p if isinstance(p, Primitive) else get_primitive(p) for p in config.agg_primitives))
     include = None if config.include_entities is None else frozenset(config.include_entities)
     rules = Rules(primitives, config.multi_hop, include, frozenset(config.ignore_entities or ()))
     arrays = {n: frozenset(f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)) for n, df in rdb.tables.items()}

@@ -164,7 +164,8 @@ class DuckDBAdapter(SqlAdapter):
     def read(self, table: str) -> DataFrame:
         c = self._connect()
         try:
-            arrow = c.execute('select * from "' + table.replace('"', '""') + '"').fetch_arrow_table()
+            found = c.execute('select * from "' + table.replace('"', '""') + '"')
+            arrow = found.to_arrow_table() if hasattr(found, "to_arrow_table") else found.fetch_arrow_table()
         finally:
             c.close()
         df = self.spark.createDataFrame(arrow)
