@@ -9,10 +9,10 @@ share of the passage that is covered, in whatever order; an exact count of the s
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from rootstock.llm.text import LIFTED, apart, decoded, readable, words
 
 SEED = 3
-#: What stands around places where something was lifted out.
-_AROUND = re.compile(rf"[^{LIFTED}]{{0,150}}(?:{LIFTED}[^{LIFTED}]{{0,150}})+")
+#: Characters on either side of a place where something was lifted out that can hold a new seed.
+_REACH = 150
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
 
@@ -79,6 +79,16 @@ def greedy_tiles(p: list[int], d: list[int], shortest: int = SEED) -> list[tuple
         length = max(shortest, length // 2)
 
 
+def _around(text: str) -> Iterator[str]:
+    """What stands around marks of lifted text, without the marks; places near each other come as one."""
+    at = text.find(LIFTED)
+    while at >= 0:
+        left, last = max(0, at - _REACH), at
+        while 0 <= (at := text.find(LIFTED, last + 1)) <= last + 2 * _REACH:
+            last = at
+        yield text[left : last + _REACH].replace(LIFTED, "")
+
+
 @dataclass(frozen=True)
 class PassageIndex:
     """Distinct passages as word ids, and which of them hold a seed."""
@@ -118,16 +128,26 @@ def _keys(ids: np.ndarray) -> np.ndarray:
     return np.where((a > 0) & (b > 0) & (c > 0), (a << 42) | (b << 21) | c, 0)
 
 
+def _least(p: list[int], run: int) -> int:
+    """Fewest distinct sequences in any run of `run` words of the passage."""
+    if len(p) < run:
+        return len(p) + 1
+    keys = _keys(np.array(p, np.int64)).tolist()
+    m = run - SEED + 1
+    return min(len(set(keys[i : i + m])) for i in range(len(keys) - m + 1))
+
+
 class Matcher:
     """Finds an index's passages in texts."""
 
     def __init__(self, index: PassageIndex, run: int, share: float):
         self.index, self.run, self.share = index, run, share
         self._get = index.vocabulary.get
+        self._least = [_least(p, run) for p in index.passages]
 
     def _ids(self, text: str) -> np.ndarray:
-        get = self._get
-        return np.array([get(w, 0) for w in words(readable(text))], np.int64)
+        found = list(map(self._get, words(readable(text)), repeat(0)))
+        return np.array(found, np.int64)
 
     def _seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Seeds in the text (index numbers) and where each stands."""
@@ -147,7 +167,7 @@ class Matcher:
         views = [(ids, *self._seeds(ids))]
         other = apart(plain)
         # Only where something was lifted out can there be seeds that the text in place hasn't.
-        if other is not None and (len(views[0][1]) or any(len(self._seeds(self._ids(m[0].replace(LIFTED, "")))[0]) for m in _AROUND.finditer(other))):
+        if other is not None and (len(views[0][1]) or len(self._seeds(self._ids("\n".join(_around(other))))[0])):
             ids = self._ids(other.replace(LIFTED, ""))
             views.append((ids, *self._seeds(ids)))
         shared: dict[int, set[int]] = defaultdict(set)
@@ -160,7 +180,7 @@ class Matcher:
             share = len(keys) / self.index.distinct[n]
             p = self.index.passages[n]
             # A run of r words has r - 2 sequences in a row; fewer distinct ones only where words repeat.
-            if share < self.share and len(keys) < self._least(p):
+            if share < self.share and len(keys) < self._least[n]:
                 continue
             longest, covered = 0, 0.0
             for ids, _, _ in views:
@@ -171,14 +191,6 @@ class Matcher:
                 out.append((n, longest, share, covered))
         return out
 
-    def _least(self, p: list[int]) -> int:
-        """Fewest distinct sequences in any run of `run` words of the passage."""
-        if len(p) < self.run:
-            return len(p) + 1
-        keys = _keys(np.array(p, np.int64)).tolist()
-        m = self.run - SEED + 1
-        return min(len(set(keys[i : i + m])) for i in range(len(keys) - m + 1))
-
     @staticmethod
     def _local(p: list[int], ids: np.ndarray) -> list[int]:
         """The text's words that the passage has; what lies between them becomes one 0."""
