@@ -20,7 +20,7 @@ NUMERIC, CATEGORY, TEXT, ARRAY, ANY = "numeric", "category", "text", "array", "a
 class Primitive:
     """build(value, time) -> aggregate; time is the child's time column or NULL.
 
-    `window` marks those that a running window can compute: count, sum, mean, min and max.
+    `window` marks those that a running window can compute: count, sum, mean, min, max, std and variance.
     """
 
     name: str
@@ -73,8 +73,8 @@ register_primitive("mean", NUMERIC, NUMERIC, lambda c, t: F.avg(c), window=True)
 register_primitive("sum", NUMERIC, NUMERIC, lambda c, t: F.sum(c), window=True)
 register_primitive("max", NUMERIC, NUMERIC, lambda c, t: F.max(c), window=True, numeric_cast=False)
 register_primitive("min", NUMERIC, NUMERIC, lambda c, t: F.min(c), window=True, numeric_cast=False)
-register_primitive("std", NUMERIC, NUMERIC, lambda c, t: F.stddev_samp(c))
-register_primitive("variance", NUMERIC, NUMERIC, lambda c, t: F.var_samp(c))
+register_primitive("std", NUMERIC, NUMERIC, lambda c, t: F.stddev_samp(c), window=True)
+register_primitive("variance", NUMERIC, NUMERIC, lambda c, t: F.var_samp(c), window=True)
 register_primitive("skewness", NUMERIC, NUMERIC, lambda c, t: F.skewness(c))
 register_primitive("kurtosis", NUMERIC, NUMERIC, lambda c, t: F.kurtosis(c))
 register_primitive("product", NUMERIC, NUMERIC, lambda c, t: F.product(c))

@@ -123,17 +123,18 @@ class Compiler:
         keys = None
         if cut:
             keys = rows.select(F.col(pk).alias("k"), CUT).where(f"k is not null and {CUT} is not null").distinct()
-        if cut and self.strategy == "window" and len(edges) == 1 and all(f.primitive.window and (f.base is None or isinstance(f.base, Identity)) for f in mine) and self._time(edges[0].child):
-            table_of, alias = self._running(keys, edges[0], mine)
-        else:
-            table_of, alias = self._grouped(keys, edges, mine, cut)
-        names |= alias
-        table_of = table_of.withColumnRenamed("k", key)
-        on = F.col(pk) == F.col(key)
-        if cut:
-            table_of = table_of.withColumnRenamed(CUT, again)
-            on = on & (F.col(CUT) == F.col(again))
-        return rows.join(table_of, on, "left").drop(key, again)
+        running = [f for f in mine if f.primitive.window and (f.base is None or isinstance(f.base, Identity))] if cut and self.strategy == "window" and len(edges) == 1 and self._time(edges[0].child) else []
+        rest = [f for f in mine if f not in running]
+        parts = ([self._running(keys, edges[0], running)] if running else []) + ([self._grouped(keys, edges, rest, cut)] if rest else [])
+        for table_of, alias in parts:
+            names |= alias
+            table_of = table_of.withColumnRenamed("k", key)
+            on = F.col(pk) == F.col(key)
+            if cut:
+                table_of = table_of.withColumnRenamed(CUT, again)
+                on = on & (F.col(CUT) == F.col(again))
+            rows = rows.join(table_of, on, "left").drop(key, again)
+        return rows
 
     def _grouped(self, keys: DataFrame | None, edges: tuple[Edge, ...], mine: list[Aggregate], cut: bool) -> tuple[DataFrame, dict[Feature, str]]:
         """(k[, CUT], aggregates) for the keys that have children."""
@@ -213,10 +214,18 @@ class Compiler:
         parts = {("n", None): F.sum(F.when(F.col("probe"), 0).otherwise(1))}
         for v in values.values():
             parts |= {("s", v): F.sum(v), ("c", v): F.count(v), ("lo", v): F.min(v), ("hi", v): F.max(v)}
-        needed = {("n", None)} | {(p, values[f.base.column]) for f in mine if f.base is not None for p in {"mean": ("s", "c"), "sum": ("s",), "min": ("lo",), "max": ("hi",)}[f.primitive.name]}
+        spread = [b for b in bases if any(f.base is not None and f.base.column == b and f.primitive.name in ("std", "variance") for f in mine)]
+        if spread:
+            # Squares are summed around the table's mean, so that little is lost where values are far from 0.
+            middle = child.agg(F.struct(*[F.coalesce(F.avg(cast[b]), F.lit(0.0)).alias(values[b]) for b in spread])).scalar()
+            for b in spread:
+                off = F.col(values[b]) - middle.getField(values[b])
+                parts |= {("d", values[b]): F.sum(off), ("q", values[b]): F.sum(off * off)}
+        terms = {"mean": ("s", "c"), "sum": ("s",), "min": ("lo",), "max": ("hi",), "std": ("d", "q", "c"), "variance": ("d", "q", "c")}
+        needed = {("n", None)} | {(p, values[f.base.column]) for f in mine if f.base is not None for p in terms[f.primitive.name]}
         parts = {k: v for k, v in parts.items() if k in needed}
         name = {k: f"{k[0]}_{k[1]}" for k in parts}
-        again = {"n": F.sum, "s": F.sum, "c": F.sum, "lo": F.min, "hi": F.max}
+        again = {"n": F.sum, "s": F.sum, "c": F.sum, "d": F.sum, "q": F.sum, "lo": F.min, "hi": F.max}
         buckets = both.groupBy("k", "b").agg(*[e.alias(name[k]) for k, e in parts.items()])
         earlier = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
         carried = buckets.select("k", "b", *[again[k[0]](name[k]).over(earlier).alias(f"e_{name[k]}") for k in parts])
@@ -226,12 +235,17 @@ class Compiler:
         met = inside.join(carried, ["k", "b"])
         total = {
             k: F.coalesce(F.col(f"e_{n}"), F.lit(0)) + F.coalesce(F.col(f"i_{n}"), F.lit(0)) if k[0] in ("n", "c")
-            else F.coalesce(F.col(f"e_{n}") + F.col(f"i_{n}"), F.col(f"e_{n}"), F.col(f"i_{n}")) if k[0] == "s"
+            else F.coalesce(F.col(f"e_{n}") + F.col(f"i_{n}"), F.col(f"e_{n}"), F.col(f"i_{n}")) if k[0] in ("s", "d", "q")
             else (F.least if k[0] == "lo" else F.greatest)(F.col(f"e_{n}"), F.col(f"i_{n}"))
             for k, n in name.items()
         }
         alias, out = {f: self._new() for f in mine}, []
         some = total["n", None] > 0
+
+        def variance(v: str) -> Column:
+            n = total["c", v]
+            return F.when(n > 1, F.greatest(F.lit(0.0), total["q", v] - total["d", v] * total["d", v] / n) / (n - 1))
+
         for f in mine:
             v = f.base and values[f.base.column]
             e = {
@@ -240,6 +254,8 @@ class Compiler:
                 "sum": lambda v: total["s", v],
                 "min": lambda v: total["lo", v],
                 "max": lambda v: total["hi", v],
+                "std": lambda v: F.sqrt(variance(v)),
+                "variance": lambda v: variance(v),
             }[f.primitive.name](v)
             if f.base is not None and f.primitive.name in ("min", "max") and isinstance(kinds[f.base.column], T.BooleanType):
                 e = e.cast("boolean")
