@@ -27,8 +27,7 @@ ABBREVIATIONS = {
     "IST": 330, "NPT": 345, "PKT": 300, "SGT": 480, "HKT": 480, "AWST": 480, "KST": 540, "JST": 540, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780,
 }
 # English month names.
-MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-FULL_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 DAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
 _TIME = r"(?P<hour>9{1,2}):(?P<minute>99)(?::(?P<second>99)(?:[.,](?P<fraction>9{1,12}))?)?(?: ?(?P<half>aa|a\.a\.)(?!a))?"
@@ -115,7 +114,8 @@ class _Texts:
 
 
 def _month(word: str) -> int:
-    return next((k + 1 for names in (MONTHS, FULL_MONTHS) for k, n in enumerate(names) if n == word), 0)
+    """Month of a name or of its first three or more letters; 0 for other words."""
+    return next((k + 1 for k, n in enumerate(MONTHS) if len(word) >= 3 and n.startswith(word)), 0)
 
 
 def _zone(text: str) -> tuple[str, int | str]:
