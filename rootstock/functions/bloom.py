@@ -22,17 +22,17 @@ def bits_for(keys: int) -> int:
     return min(MAX_BITS, max(1 << 12, 1 << (10 * max(1, keys) - 1).bit_length()))
 
 
-def _positions(key: Column, bits: int) -> list[Column]:
+def _positions(key: list[Column], bits: int) -> list[Column]:
     """Positions from two 31-bit halves of one hash: their combinations can't overflow."""
-    h = F.xxhash64(key)
+    h = F.xxhash64(*key)
     a, b = h.bitwiseAND(F.lit(2**31 - 1)), F.shiftright(h, 32).bitwiseAND(F.lit(2**31 - 1))
     return [F.pmod(a + F.lit(i) * b, F.lit(bits).cast("bigint")) for i in range(HASHES)]
 
 
-def build(keys: DataFrame, column: str, count: int) -> tuple[DataFrame, int]:
-    """(frame of one row with the array `words`, number of bits). NULL keys aren't held."""
+def build(keys: DataFrame, columns: list[str], count: int) -> tuple[DataFrame, int]:
+    """(frame of one row with the array `words`, number of bits). Keys with a NULL column aren't held."""
     bits = bits_for(count)
-    positions = keys.where(F.col(column).isNotNull()).select(F.explode(F.array(*_positions(F.col(column), bits))).alias("p"))
+    positions = keys.dropna(subset=columns).select(F.explode(F.array(*_positions([F.col(c) for c in columns], bits))).alias("p"))
     words = positions.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(63).cast("int"))).alias("x"))
     empty = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("x"))
     full = words.unionByName(empty).groupBy("w").agg(F.bit_or("x").alias("x"))
@@ -40,11 +40,11 @@ def build(keys: DataFrame, column: str, count: int) -> tuple[DataFrame, int]:
     return keep(full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "x"))), lambda s: s["x"]).alias("words"))), bits
 
 
-def might_contain(key: Column, words: Column, bits: int) -> Column:
-    """False proves that the key isn't among those held; NULL for a NULL key."""
+def might_contain(key: list[Column], words: Column, bits: int) -> Column:
+    """False proves that the key, of no NULL columns, isn't among those held."""
     out = None
     for p in _positions(key, bits):
         word = F.get(words, F.shiftright(p, 6).cast("int"))
         hit = F.call_function("shiftrightunsigned", word, p.bitwiseAND(63).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
         out = hit if out is None else out & hit
-    return F.when(key.isNotNull(), out)
+    return out

@@ -1,7 +1,8 @@
 """References to records that do not exist, told from a schema of links.
 
-For each link a Bloom filter of the parent's keys proves most references without a parent; only
-references that the filter lets through are joined exactly with the parent's keys and lifetimes.
+A Bloom filter of all parents' keys proves most references without a parent; only references that the
+filter lets through are joined exactly with the parents' keys and lifetimes.  Each referring table is
+scanned once, whatever the number of its links.
 """
 
 from __future__ import annotations
@@ -63,31 +64,27 @@ def orphans(links: Sequence[Link], children: dict[str, Child], parents: dict[str
     from their first birth to their last death.  Links to tables that aren't delivered are skipped;
     repeated rows come out once per row.
     """
-    keys: dict[tuple[str, str], tuple[DataFrame, int, tuple[DataFrame, int]]] = {}
-    out = []
-    for link in links:
-        if link.parent not in parents or link.table not in children:
-            continue
-        at = (link.parent, link.parent_column)
-        if at not in keys:
-            lives = _lives(parents[link.parent], link.parent_column)
-            n = parents[link.parent].df.count()
-            keys[at] = (lives, n, bloom.build(lives, "key", n))
-        lives, n, (words, bits) = keys[at]
-        child = children[link.table]
-        column = child.df.schema[link.column]
-        time = F.lit(None).cast("timestamp_ntz") if child.time is None else child.time
-        rows = child.df.select(key_form(F.col(f"`{link.column}`"), column.dataType).alias("key"), F.col(f"`{child.row_id}`").cast("bigint").alias("row_id"), time.cast("timestamp_ntz").alias("time"))
-        # A key that the filter refutes becomes NULL: it needs no join, and without a broadcast it doesn't travel.
-        held = F.when(bloom.might_contain(F.col("key"), words.scalar(), bits), F.col("key"))
-        rows = rows.where("key is not null").select(held.alias("key"), "row_id", "time")
-        checked = join_counted(rows, lives, ["key"], n, "left", broadcast_rows)
-        kind = F.when(F.col("found").isNull(), "missing").when(F.col("born") >= F.col("time"), "late").when(F.col("died") <= F.col("time"), "deleted")
-        checked = checked.select("row_id", "time", kind.alias("kind")).where("kind is not null")
-        out.append(checked.select(F.lit(link.table).alias("table_name"), F.lit(link.column).alias("column_name"), "row_id", "time", "kind"))
-    if not out:
+    used = [k for k in links if k.parent in parents and k.table in children]
+    if not used:
         raise ValueError("no link leads to a delivered table")
-    return reduce(DataFrame.unionByName, out)
+    targets = list(dict.fromkeys((k.parent, k.parent_column) for k in used))
+    lives = reduce(DataFrame.unionByName, [_lives(parents[p], c).withColumn("p", F.lit(i)) for i, (p, c) in enumerate(targets)])
+    n = sum(parents[p].df.count() for p, _ in targets)
+    words, bits = bloom.build(lives, ["p", "key"], n)
+    rows = reduce(DataFrame.unionByName, [_references(children[t], t, [k for k in used if k.table == t], targets) for t in dict.fromkeys(k.table for k in used)])
+    # A key that the filter refutes becomes NULL: it needs no join, and without a broadcast it doesn't travel.
+    held = F.when(bloom.might_contain([F.col("p"), F.col("key")], words.scalar(), bits), F.col("key"))
+    checked = join_counted(rows.withColumn("key", held), lives, ["p", "key"], n, "left", broadcast_rows)
+    kind = F.when(F.col("found").isNull(), "missing").when(F.col("born") >= F.col("time"), "late").when(F.col("died") <= F.col("time"), "deleted")
+    return checked.select("table_name", "column_name", "row_id", "time", kind.alias("kind")).where("kind is not null")
+
+
+def _references(child: Child, name: str, links: list[Link], targets: list[tuple[str, str]]) -> DataFrame:
+    """(table_name, column_name, row_id, time, p, key): all references of a table from one scan; p is the parent's number."""
+    time = F.lit(None).cast("timestamp_ntz") if child.time is None else child.time
+    each = [F.struct(F.lit(k.column).alias("column_name"), F.lit(targets.index((k.parent, k.parent_column))).alias("p"), key_form(F.col(f"`{k.column}`"), child.df.schema[k.column].dataType).alias("key")) for k in links]
+    rows = child.df.select(F.lit(name).alias("table_name"), F.col(f"`{child.row_id}`").cast("bigint").alias("row_id"), time.cast("timestamp_ntz").alias("time"), F.explode(F.array(*each)).alias("r"))
+    return rows.select("table_name", "r.column_name", "row_id", "time", "r.p", "r.key").where("key is not null")
 
 
 def _lives(parent: Parent, column: str) -> DataFrame:
