@@ -51,6 +51,11 @@ def roll_up(states: DataFrame, by: list[str | Column], aggregates: dict[str, Col
     return states.groupBy(*by).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
-def heavy_keys(states: DataFrame, key: str, count: str, total: DataFrame, share: float) -> DataFrame:
-    """Keys whose `count` is at least `share` of the one value in `total`, a frame of one row and column."""
-    return states.where(F.col(key).isNotNull() & (F.col(count) >= F.lit(share) * total.scalar())).select(key)
+def heavy_keys(states: DataFrame, key: str, sides: dict[str, tuple[str, DataFrame]], share: float) -> DataFrame:
+    """(table_name, key): keys whose count is at least `share` of a table's rows, for all sides in one pass over the joined states.
+
+    sides: table name -> (count column, frame of one row and column with the table's number of rows).
+    """
+    heavy = [F.when(F.col(count) >= F.lit(share) * total.scalar(), F.lit(name)) for name, (count, total) in sides.items()]
+    each = states.where(F.col(key).isNotNull()).select(F.explode(F.array(*heavy)).alias("table_name"), key)
+    return each.where("table_name is not null")

@@ -84,12 +84,8 @@ def _states(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Users that hold at least 3 % of a table's rows, from the joined per-key states."""
-    states = _states(spark, sf)
-    one = [
-        eager.heavy_keys(states, "user_key", f"{side}_n", table(spark, sf, name).agg(F.count(F.lit(1))), 0.03).select(F.lit(name).alias("table_name"), "user_key")
-        for side, name in (("i", "interaction"), ("o", "user_orders"))
-    ]
-    return one[0].unionByName(one[1])
+    rows = lambda name: table(spark, sf, name).agg(F.count(F.lit(1)))
+    return eager.heavy_keys(_states(spark, sf), "user_key", {"interaction": ("i_n", rows("interaction")), "user_orders": ("o_n", rows("user_orders"))}, 0.03)
 
 
 def p3_user_join(spark: SparkSession, sf: str) -> DataFrame:
