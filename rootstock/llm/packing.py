@@ -76,20 +76,20 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack(items: DataFrame, size: str, capacity: int, items_per_group: int = 20_000) -> DataFrame:
+def pack(items: DataFrame, size: str, capacity: int, items_per_group: int = 20_000, n_items: int | None = None) -> DataFrame:
     """One row per piece: the columns of `items`, piece, first, length and container.
 
     An item larger than `capacity` is cut into pieces of that size and a rest; `first` is where a piece begins and
     `length` its size.  Items are dealt evenly to groups of about `items_per_group`, which are packed
     apart, so each leaves at most its last container partly filled by chance; containers are
-    numbered group * 2^32 + number.  Items of size 0 or NULL take no space: one row with length 0 and
+    numbered group * 2^32 + number.  `n_items` saves counting rows that are costly to make.  Items of size 0 or NULL take no space: one row with length 0 and
     container NULL.  Repeated rows are items of their own.  Negative sizes are an error.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
     if clash := {"piece", "first", "length", "container"} & set(items.columns):
         raise ValueError(f"columns {sorted(clash)} exist in the items")
-    groups = max(1, -(-items.count() // items_per_group))
+    groups = max(1, -(-(items.count() if n_items is None else n_items) // items_per_group))
     s = F.col(f"`{size}`")
     whole = F.struct(*[F.col(f"`{c}`") for c in items.columns])
     n = F.coalesce(s, F.lit(0)).cast("bigint")

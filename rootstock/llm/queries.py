@@ -20,8 +20,8 @@ def _capacity(spark: SparkSession, sf: str, name: str) -> int:
 
 
 def _packed(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    sized = tokens.token_sizes(table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return packing.pack(sized, "n_tokens", _capacity(spark, sf, name))
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return packing.pack(tokens.token_sizes(documents, "text"), "n_tokens", _capacity(spark, sf, name), n_items=documents.count())
 
 
 def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
