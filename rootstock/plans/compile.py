@@ -10,7 +10,7 @@ strictly before it.  Aggregates then are computed once per distinct (key, cutoff
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from itertools import count
 from typing import Literal
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rootstock.functions.primitives import histogram_aggregate
+from rootstock.functions.primitives import CATEGORY, histogram_aggregate
 from rootstock.plans.nodes import Aggregate, Direct, Edge, Feature, Identity, counts
 from rootstock.rdb import Rdb
 
@@ -123,9 +123,16 @@ class Compiler:
         keys = None
         if cut:
             keys = rows.select(F.col(pk).alias("k"), CUT).where(f"k is not null and {CUT} is not null").distinct()
-        running = [f for f in mine if f.primitive.window and (f.base is None or isinstance(f.base, Identity))] if cut and self.strategy == "window" and len(edges) == 1 and self._time(edges[0].child) else []
-        rest = [f for f in mine if f not in running]
-        parts = ([self._running(keys, edges[0], running)] if running else []) + ([self._grouped(keys, edges, rest, cut)] if rest else [])
+        parts = []
+        if cut and self.strategy == "window" and len(edges) == 1 and self._time(edges[0].child):
+            own = [f for f in mine if f.base is None or isinstance(f.base, Identity)]
+            if running := [f for f in own if f.primitive.window]:
+                parts.append(self._running(keys, edges[0], running))
+            if counted := [f for f in own if f.primitive.kind == "histogram" and f.base.tag == CATEGORY]:
+                parts += self._running_histograms(keys, edges[0], counted)
+            mine = [f for f in mine if not any(f in alias for _, alias in parts)]
+        if mine:
+            parts.append(self._grouped(keys, edges, mine, cut))
         for table_of, alias in parts:
             names |= alias
             table_of = table_of.withColumnRenamed("k", key)
@@ -194,12 +201,39 @@ class Compiler:
 
     # --- running aggregates
 
-    def _running(self, keys: DataFrame, edge: Edge, mine: list[Aggregate]) -> tuple[DataFrame, dict[Feature, str]]:
-        """Aggregates of all children before each cutoff, by windows instead of a join that repeats history.
+    def _before(self, rows: DataFrame, probes: DataFrame, by: list[str], parts: dict[str, Column], again: dict[str, Callable]) -> DataFrame:
+        """(by..., t, e_<part>, i_<part>): per probe the parts over all rows of earlier buckets (e) and over earlier rows of its own (i).
 
-        Children and cutoffs are put in time buckets: a bucket starts from the combined aggregates of
-        all earlier ones, so a window only runs over one bucket of one key.
+        rows and probes have by and t; both are put in time buckets.  A bucket's earlier rows come as combined
+        aggregates, so each window only runs over one bucket of one key.
         """
+        both = rows.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True)), allowMissingColumns=True).withColumn("b", F.date_trunc(self.bucket, "t").cast("timestamp_ntz"))
+        buckets = both.groupBy(*by, "b").agg(*[e.alias(n) for n, e in parts.items()])
+        earlier = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = buckets.select(*by, "b", *[again[n](n).over(earlier).alias(f"e_{n}") for n in parts])
+        # A probe comes before all rows of its own instant, so these are left out: strictly earlier.
+        before = Window.partitionBy(*by, "b").orderBy("t", F.col("probe").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = both.select(*by, "b", "t", "probe", *[e.over(before).alias(f"i_{n}") for n, e in parts.items()]).where("probe")
+        return inside.join(carried, [*by, "b"]).drop("b", "probe")
+
+    def _running_histograms(self, keys: DataFrame, edge: Edge, mine: list[Aggregate]) -> list[tuple[DataFrame, dict[Feature, str]]]:
+        """Aggregates of category columns from the running count of each value: work is cutoffs times a key's values, not times its history."""
+        columns = self._columns(edge.child)
+        time = columns[self.rdb.get_table_metadata(edge.child).time_column]
+        out = []
+        for base in dict.fromkeys(f.base for f in mine):
+            found = [f for f in mine if f.base == base]
+            rows = self._rows(edge.child).select(F.col(columns[edge.column]).alias("k"), F.col(time).alias("t"), F.col(columns[base.column]).alias("v")).dropna()
+            probes = keys.select("k", F.col(CUT).alias("t")).join(rows.select("k", "v").distinct(), "k")
+            number = {"n": F.sum(F.when(F.col("probe"), 0).otherwise(1))}
+            met = self._before(rows, probes, ["k", "v"], number, {"n": F.sum})
+            counts_of = met.select("k", F.col("t").alias(CUT), "v", (F.coalesce("e_n", F.lit(0)) + F.coalesce("i_n", F.lit(0))).alias("n")).where("n > 0")
+            alias = {f: self._new() for f in found}
+            out.append((counts_of.groupBy("k", CUT).agg(*[histogram_aggregate(f.primitive.name, F.col("v"), F.col("n")).alias(alias[f]) for f in found]), alias))
+        return out
+
+    def _running(self, keys: DataFrame, edge: Edge, mine: list[Aggregate]) -> tuple[DataFrame, dict[Feature, str]]:
+        """Aggregates of all children before each cutoff, by windows instead of a join that repeats history."""
         columns = self._columns(edge.child)
         time = columns[self.rdb.get_table_metadata(edge.child).time_column]
         child = self._rows(edge.child)
@@ -209,8 +243,7 @@ class Compiler:
         cast = {b: F.col(columns[b]).cast("int") if isinstance(kinds[b], T.BooleanType) else F.col(columns[b]) for b in bases}
         rows = child.select(F.col(columns[edge.column]).alias("k"), F.col(time).alias("t"), *[cast[b].alias(v) for b, v in values.items()]).where("k is not null and t is not null")
         rows = rows.join(keys.select("k").distinct(), "k", "left_semi")
-        probes = keys.select("k", F.col(CUT).alias("t"), F.lit(True).alias("probe"))
-        both = rows.withColumn("probe", F.lit(False)).unionByName(probes, allowMissingColumns=True).withColumn("b", F.date_trunc(self.bucket, "t").cast("timestamp_ntz"))
+        probes = keys.select("k", F.col(CUT).alias("t"))
         parts = {("n", None): F.sum(F.when(F.col("probe"), 0).otherwise(1))}
         for v in values.values():
             parts |= {("s", v): F.sum(v), ("c", v): F.count(v), ("lo", v): F.min(v), ("hi", v): F.max(v)}
@@ -226,13 +259,7 @@ class Compiler:
         parts = {k: v for k, v in parts.items() if k in needed}
         name = {k: f"{k[0]}_{k[1]}" for k in parts}
         again = {"n": F.sum, "s": F.sum, "c": F.sum, "d": F.sum, "q": F.sum, "lo": F.min, "hi": F.max}
-        buckets = both.groupBy("k", "b").agg(*[e.alias(name[k]) for k, e in parts.items()])
-        earlier = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        carried = buckets.select("k", "b", *[again[k[0]](name[k]).over(earlier).alias(f"e_{name[k]}") for k in parts])
-        before = Window.partitionBy("k", "b").orderBy("t", F.col("probe").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        inside = both.select("k", "b", "t", "probe", *[e.over(before).alias(f"i_{name[k]}") for k, e in parts.items()]).where("probe")
-        # A probe comes before all children of its own instant, so these are left out: strictly earlier.
-        met = inside.join(carried, ["k", "b"])
+        met = self._before(rows, probes, ["k"], {name[k]: e for k, e in parts.items()}, {name[k]: again[k[0]] for k in parts})
         total = {
             k: F.coalesce(F.col(f"e_{n}"), F.lit(0)) + F.coalesce(F.col(f"i_{n}"), F.lit(0)) if k[0] in ("n", "c")
             else F.coalesce(F.col(f"e_{n}") + F.col(f"i_{n}"), F.col(f"e_{n}"), F.col(f"i_{n}")) if k[0] in ("s", "d", "q")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from rootstock.api import FeatureConfig, FeaturePipeline, compute_features
 from rootstock.functions.inference import infer_types
 from rootstock.functions.keys import key_form
+from rootstock.functions.storage import checkpoint_dir
 from rootstock.operators import transforms as tr
-from rootstock.rdb import Rdb
-from rootstock.schema import ColumnSchema, RdbMeta, TableSchema
+from rootstock.rdb import Rdb, create_rdb
+from rootstock.schema import ColumnSchema, RdbMeta, TableFormat, TableSchema
 from rootstock.streaming.incremental import incremental_aggregates
 
 PK, FL, CAT, TXT, DT = "primary_key", "float", "category", "text", "datetime"
@@ -141,6 +143,8 @@ _STATS = {"part.COUNT(lineitem)": "n", _L.format("SUM"): "sum_qty", _L.format("M
 cutoff_count = _cutoff(["count"], {"part.COUNT(lineitem)": "n"})
 cutoff_stats = _cutoff(["count", "sum", "min", "max", "mean"], _STATS)
 cutoff_window = _cutoff(["count", "sum", "min", "max", "mean"], _STATS, "window")
+cutoff_std_window = _cutoff(["std", "count"], {_L.format("STD"): "std_qty"}, "window")
+cutoff_mode_window = _cutoff(["mode", "discrete_entropy"], {"part.MODE(lineitem.l_returnflag)": "mode_flag", "part.DISCRETE_ENTROPY(lineitem.l_returnflag)": "entropy_flag"}, "window")
 cutoff_std = _cutoff(["std"], {_L.format("STD"): "std_qty"})
 cutoff_quantile = _cutoff(["quantile_25", "median"], {_L.format("QUANTILE_25"): "q25", _L.format("MEDIAN"): "median_qty"})
 cutoff_mode = _cutoff(["mode", "discrete_entropy"], {"part.MODE(lineitem.l_returnflag)": "mode_flag", "part.DISCRETE_ENTROPY(lineitem.l_returnflag)": "entropy_flag"})
@@ -232,15 +236,47 @@ def incremental_stream(spark: SparkSession, sf: str) -> DataFrame:
     return incremental_aggregates(spark, f"{sf}/events.parquet", "user_id", "value")
 
 
+def _round_trip(spark: SparkSession, sf: str, fmt: TableFormat, *names: str) -> Rdb:
+    """A database written to the shared folder and read again."""
+    where = f"{checkpoint_dir(spark)}/rdb-{uuid.uuid4().hex}"
+    _rdb(spark, sf, *names).save(where, fmt)
+    return Rdb.load(where, spark, allow_pickle=True)
+
+
+def rdb_save_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Parquet sink and source: the orders of a saved and loaded database."""
+    return _round_trip(spark, sf, TableFormat.PARQUET, "customer", "orders").get_table("orders")
+
+
+def rdb_save_load_npz(spark: SparkSession, sf: str) -> DataFrame:
+    """NumPy sink and source."""
+    return _round_trip(spark, sf, TableFormat.NUMPY, "nation").get_table("nation")
+
+
+def create_rdb_inferred(spark: SparkSession, sf: str) -> DataFrame:
+    """Inferred types, links and time columns of a database made from plain tables."""
+    rdb = create_rdb({n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("customer", "orders")}, "shop", {"customer": "c_custkey", "orders": "o_orderkey"}, [("orders", "o_custkey", "customer", "c_custkey")], {"orders": "o_orderdate"})
+    rows = [(t.name, c.name, str(c.dtype), c.link_to, t.time_column) for t in rdb.metadata.tables for c in t.columns]
+    return spark.createDataFrame(rows, "table_name string, column_name string, dtype string, link_to string, time_column string")
+
+
+def key_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of two tables as strings of one type."""
+    tables = {"nation": spark.read.parquet(f"{sf}/nation.parquet"), "customer": spark.read.parquet(f"{sf}/customer.parquet")}
+    rdb = Rdb(RdbMeta("k", [TableSchema("nation", [ColumnSchema("n_nationkey", PK)]), TableSchema("customer", [ColumnSchema("c_custkey", PK), ColumnSchema("c_nationkey", "foreign_key", "nation.n_nationkey")])]), tables).canonicalize_key_types()
+    rdb.validate_key_consistency()
+    return rdb.get_table("customer").select("c_custkey", "c_nationkey")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "min_slice": min_slice, "direct_depth1": direct_depth1, "direct_chain": direct_chain,
     "agg_count": agg_count, "agg_sum": agg_sum, "agg_minmax": agg_minmax, "agg_mean_int": agg_mean_int, "agg_std": agg_std, "agg_median": agg_median, "agg_quantiles": agg_quantiles,
     "agg_mode": agg_mode, "agg_entropy": agg_entropy, "agg_nunique": agg_nunique, "agg_first_last": agg_first_last, "agg_moments": agg_moments, "agg_join_text": agg_join_text,
     "agg_of_direct": agg_of_direct, "agg_of_agg": _agg_of_agg(False), "agg_of_agg_zero": _agg_of_agg(True), "multi_hop": multi_hop, "multi_hop_cutoff": multi_hop_cutoff, "multi_key": multi_key,
-    "cutoff_count": cutoff_count, "cutoff_stats": cutoff_stats, "cutoff_window": cutoff_window, "cutoff_std": cutoff_std, "cutoff_quantile": cutoff_quantile, "cutoff_mode": cutoff_mode, "cutoff_depth3": cutoff_depth3,
+    "cutoff_count": cutoff_count, "cutoff_stats": cutoff_stats, "cutoff_window": cutoff_window, "cutoff_std": cutoff_std, "cutoff_std_window": cutoff_std_window, "cutoff_mode_window": cutoff_mode_window, "cutoff_quantile": cutoff_quantile, "cutoff_mode": cutoff_mode, "cutoff_depth3": cutoff_depth3,
     "cutoff_forward": cutoff_forward, "target_history": target_history, "dummy_table": dummy_table, "fill_missing_pk": fill_missing_pk, "featurize_datetime": featurize_datetime,
     "filter_redundant": filter_redundant, "canonicalize_types": canonicalize_types, "infer_schema": infer_schema, "key_canonicalize": key_canonicalize, "bool_agg": bool_agg, "pipeline_e2e": pipeline_e2e,
-    "incremental_stream": incremental_stream,
+    "incremental_stream": incremental_stream, "rdb_save_load": rdb_save_load, "rdb_save_load_npz": rdb_save_load_npz, "create_rdb_inferred": create_rdb_inferred, "key_types": key_types,
 }
 
 _BY_PART = "select p.p_partkey, {} from part p left join lineitem l on l.l_partkey = p.p_partkey group by p.p_partkey"
@@ -295,4 +331,18 @@ ORACLES: dict[str, str] = {
     "bool_agg": "select p.p_partkey, avg(cast(l_returnflag = 'R' as int)) as mean_returned, cast(sum(cast(l_returnflag = 'R' as int)) as bigint) as sum_returned, max(l_returnflag = 'R') as any_returned from part p left join lineitem on l_partkey = p.p_partkey group by 1",
     "pipeline_e2e": "select t.event_id, coalesce(a.n, 0) as n, a.m as max_month, a.h as max_hour from events t left join (select t.event_id, count(*) as n, max(month(h.ts)) as m, max(hour(h.ts)) as h from events t join events h on h.user_id = t.user_id and h.ts < t.ts group by 1) a on a.event_id = t.event_id",
     "incremental_stream": "select user_id, count(*) as n, count(value) as n_values, cast(sum(cast(value as decimal(18,4))) as varchar) as total, min(value) as low, max(value) as high from events where user_id is not null group by user_id",
+    "rdb_save_load": "select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey, o_orderdate, o_orderstatus, o_orderpriority, o_totalprice from orders",
+    "rdb_save_load_npz": "select cast(n_nationkey as varchar) as n_nationkey, cast(n_regionkey as varchar) as n_regionkey, n_name from nation",
+    "create_rdb_inferred": " union all ".join(
+        f"select '{t}' as table_name, '{c}' as column_name, {k} as dtype, {link} as link_to, {at} as time_column"
+        for t, c, k, link, at in [
+            ("customer", "c_custkey", "'primary_key'", "null", "null"), ("customer", "c_nationkey", "'float'", "null", "null"), ("customer", "c_acctbal", "'float'", "null", "null"),
+            *[("customer", c, f"case when (select count(distinct {c}) from customer) < 10 then 'category' else 'text' end", "null", "null") for c in ("c_name", "c_mktsegment")],
+            ("orders", "o_orderkey", "'primary_key'", "null", "'o_orderdate'"), ("orders", "o_custkey", "'foreign_key'", "'customer.c_custkey'", "'o_orderdate'"), ("orders", "o_orderdate", "'datetime'", "null", "'o_orderdate'"), ("orders", "o_totalprice", "'float'", "null", "'o_orderdate'"),
+            *[("orders", c, f"case when (select count(distinct {c}) from orders) < 10 then 'category' else 'text' end", "null", "'o_orderdate'") for c in ("o_orderstatus", "o_orderpriority")],
+        ]
+    ),
+    "key_types": "select cast(c_custkey as varchar) as c_custkey, cast(c_nationkey as varchar) as c_nationkey from customer",
+    "agg_moments": "select p.p_partkey, a.s as skew_qty from part p left join (select l_partkey, case when sum(d * d) > 0 then sqrt(count(*)) * sum(d * d * d) / pow(sum(d * d), 1.5) end as s from (select l_partkey, l_quantity - avg(l_quantity) over (partition by l_partkey) as d from lineitem) group by 1) a on a.l_partkey = p.p_partkey",
 }
+ORACLES |= {"cutoff_std_window": ORACLES["cutoff_std"], "cutoff_mode_window": ORACLES["cutoff_mode"]}

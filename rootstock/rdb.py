@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 from pathlib import Path
 
 import pandas as pd
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from rootstock.functions.inference import CATEGORY_THRESHOLD, infer_types, instant, number
 from rootstock.functions.keys import key_text
 from rootstock.schema import ColumnSchema, ColumnType, RdbMeta, Relationship, TableFormat, TableSchema
-from rootstock.sources.files import read_table, write_table
+from rootstock.sources.files import exists, read_bytes, read_table, write_bytes, write_table
 
 log = logging.getLogger(__name__)
 ForeignKey = tuple[str, str, str, str]
@@ -61,14 +62,13 @@ class Rdb:
     def load(cls, path: str | Path, spark: SparkSession | None = None, allow_pickle: bool = False) -> Rdb:
         """Reads metadata.yaml and each table's declared columns; float and datetime columns are coerced, bad values become NULL."""
         spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-        root = Path(path)
-        if not (root / "metadata.yaml").exists():
-            raise FileNotFoundError(f"{root / 'metadata.yaml'} does not exist")
-        meta = RdbMeta.load(root / "metadata.yaml")
+        if not exists(spark, f"{path}/metadata.yaml"):
+            raise FileNotFoundError(f"{path}/metadata.yaml does not exist")
+        meta = RdbMeta.from_dict(yaml.safe_load(read_bytes(spark, f"{path}/metadata.yaml")))
         tables = {}
         for t in meta.tables:
-            where = root / t.source
-            if not where.exists():
+            where = f"{path}/{t.source}"
+            if not exists(spark, where):
                 raise FileNotFoundError(f"data of table {t.name} not found: {where}")
             df = read_table(spark, where, t.format, allow_pickle)
             if missing := [c.name for c in t.columns if c.name not in df.columns]:
@@ -76,15 +76,14 @@ class Rdb:
             tables[t.name] = _coerced(df, t)
         return cls(meta, tables)
 
-    def save(self, path: str | Path) -> None:
-        """Writes <table>.parquet per table and metadata.yaml whose sources name these files."""
-        root = Path(path)
-        root.mkdir(parents=True, exist_ok=True)
-        written = []
+    def save(self, path: str | Path, fmt: TableFormat = TableFormat.PARQUET) -> None:
+        """Writes one file or folder per table and metadata.yaml whose sources name these."""
+        suffix, written = "npz" if fmt == TableFormat.NUMPY else "parquet", []
         for t in self.metadata.tables:
-            write_table(self.tables[t.name], root / f"{t.name}.parquet", TableFormat.PARQUET)
-            written.append(replace(t, source=f"{t.name}.parquet", format=TableFormat.PARQUET))
-        RdbMeta(self.metadata.name, written).save(root / "metadata.yaml")
+            write_table(self.tables[t.name], f"{path}/{t.name}.{suffix}", fmt)
+            written.append(replace(t, source=f"{t.name}.{suffix}", format=fmt))
+        text = yaml.safe_dump(RdbMeta(self.metadata.name, written).to_dict(), sort_keys=False)
+        write_bytes(next(iter(self.tables.values())).sparkSession, f"{path}/metadata.yaml", text.encode())
 
     # --- looking up
 

@@ -1,7 +1,8 @@
-"""Parquet and NumPy archives."""
+"""Parquet and NumPy archives, on any file system that Spark's Hadoop client reaches."""
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 from pathlib import Path
 
@@ -12,6 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from rootstock.schema import TableFormat
 
 
+def _file(spark: SparkSession, path: str | Path):
+    p = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str | Path) -> bool:
+    fs, p = _file(spark, path)
+    return fs.exists(p)
+
+
+def read_bytes(spark: SparkSession, path: str | Path) -> bytes:
+    fs, p = _file(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def write_bytes(spark: SparkSession, path: str | Path, data: bytes) -> None:
+    fs, p = _file(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
 def read_parquet(spark: SparkSession, path: str | Path, allow_pickle: bool = False) -> DataFrame:
     return spark.read.parquet(str(path))
 
@@ -20,7 +49,7 @@ def read_npz(spark: SparkSession, path: str | Path, allow_pickle: bool = False)
     """One array per column, read on the driver: an archive is one compressed file that can't be split. Pickled objects only on request."""
     from rootstock.rdb import as_spark
 
-    with np.load(str(path), allow_pickle=allow_pickle) as z:
+    with np.load(io.BytesIO(read_bytes(spark, path)), allow_pickle=allow_pickle) as z:
         columns = {k: z[k] for k in z.files}
     return as_spark(pd.DataFrame({k: list(v) if v.ndim > 1 else v for k, v in columns.items()}), spark)
 
@@ -45,7 +74,9 @@ def write_parquet(df: DataFrame, path: str | Path) -> None:
 def write_npz(df: DataFrame, path: str | Path) -> None:
     """For small tables: all rows come to the driver."""
     pdf = df.toPandas()
-    np.savez_compressed(str(path), **{c: np.array(pdf[c].to_list()) if len(pdf) and isinstance(pdf[c].iloc[0], (list, np.ndarray)) else pdf[c].to_numpy() for c in pdf.columns})
+    data = io.BytesIO()
+    np.savez_compressed(data, **{c: np.array(pdf[c].to_list()) if len(pdf) and isinstance(pdf[c].iloc[0], (list, np.ndarray)) else pdf[c].to_numpy() for c in pdf.columns})
+    write_bytes(df.sparkSession, path, data.getvalue())
 
 
 WRITERS: dict[str, Callable[[DataFrame, str | Path], None]] = {TableFormat.PARQUET: write_parquet, TableFormat.NUMPY: write_npz}
