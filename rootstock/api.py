@@ -30,8 +30,8 @@ DEFAULT_PRIMITIVES = ("max", "min", "mean", "std", "count", "mode")
 class FeatureConfig:
     """Settings of a computation.
 
-    engine: range (general), window (running aggregates where all aggregates of an edge allow it) or a
-    registered name.  include_entities / ignore_entities restrict the tables that paths may enter.
+    engine: range (cutoffs joined with all earlier rows), window (running aggregates wherever an aggregate allows
+    it), auto (range, but window for keys whose cutoffs would meet more than hot_pairs rows) or a registered name.  include_entities / ignore_entities restrict the tables that paths may enter.
     max_features below 0 means all.  engine_path, chunk_size, n_jobs and concat_chunk_size are accepted
     and have no use here: nothing is staged, and Spark sets the parallelism.
     """
@@ -39,7 +39,7 @@ class FeatureConfig:
     agg_primitives: Sequence[str | Primitive] = DEFAULT_PRIMITIVES
     max_depth: int = 2
     use_cutoff_time: bool = True
-    engine: str = "range"
+    engine: str = "auto"
     engine_path: str | None = None
     max_features: int = -1
     include_entities: Sequence[str] | None = None
@@ -51,6 +51,7 @@ class FeatureConfig:
     multi_hop_with_cutoff: bool = False
     zero_nested_counts: bool = False
     check_unique_keys: bool = False
+    hot_pairs: int = 10_000_000
 
     def with_overrides(self, overrides: Mapping[str, Any] | None) -> FeatureConfig:
         known = {f.name for f in fields(self)}
@@ -79,14 +80,12 @@ def get_engine(name: str) -> Engine:
     return _ENGINES[name]
 
 
-@feature_engine("range")
-def _range(rdb: Rdb, config: FeatureConfig) -> Compiler:
-    return Compiler(rdb, "range", config.zero_nested_counts, config.multi_hop_with_cutoff)
+def _strategy(name: str) -> Engine:
+    return lambda rdb, config: Compiler(rdb, name, config.zero_nested_counts, config.multi_hop_with_cutoff, hot_pairs=config.hot_pairs)
 
 
-@feature_engine("window")
-def _window(rdb: Rdb, config: FeatureConfig) -> Compiler:
-    return Compiler(rdb, "window", config.zero_nested_counts, config.multi_hop_with_cutoff)
+for _name in ("auto", "range", "window"):
+    feature_engine(_name)(_strategy(_name))
 
 
 def plan_features(rdb: Rdb, key_mappings: Mapping[str, str], config: FeatureConfig | None = None, cutoff: bool = False) -> dict[str, tuple[str, Feature]]:

@@ -31,10 +31,12 @@ AGGREGATES_AT_ONCE = 200
 @dataclass
 class Compiler:
     rdb: Rdb
-    strategy: Literal["range", "window"] = "range"
+    strategy: Literal["auto", "range", "window"] = "auto"
     zero_nested_counts: bool = False
     multi_hop_with_cutoff: bool = False
     bucket: str = "day"
+    #: With strategy auto, keys beyond so many pairs of a cutoff and an earlier child are computed by windows.
+    hot_pairs: int = 10_000_000
     _ids: count = field(default_factory=count)
 
     # --- rows of a table
@@ -123,16 +125,19 @@ class Compiler:
         keys = None
         if cut:
             keys = rows.select(F.col(pk).alias("k"), CUT).where(f"k is not null and {CUT} is not null").distinct()
-        parts = []
-        if cut and self.strategy == "window" and len(edges) == 1 and self._time(edges[0].child):
-            own = [f for f in mine if f.base is None or isinstance(f.base, Identity)]
-            if running := [f for f in own if f.primitive.window]:
-                parts.append(self._running(keys, edges[0], running))
-            if counted := [f for f in own if f.primitive.kind == "histogram" and f.base.tag == CATEGORY]:
-                parts += self._running_histograms(keys, edges[0], counted)
-            mine = [f for f in mine if not any(f in alias for _, alias in parts)]
-        if mine:
-            parts.append(self._grouped(keys, edges, mine, cut))
+        linear = [f for f in mine if (f.base is None or isinstance(f.base, Identity)) and (f.primitive.window or (f.primitive.kind == "histogram" and f.base.tag == CATEGORY))]
+        if not (cut and self.strategy != "range" and len(edges) == 1 and self._time(edges[0].child)):
+            linear = []
+        rest = [f for f in mine if f not in linear]
+        parts = [self._grouped(keys, edges, rest, cut)] if rest else []
+        if linear and self.strategy == "window":
+            parts.append(self._linear(keys, edges[0], linear))
+        elif linear:
+            hot = self._hot(keys, edges[0])
+            many, alias = self._linear(keys.join(hot, "k", "left_semi"), edges[0], linear)
+            few, other = self._grouped(keys.join(hot, "k", "left_anti"), edges, linear, cut)
+            names_of = {other[f]: alias[f] for f in linear}
+            parts.append((few.select("k", CUT, *[F.col(o).alias(n) for o, n in names_of.items()]).unionByName(many.select("k", CUT, *names_of.values())), alias))
         for table_of, alias in parts:
             names |= alias
             table_of = table_of.withColumnRenamed("k", key)
@@ -201,6 +206,22 @@ class Compiler:
 
     # --- running aggregates
 
+    def _hot(self, keys: DataFrame, edge: Edge) -> DataFrame:
+        """Keys whose cutoffs would meet more than `hot_pairs` children. If there are none, Spark finds the branch for them empty at run time."""
+        children = self._rows(edge.child).groupBy(F.col(self._columns(edge.child)[edge.column]).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        cuts = keys.groupBy("k").agg(F.count(F.lit(1)).alias("m"))
+        return cuts.join(children, "k").where(F.col("n") * F.col("m") > self.hot_pairs).select("k")
+
+    def _linear(self, keys: DataFrame, edge: Edge, mine: list[Aggregate]) -> tuple[DataFrame, dict[Feature, str]]:
+        """Aggregates before each cutoff in work that grows with rows and cutoffs, not with their product."""
+        running = [f for f in mine if f.primitive.window]
+        tables = [self._running(keys, edge, running)] if running else []
+        tables += self._running_histograms(keys, edge, [f for f in mine if not f.primitive.window])
+        out, alias = tables[0]
+        for table, more in tables[1:]:
+            out, alias = out.join(table, ["k", CUT], "full"), alias | more
+        return out, alias
+
     def _before(self, rows: DataFrame, probes: DataFrame, by: list[str], parts: dict[str, Column], again: dict[str, Callable]) -> DataFrame:
         """(by..., t, e_<part>, i_<part>): per probe the parts over all rows of earlier buckets (e) and over earlier rows of its own (i).
 

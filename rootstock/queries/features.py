@@ -132,9 +132,9 @@ def multi_key(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _cutoff(primitives: list[str], wanted: dict[str, str], engine: str = "range") -> Callable[[SparkSession, str], DataFrame]:
+def _cutoff(primitives: list[str], wanted: dict[str, str], engine: str = "range", hot_pairs: int = 10_000_000) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _features(spark, sf, ["part", "lineitem"], "lineitem", {"l_partkey": "part.p_partkey"}, wanted, keep=["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"], cutoff="l_shipdate", max_depth=2, agg_primitives=primitives, engine=engine)
+        return _features(spark, sf, ["part", "lineitem"], "lineitem", {"l_partkey": "part.p_partkey"}, wanted, keep=["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"], cutoff="l_shipdate", max_depth=2, agg_primitives=primitives, engine=engine, hot_pairs=hot_pairs)
 
     return run
 
@@ -143,6 +143,7 @@ _STATS = {"part.COUNT(lineitem)": "n", _L.format("SUM"): "sum_qty", _L.format("M
 cutoff_count = _cutoff(["count"], {"part.COUNT(lineitem)": "n"})
 cutoff_stats = _cutoff(["count", "sum", "min", "max", "mean"], _STATS)
 cutoff_window = _cutoff(["count", "sum", "min", "max", "mean"], _STATS, "window")
+cutoff_auto = _cutoff(["count", "sum", "min", "max", "mean"], _STATS, "auto", 900)
 cutoff_std_window = _cutoff(["std", "count"], {_L.format("STD"): "std_qty"}, "window")
 cutoff_mode_window = _cutoff(["mode", "discrete_entropy"], {"part.MODE(lineitem.l_returnflag)": "mode_flag", "part.DISCRETE_ENTROPY(lineitem.l_returnflag)": "entropy_flag"}, "window")
 cutoff_std = _cutoff(["std"], {_L.format("STD"): "std_qty"})
@@ -273,7 +274,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "agg_count": agg_count, "agg_sum": agg_sum, "agg_minmax": agg_minmax, "agg_mean_int": agg_mean_int, "agg_std": agg_std, "agg_median": agg_median, "agg_quantiles": agg_quantiles,
     "agg_mode": agg_mode, "agg_entropy": agg_entropy, "agg_nunique": agg_nunique, "agg_first_last": agg_first_last, "agg_moments": agg_moments, "agg_join_text": agg_join_text,
     "agg_of_direct": agg_of_direct, "agg_of_agg": _agg_of_agg(False), "agg_of_agg_zero": _agg_of_agg(True), "multi_hop": multi_hop, "multi_hop_cutoff": multi_hop_cutoff, "multi_key": multi_key,
-    "cutoff_count": cutoff_count, "cutoff_stats": cutoff_stats, "cutoff_window": cutoff_window, "cutoff_std": cutoff_std, "cutoff_std_window": cutoff_std_window, "cutoff_mode_window": cutoff_mode_window, "cutoff_quantile": cutoff_quantile, "cutoff_mode": cutoff_mode, "cutoff_depth3": cutoff_depth3,
+    "cutoff_count": cutoff_count, "cutoff_stats": cutoff_stats, "cutoff_window": cutoff_window, "cutoff_std": cutoff_std, "cutoff_auto": cutoff_auto, "cutoff_std_window": cutoff_std_window, "cutoff_mode_window": cutoff_mode_window, "cutoff_quantile": cutoff_quantile, "cutoff_mode": cutoff_mode, "cutoff_depth3": cutoff_depth3,
     "cutoff_forward": cutoff_forward, "target_history": target_history, "dummy_table": dummy_table, "fill_missing_pk": fill_missing_pk, "featurize_datetime": featurize_datetime,
     "filter_redundant": filter_redundant, "canonicalize_types": canonicalize_types, "infer_schema": infer_schema, "key_canonicalize": key_canonicalize, "bool_agg": bool_agg, "pipeline_e2e": pipeline_e2e,
     "incremental_stream": incremental_stream, "rdb_save_load": rdb_save_load, "rdb_save_load_npz": rdb_save_load_npz, "create_rdb_inferred": create_rdb_inferred, "key_types": key_types,
@@ -345,4 +346,4 @@ ORACLES: dict[str, str] = {
     "key_types": "select cast(c_custkey as varchar) as c_custkey, cast(c_nationkey as varchar) as c_nationkey from customer",
     "agg_moments": "select p.p_partkey, a.s as skew_qty from part p left join (select l_partkey, case when sum(d * d) > 0 then sqrt(count(*)) * sum(d * d * d) / pow(sum(d * d), 1.5) end as s from (select l_partkey, l_quantity - avg(l_quantity) over (partition by l_partkey) as d from lineitem) group by 1) a on a.l_partkey = p.p_partkey",
 }
-ORACLES |= {"cutoff_std_window": ORACLES["cutoff_std"], "cutoff_mode_window": ORACLES["cutoff_mode"]}
+ORACLES |= {"cutoff_auto": ORACLES["cutoff_stats"], "cutoff_std_window": ORACLES["cutoff_std"], "cutoff_mode_window": ORACLES["cutoff_mode"]}
