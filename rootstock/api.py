@@ -31,7 +31,7 @@ class FeatureConfig:
     """Settings of a computation.
 
     engine: range (cutoffs joined with all earlier rows), window (running aggregates wherever an aggregate allows
-    it), auto (range, but window for keys whose cutoffs would meet more than hot_pairs rows) or a registered name.  include_entities / ignore_entities restrict the tables that paths may enter.
+    it), auto (range, but window for keys with more than hot_rows children, which one job per edge counts) or a registered name.  include_entities / ignore_entities restrict the tables that paths may enter.
     max_features below 0 means all.  engine_path, chunk_size, n_jobs and concat_chunk_size are accepted
     and have no use here: nothing is staged, and Spark sets the parallelism.
     """
@@ -51,7 +51,7 @@ class FeatureConfig:
     multi_hop_with_cutoff: bool = False
     zero_nested_counts: bool = False
     check_unique_keys: bool = False
-    hot_pairs: int = 10_000_000
+    hot_rows: int = 10_000
 
     def with_overrides(self, overrides: Mapping[str, Any] | None) -> FeatureConfig:
         known = {f.name for f in fields(self)}
@@ -81,7 +81,7 @@ def get_engine(name: str) -> Engine:
 
 
 def _strategy(name: str) -> Engine:
-    return lambda rdb, config: Compiler(rdb, name, config.zero_nested_counts, config.multi_hop_with_cutoff, hot_pairs=config.hot_pairs)
+    return lambda rdb, config: Compiler(rdb, name, config.zero_nested_counts, config.multi_hop_with_cutoff, hot_rows=config.hot_rows)
 
 
 for _name in ("auto", "range", "window"):

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rootstock.functions.primitives import CATEGORY, histogram_aggregate
+from rootstock.functions.skew import BROADCAST_ROWS
 from rootstock.plans.nodes import Aggregate, Direct, Edge, Feature, Identity, counts
 from rootstock.rdb import Rdb
 
@@ -35,8 +36,9 @@ class Compiler:
     zero_nested_counts: bool = False
     multi_hop_with_cutoff: bool = False
     bucket: str = "day"
-    #: With strategy auto, keys beyond so many pairs of a cutoff and an earlier child are computed by windows.
-    hot_pairs: int = 10_000_000
+    #: With strategy auto, keys with more children than this are computed by windows.
+    hot_rows: int = 10_000
+    _known: dict = field(default_factory=dict)
     _ids: count = field(default_factory=count)
 
     # --- rows of a table
@@ -128,12 +130,14 @@ class Compiler:
         linear = [f for f in mine if (f.base is None or isinstance(f.base, Identity)) and (f.primitive.window or (f.primitive.kind == "histogram" and f.base.tag == CATEGORY))]
         if not (cut and self.strategy != "range" and len(edges) == 1 and self._time(edges[0].child)):
             linear = []
+        hot = self._hot(edges[0]) if linear and self.strategy == "auto" else None
+        if self.strategy == "auto" and hot is None:
+            linear = []
         rest = [f for f in mine if f not in linear]
         parts = [self._grouped(keys, edges, rest, cut)] if rest else []
-        if linear and self.strategy == "window":
+        if linear and hot is None:
             parts.append(self._linear(keys, edges[0], linear))
         elif linear:
-            hot = self._hot(keys, edges[0])
             many, alias = self._linear(keys.join(hot, "k", "left_semi"), edges[0], linear)
             few, other = self._grouped(keys.join(hot, "k", "left_anti"), edges, linear, cut)
             names_of = {other[f]: alias[f] for f in linear}
@@ -206,11 +210,14 @@ class Compiler:
 
     # --- running aggregates
 
-    def _hot(self, keys: DataFrame, edge: Edge) -> DataFrame:
-        """Keys whose cutoffs would meet more than `hot_pairs` children. If there are none, Spark finds the branch for them empty at run time."""
-        children = self._rows(edge.child).groupBy(F.col(self._columns(edge.child)[edge.column]).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-        cuts = keys.groupBy("k").agg(F.count(F.lit(1)).alias("m"))
-        return cuts.join(children, "k").where(F.col("n") * F.col("m") > self.hot_pairs).select("k")
+    def _hot(self, edge: Edge) -> DataFrame | None:
+        """Keys with more than `hot_rows` children, or None if there are none: one counting job per edge."""
+        if edge not in self._known:
+            counts_of = self._rows(edge.child).groupBy(F.col(self._columns(edge.child)[edge.column]).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+            hot = counts_of.where(F.col("k").isNotNull() & (F.col("n") > self.hot_rows)).select("k")
+            found = hot.limit(BROADCAST_ROWS + 1).count()
+            self._known[edge] = None if not found else F.broadcast(hot) if found <= BROADCAST_ROWS else hot
+        return self._known[edge]
 
     def _linear(self, keys: DataFrame, edge: Edge, mine: list[Aggregate]) -> tuple[DataFrame, dict[Feature, str]]:
         """Aggregates before each cutoff in work that grows with rows and cutoffs, not with their product."""

@@ -132,9 +132,9 @@ def multi_key(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _cutoff(primitives: list[str], wanted: dict[str, str], engine: str = "range", hot_pairs: int = 10_000_000) -> Callable[[SparkSession, str], DataFrame]:
+def _cutoff(primitives: list[str], wanted: dict[str, str], engine: str = "range", hot_rows: int = 10_000) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _features(spark, sf, ["part", "lineitem"], "lineitem", {"l_partkey": "part.p_partkey"}, wanted, keep=["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"], cutoff="l_shipdate", max_depth=2, agg_primitives=primitives, engine=engine, hot_pairs=hot_pairs)
+        return _features(spark, sf, ["part", "lineitem"], "lineitem", {"l_partkey": "part.p_partkey"}, wanted, keep=["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"], cutoff="l_shipdate", max_depth=2, agg_primitives=primitives, engine=engine, hot_rows=hot_rows)
 
     return run
 
@@ -143,7 +143,7 @@ _STATS = {"part.COUNT(lineitem)": "n", _L.format("SUM"): "sum_qty", _L.format("M
 cutoff_count = _cutoff(["count"], {"part.COUNT(lineitem)": "n"})
 cutoff_stats = _cutoff(["count", "sum", "min", "max", "mean"], _STATS)
 cutoff_window = _cutoff(["count", "sum", "min", "max", "mean"], _STATS, "window")
-cutoff_auto = _cutoff(["count", "sum", "min", "max", "mean"], _STATS, "auto", 900)
+cutoff_auto = _cutoff(["count", "sum", "min", "max", "mean"], _STATS, "auto", 30)
 cutoff_std_window = _cutoff(["std", "count"], {_L.format("STD"): "std_qty"}, "window")
 cutoff_mode_window = _cutoff(["mode", "discrete_entropy"], {"part.MODE(lineitem.l_returnflag)": "mode_flag", "part.DISCRETE_ENTROPY(lineitem.l_returnflag)": "entropy_flag"}, "window")
 cutoff_std = _cutoff(["std"], {_L.format("STD"): "std_qty"})

@@ -180,13 +180,13 @@ def random_rdb(spark, tables):
     return rs.create_rdb(frames, "n", {n: "id" for n in tables}, [("mid", "root", "root", "id"), ("leaf", "mid", "mid", "id")], {n: "at" for n in tables})
 
 
-@pytest.mark.parametrize(("seed", "engine", "timed", "hot"), [(1, "range", True, 0), (2, "window", True, 0), (3, "range", False, 0), (4, "auto", True, 60), (5, "auto", True, 10**9)])
+@pytest.mark.parametrize(("seed", "engine", "timed", "hot"), [(1, "range", True, 0), (2, "window", True, 0), (3, "range", False, 0), (4, "auto", True, 6), (5, "auto", True, 10**9)])
 def test_same_as_naive_evaluation(spark, seed, engine, timed, hot):
     tables = random_tables(seed)
     r = random.Random(seed)
     target = [(k, r.choice(["r0", "r0", "r1", "r2", "r5", "r8", None]), T0 + timedelta(hours=r.randrange(50))) for k in range(60)]
     df = spark.createDataFrame(target, "k int, root string, cut timestamp_ntz")
-    out = rs.compute_features(random_rdb(spark, tables), df, {"root": "root.id"}, "cut" if timed else None, config_overrides={"max_depth": 3, "engine": engine, "hot_pairs": hot}).collect()
+    out = rs.compute_features(random_rdb(spark, tables), df, {"root": "root.id"}, "cut" if timed else None, config_overrides={"max_depth": 3, "engine": engine, "hot_rows": hot}).collect()
     for x in out:
         for n in NAMES:
             want = naive(tables, "root", x.root, x.cut if timed else None, n)
