@@ -110,12 +110,12 @@ for _how in ("max", "min", "mean"):
 
 
 def histogram_aggregate(name: str, value: Column, n: Column) -> Column:
-    """Aggregates over the rows (value, n) of one key; rows of NULL values are left out before.
+    """Aggregates over the rows (value, n) of one key; rows whose value is NULL are of no account.
 
     mode: the most frequent value, the smallest among equals.  entropy in bits; NULL without values.
     """
     if name == "mode":
-        return F.min_by(value, F.struct(-n, value))
+        return F.min_by(value, F.when(value.isNotNull(), F.struct(-n, value)))
     if name == "discrete_entropy":
         total = F.sum(n)
         h = F.log2(total) - F.sum(n * F.log2(n.cast("double"))) / total

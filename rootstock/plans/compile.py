@@ -176,11 +176,15 @@ class Compiler:
                 plain.append(f.primitive.build(c, time).alias(alias[f]))
         for i in range(0, len(plain), AGGREGATES_AT_ONCE):
             tables.append(child.groupBy(*by).agg(*plain[i : i + AGGREGATES_AT_ONCE]))
-        for b in bases:
-            if found := [f for f in mine if f.base == b and f.primitive.kind == "histogram"]:
-                v = source[b]
-                histogram = child.where(F.col(v).isNotNull()).groupBy(*by, F.col(v).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-                tables.append(histogram.groupBy(*by).agg(*[histogram_aggregate(f.primitive.name, F.col("v"), F.col("n")).alias(alias[f]) for f in found]))
+        counted: dict[str, list[Feature]] = {}
+        for b in dict.fromkeys(f.base for f in mine if f.primitive.kind == "histogram"):
+            counted.setdefault(child.schema[source[b]].dataType.simpleString(), []).append(b)
+        for same in counted.values():
+            # The values of all columns of one type are counted together.
+            each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(source[b]).alias("v")) for i, b in enumerate(same)])).alias("x")
+            histogram = child.select(*by, each).select(*by, "x.i", "x.v").where("v is not null").groupBy(*by, "i", "v").agg(F.count(F.lit(1)).alias("n"))
+            own = [(F.col("i") == i, f) for i, b in enumerate(same) for f in mine if f.base == b and f.primitive.kind == "histogram"]
+            tables.append(histogram.groupBy(*by).agg(*[histogram_aggregate(f.primitive.name, F.when(c, F.col("v")), F.when(c, F.col("n"))).alias(alias[f]) for c, f in own]))
         out_table = tables[0]
         for t in tables[1:]:
             out_table = out_table.join(t, by, "full")
