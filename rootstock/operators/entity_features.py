@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rootstock.functions import bitmaps
+from rootstock.functions.keys import fresh
 from rootstock.functions.skew import BROADCAST_ROWS
 
 MAX_TYPES = 20_000
@@ -50,23 +51,24 @@ def entity_features(events: DataFrame, *, entity: str, time: str, value: str, ki
     key = events.schema[entity].dataType
     block = F.pmod(F.xxhash64(F.col(f"`{entity}`")), F.lit(blocks)).cast("int")
     known = events.where(F.col(f"`{entity}`").isNotNull())
-    sized = known.select(block.alias("__block")).groupBy("__block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * rows_per_group)
-    sized = sized.select("__block", F.ceil(F.col("n") / rows_per_group).cast("int").alias("__salts"))
+    at, salt, salts = (fresh(n, events) for n in ("__block", "__salt", "__salts"))
+    sized = known.select(block.alias(at)).groupBy(at).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * rows_per_group)
+    sized = sized.select(at, F.ceil(F.col("n") / rows_per_group).cast("int").alias(salts))
     hot = sized.limit(BROADCAST_ROWS + 1).count()
-    rows = known.withColumn("__block", block)
+    rows = known.withColumn(at, block)
     if hot:
-        rows = rows.join(F.broadcast(sized) if hot <= BROADCAST_ROWS else sized, "__block", "left")
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in known.columns]), F.coalesce("__salts", F.lit(1))).cast("int")
-        rows = rows.withColumn("__salt", salt).drop("__salts")
+        rows = rows.join(F.broadcast(sized) if hot <= BROADCAST_ROWS else sized, at, "left")
+        spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in known.columns]), F.coalesce(salts, F.lit(1))).cast("int")
+        rows = rows.withColumn(salt, spread).drop(salts)
     # One exchange by block and salt: removing repeated rows and grouping both find their rows in place.
-    place = ["__block", "__salt"] if hot else ["__block"]
+    place = [at, salt] if hot else [at]
     once = rows.repartition(*place).dropDuplicates()
-    slim = once.select(*place, F.col(f"`{entity}`").alias("e"), kind.cast("string").alias("k"), F.col(f"`{time}`").cast("timestamp_ntz").alias("t"), F.col(f"`{value}`").cast("double").alias("v"))
+    slim = once.select(*[F.col(p).alias(a) for p, a in zip(place, ("__block", "__salt"), strict=False)], F.col(f"`{entity}`").alias("e"), kind.cast("string").alias("k"), F.col(f"`{time}`").cast("timestamp_ntz").alias("t"), F.col(f"`{value}`").cast("double").alias("v"))
 
     def encode(group: pa.Table) -> pa.Table:
         return pa.table({"__block": pa.array([group["__block"][0].as_py()], pa.int32()), "state": pa.array([_encode(group, codes, scale)], pa.binary())})
 
-    states = slim.groupBy(*place).applyInArrow(encode, "__block int, state binary")
+    states = slim.groupBy("__block", *["__salt"] * (hot > 0)).applyInArrow(encode, "__block int, state binary")
     key_type = _arrow_type(key)
     out = T.StructType([T.StructField(entity, key), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("latest", T.ArrayType(T.TimestampNTZType())), T.StructField("totals", T.ArrayType(T.DoubleType()))])
 

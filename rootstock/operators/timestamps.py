@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rootstock.functions.keys import fresh
 from rootstock.functions.zones import local_to_utc, tz_version, zone_names
 
 # Usual meaning of zone abbreviations, in minutes east of UTC.
@@ -248,11 +249,14 @@ def with_instants(df: DataFrame, feeds: DataFrame, columns: dict[str, str], feed
     `feeds` (feed, time_zone, day_first) is broadcast; it is refused beyond 100,000 rows.  A feed that
     isn't in it counts as none.  Repeated feeds with different settings are an error.
     """
-    f = feeds.select(F.col("feed").alias("__feed"), F.col("time_zone").alias("__zone"), F.col("day_first").alias("__day")).where("__feed is not null").distinct()
-    n, m = f.agg(F.count(F.lit(1)), F.count_distinct("__feed")).first()
+    if clash := set(columns.values()) & {c for c in df.columns if c not in columns}:
+        raise ValueError(f"columns {sorted(clash)} exist already")
+    at, zone, day = (fresh(n, df) for n in ("__feed", "__zone", "__day"))
+    f = feeds.select(F.col("feed").alias(at), F.col("time_zone").alias(zone), F.col("day_first").alias(day)).where(F.col(at).isNotNull()).distinct()
+    n, m = f.agg(F.count(F.lit(1)), F.count_distinct(at)).first()
     if n > 100_000:
         raise ValueError(f"{n} feeds: too many to broadcast")
     if n != m:
         raise ValueError("a feed has more than one setting")
-    joined = df.join(F.broadcast(f), df[feed] == F.col("__feed"), "left")
-    return joined.withColumns({new: utc_us(F.col(f"`{c}`"), F.col("__zone"), F.col("__day")) for c, new in columns.items()}).drop("__feed", "__zone", "__day")
+    joined = df.join(F.broadcast(f), F.col(f"`{feed}`") == F.col(at), "left")
+    return joined.withColumns({new: utc_us(F.col(f"`{c}`"), F.col(zone), F.col(day)) for c, new in columns.items()}).drop(at, zone, day)

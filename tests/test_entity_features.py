@@ -70,5 +70,6 @@ def test_empty_and_text_keys(spark):
     empty = spark.createDataFrame([], EVENTS)
     assert entity_features(empty, entity="user", time="at", value="value", kind=F.col("kind")).count() == 0
     rows = spark.createDataFrame([("x", "a", None, 1.0), ("x", None, None, 1.0), ("y", None, None, None)], "u string, kind string, at timestamp_ntz, v double")
+    rows = rows.selectExpr("*", "1 as __block", "2 as __salt", "3 as n")
     got = {r.u: r.counts for r in entity_features(rows, entity="u", time="at", value="v", kind=F.col("kind")).collect()}
     assert got == {"x": [1], "y": [0]}

@@ -93,7 +93,7 @@ def test_local_times_against_zoneinfo(zone):
 def test_frames_with_nulls_long_texts_and_bad_feeds(spark):
     feeds = spark.createDataFrame([("a", "Europe/Berlin", True), ("a", "Europe/Berlin", True), (None, "UTC", False)], "feed string, time_zone string, day_first boolean")
     df = spark.createDataFrame([(1, "2023-01-01", "a"), (2, "2023-01-01", None), (3, "2" * 5000, "a"), (4, None, "b")], "id bigint, t string, feed string")
-    got = {r.id: r.u for r in with_instants(df, feeds, {"t": "u"}).collect()}
+    got = {r.id: r.u for r in with_instants(df.selectExpr("*", "1 as __feed", "2 as __zone"), feeds, {"t": "u"}).collect()}
     assert got == {1: us(2023, 1, 1, zone=BERLIN), 2: None, 3: None, 4: None}
     assert with_instants(df.limit(0), feeds, {"t": "u"}).count() == 0
     with pytest.raises(ValueError, match="setting"):
