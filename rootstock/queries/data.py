@@ -133,7 +133,7 @@ PROBABILITIES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.
 
 
 def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles of user_orders.amount per user; states of each order month are made apart and combined."""
+    """Percentiles of user_orders.amount per user, from one state of the whole table; `p5_combined` combines states of parts."""
     o = table(spark, sf, "user_orders")
     state = percentiles.percentile_state(o, {"user_key": key_form(F.col("user_id"), o.schema["user_id"].dataType)}, F.col("amount"))
     return percentiles.percentiles(state, PROBABILITIES)
