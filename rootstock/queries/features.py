@@ -175,6 +175,7 @@ def dummy_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fill_missing_pk(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing parents added; parts of size 25 or less are dropped first to make some missing."""
     rdb = _rdb(spark, sf, "part", "lineitem", part=spark.read.parquet(f"{sf}/part.parquet").where("p_size > 25"))
     return tr.FillMissingPrimaryKey()(rdb).get_table("part").select("p_partkey", "p_name", "p_size")
 
@@ -250,7 +251,7 @@ def rdb_save_load(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rdb_save_load_npz(spark: SparkSession, sf: str) -> DataFrame:
-    """NumPy sink and source."""
+    """NumPy sink and source, over nation only: archives are read on the driver."""
     return _round_trip(spark, sf, TableFormat.NUMPY, "nation").get_table("nation")
 
 
