@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# 7 ---------------------------------------------------------------------------------------------
+# Problem 7
 
 
 def _capacity(spark: SparkSession, sf: str, name: str) -> int:
@@ -42,7 +42,7 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf, "medium"), _capacity(spark, sf, "medium"))
 
 
-# 8 ---------------------------------------------------------------------------------------------
+# Problem 8
 
 
 def _leaked(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,6 +54,12 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return _leaked(spark, sf).select(F.col("item").alias("item_no"), "doc_id").distinct()
 
 
+def p8_method(spark: SparkSession, sf: str) -> DataFrame:
+    """Items and documents by the method's own threshold: tiles of three and more words, in whatever order, cover half of the passage."""
+    found = leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_item"), doc_id="doc_id", text="text", item="item_no", passage="passage", coverage=0.5)
+    return found.select(F.col("item").alias("item_no"), "doc_id").distinct()
+
+
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per benchmark and split: items, leaked items and documents that hold any."""
     found = _leaked(spark, sf).select("item", "doc_id").distinct()
@@ -62,7 +68,7 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("benchmark", "split").agg(F.count_distinct("item_no").alias("n_items"), F.count_distinct("item").alias("n_leaked"), F.count_distinct("doc_id").alias("n_documents"))
 
 
-# 9 ---------------------------------------------------------------------------------------------
+# Problem 9
 
 
 def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,6 +91,7 @@ QUERIES = {
     "p7_packed_short": p7_packed_short,
     "p7_packed_long": p7_packed_long,
     "p7_fill": p7_fill,
+    "p8_method": p8_method,
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p9_found": p9_found,

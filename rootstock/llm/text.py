@@ -17,6 +17,7 @@ _WEB = re.compile(r"\[(?:https?:)?//[^\s\]]+\s*([^\]]*)\]")
 _TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
 _QUOTES = re.compile(r"''+")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
+_AMPERSANDS = re.compile(r"&(?:amp;)+(?=[#a-zA-Z])")
 #: Zero-width and formatting characters, soft hyphens, variation selectors.
 _HIDDEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
 _WORD = re.compile(r"[^\W_]+")
@@ -40,16 +41,15 @@ def _mend(m: re.Match) -> str:
 
 
 def decoded(text: str) -> str:
-    """One encoding per letter: entities resolved (also escaped twice), damaged UTF-8 mended, compatibility forms composed, nothing invisible."""
-    for _ in range(2):
-        if "&" not in text or not _ENTITY.search(text):
+    """One encoding per letter: entities resolved and damaged UTF-8 mended, however often escaped or damaged, compatibility forms composed, nothing invisible."""
+    while "&" in text and _ENTITY.search(text):
+        # An ampersand escaped many times over is taken at once, so that few rounds are needed.
+        plain = html.unescape(_AMPERSANDS.sub("&", text))
+        if plain == text:
             break
-        text = html.unescape(text)
+        text = plain
     if not text.isascii():
-        for _ in range(2):
-            mended = _DAMAGED.sub(_mend, text)
-            if mended == text:
-                break
+        while (mended := _DAMAGED.sub(_mend, text)) != text:
             text = mended
         text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
     return text
@@ -59,15 +59,51 @@ def _label(m: re.Match) -> str:
     return m[2].rpartition("|")[2] if m[2] and m[2].rpartition("|")[2].strip() else m[1]
 
 
+_LINK_PARTS = re.compile(r"(\[+|\]+|\|)")
+
+
+def _links(text: str) -> str:
+    """Links of any depth as their labels, in one pass; a single bracket inside a link leaves it and what is around it as they are."""
+    out: list[str] = []
+    levels: list[tuple[int, list[int]]] = []  # where a link begins in out, and its bars
+    for part in _LINK_PARTS.split(text):
+        if part[:1] == "[":
+            if len(part) & 1:
+                levels.clear()
+                out.append("[")
+            for _ in range(len(part) // 2):
+                levels.append((len(out), []))
+                out.append("[[")
+        elif part[:1] == "]":
+            left = len(part)
+            while left > 1 and levels:
+                begin, bars = levels.pop()
+                left -= 2
+                out[begin] = ""
+                if bars and any(x.strip() for x in out[bars[-1] + 1 :]):
+                    out[begin : bars[-1] + 1] = [""] * (bars[-1] + 1 - begin)
+                elif bars:
+                    out[bars[0] :] = [""] * (len(out) - bars[0])
+            if left:
+                if left & 1 or levels:
+                    levels.clear()
+                out.append("]" * left)
+        elif part == "|":
+            if levels:
+                levels[-1][1].append(len(out))
+            out.append(part)
+        else:
+            out.append(part)
+    return "".join(out)
+
+
 def readable(text: str) -> str:
     """`decoded` text without markup: links show their labels, comments, tables and template arguments stay in place."""
     if "[" in text:
-        for _ in range(3):
-            shown = _LINK.sub(_label, text)
-            if shown == text:
-                break
-            text = shown
-        text = _WEB.sub(r" \1 ", text)
+        shown = _LINK.sub(_label, text)
+        if shown != text and "[[" in shown:
+            shown = _links(text)
+        text = _WEB.sub(r" \1 ", shown)
     if "<" in text:
         text = _TAG.sub("", _BREAK.sub(" ", _COMMENT.sub("", text)))
     return _QUOTES.sub("", text) if "''" in text else text
@@ -90,14 +126,44 @@ def apart(text: str) -> str | None:
         return LIFTED
 
     out = _REF.sub(lift, text) if "<ref" in text or "<REF" in text or "<Ref" in text else text
-    for _ in range(4):
-        shorter = _TEMPLATE.sub(lift, out) if "{{" in out else out
-        if shorter == out:
-            break
-        out = shorter
+    shorter = _TEMPLATE.sub(lift, out) if "{{" in out else out
+    if shorter != out and "{{" in shorter:
+        shorter = _templates(shorter, held)
+    out = shorter
     return None if out == text else out + "\n" + "\n".join(held).replace(LIFTED, "")
 
 
+_BRACES = re.compile(r"(\{+|\}+)")
+
+
+def _templates(text: str, held: list[str]) -> str:
+    """The text with templates of any depth lifted out, in one pass; a single brace inside a template leaves it and what is around it as they are."""
+    out: list[str] = []
+    begins: list[int] = []
+    for part in _BRACES.split(text):
+        if part[:1] == "{":
+            if len(part) & 1:
+                begins.clear()
+                out.append("{")
+            for _ in range(len(part) // 2):
+                begins.append(len(out))
+                out.append("{{")
+        elif part[:1] == "}":
+            left = len(part)
+            while left > 1 and begins:
+                at, left = begins.pop(), left - 2
+                if inner := "".join(out[at + 1 :]):
+                    held.append(inner)
+                out[at:] = [LIFTED]
+            if left:
+                if left & 1 or begins:
+                    begins.clear()
+                out.append("}" * left)
+        else:
+            out.append(part)
+    return "".join(out)
+
+
 def words(text: str) -> list[str]:
     """Words of readable text in lower case, without punctuation."""
     return _WORD.findall(text.casefold() if not text.isascii() else text.lower())

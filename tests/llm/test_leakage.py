@@ -89,3 +89,79 @@ def test_empty_tables(spark):
     call = dict(doc_id="id", text="text", item="item_no", passage="passage")
     assert leaked(d, i, **call).count() == 0 and leaked(d, i.limit(0), **call).count() == 0
     assert Matcher(PassageIndex.of([(1, "a b")]), 12, 0.5)("a b a b") == []
+
+
+def nested(depth, inner="note"):
+    return "{{box|" * depth + inner + "}}" * depth
+
+
+def test_nothing_is_too_deep():
+    p = " ".join(f"w{k}" for k in range(14))
+    half = p.split()
+    for depth in (1, 2, 3, 4, 5, 12, 400):
+        text = " ".join(half[:7]) + " " + nested(depth, "some note here") + " " + " ".join(half[7:])
+        assert Matcher(PassageIndex.of([(1, p)]), 12, 0.9)(text)
+        lifted = words(apart(text).replace(LIFTED, ""))
+        assert lifted[:14] == half and lifted.count("box") == depth
+        assert words(readable("[[a|b " * depth + "c" + " d]]" * depth)) == ["b"] * depth + ["c"] + ["d"] * depth
+        assert decoded("&" + "amp;" * depth + "lt;") == "<"
+    deep = "zähle"
+    for _ in range(5):
+        deep = deep.encode().decode("latin-1")
+    assert decoded(deep) == "zähle"
+
+
+def rounds(pattern, by, text):
+    while (out := pattern.sub(by, text)) != text:
+        text = out
+    return text
+
+
+def test_one_pass_gives_what_rounds_to_the_end_give():
+    from rootstock.llm import text as t
+
+    r = random.Random(3)
+    for _ in range(20_000):
+        # Something stands between signs: what becomes adjacent only as a link vanishes isn't joined.
+        x = "a".join(r.choice(["[[", "]]", "[[", "]]", "[", "]", "|", "[[[", "]]]", "[[[[", "]]]]", " "]) for _ in range(r.randrange(14)))
+        assert t._links(x) == rounds(t._LINK, t._label, x), x
+        x = "a".join(r.choice(["{{", "}}", "{{", "}}", "{", "}", "{{{", "}}}", "{{{{", "}}}}", " "]) for _ in range(r.randrange(14)))
+        held = []
+        assert t._templates(x, held) == rounds(t._TEMPLATE, LIFTED, x), x
+
+
+def test_what_lies_around_marks_is_enough(spark):
+    """Texts that only match where something was lifted out, with long words, markup and marks within words around it."""
+    r = random.Random(5)
+    p = " ".join(r.choice(["a", "longer" * 40, "mill"]) + str(k) for k in range(16))
+    w = p.split()
+    index = PassageIndex.of([(1, p)])
+    for _ in range(200):
+        text = "".join(x + r.choice([" ", " {{n|one two three}} ", "{{x}} ", "<ref>y</ref> ", " '''", "{{a}}{{b}} ", " [[target of many words|"]) for x in w).replace("|", "|", 1)
+        glued = "".join(x[:2] + "{{q}}" + x[2:] + " {{z|" + "k " * 200 + "}} " for x in w)
+        for t in (text, glued):
+            want = brute(p, t)
+            assert bool(Matcher(index, 12, 0.5)(t)) == want
+    assert brute(p, glued)
+
+
+def test_coverage_catches_reordered_passages(spark):
+    p = [f"w{k}" for k in range(40)]
+    pieces = [p[i : i + 5] for i in range(0, 40, 5)]
+    docs = [(1, " x ".join(" ".join(c) for c in pieces[::-1])), (2, " ".join(p[:12])), (3, " ".join(p[::-1])), (4, " ".join(p[:21])), (5, "<ref>" + " ".join(p) + "</ref>")]
+    d, i = spark.createDataFrame(docs, "id bigint, text string"), spark.createDataFrame([(1, " ".join(p)), (2, None)], "item_no bigint, passage string")
+    call = dict(doc_id="id", text="text", item="item_no", passage="passage")
+    got = {r.doc_id: r.covered for r in leaked(d, i, coverage=0.5, **call).collect()}
+    assert got == {1: 1.0, 4: 21 / 40, 5: 1.0}
+    assert {r.doc_id for r in leaked(d, i, **call).collect()} == {1, 2, 4, 5}
+    with pytest.raises(ValueError, match="more than"):
+        leaked(d, i, most_words=10, **call)
+
+
+def test_least_coverage_that_the_rule_implies():
+    r = random.Random(9)
+    for _ in range(400):
+        p = [r.randrange(1, r.choice([3, 5, 40])) for _ in range(r.randrange(3, 30))]
+        d = [r.randrange(1, r.choice([3, 5, 40])) for _ in range(r.randrange(3, 60))]
+        three = lambda x: {tuple(x[i : i + 3]) for i in range(len(x) - 2)}
+        assert sum(k for k, _, _ in greedy_tiles(p, d)) >= 0.3 * len(three(p) & three(d)) - 1e-9
