@@ -42,6 +42,22 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf, "medium"), _capacity(spark, sf, "medium"))
 
 
+def p7_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Per capacity what must hold of every packing: all documents are in it, none in part or twice, none cut that needn't be, no container above its capacity."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    sizes, n, out = tokens.token_sizes(documents, "text"), documents.count(), []
+    for name in ("short", "medium", "long"):
+        capacity = _capacity(spark, sf, name)
+        pieces = packing.pack(sizes, "n_tokens", capacity, n_items=n)
+        whole = pieces.groupBy("doc_id").agg(F.first("n_tokens").alias("n"), F.sum("length").alias("held"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("first").alias("places"), F.max(F.col("container").isNull()).alias("none"))
+        bad = (F.col("held") != F.col("n")) | (F.col("pieces") != F.col("places")) | (F.col("none") & (F.col("n") > 0))
+        cut = (F.col("pieces") > 1) & (F.col("n") <= capacity)
+        told = whole.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if("none").alias("n_empty"), F.count_if(bad).alias("n_broken"), F.count_if(cut).alias("n_cut_in_vain"))
+        full = pieces.where("container is not null").groupBy("container").agg(F.sum("length").alias("held")).agg(F.count_if(F.col("held") > capacity).alias("n_above"))
+        out.append(told.withColumn("n_above", full.scalar()).select(F.lit(name).alias("pack_name"), "*"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # Problem 8
 
 
@@ -91,6 +107,7 @@ QUERIES = {
     "p7_packed_short": p7_packed_short,
     "p7_packed_long": p7_packed_long,
     "p7_fill": p7_fill,
+    "p7_audit": p7_audit,
     "p8_method": p8_method,
     "p8_found": p8_found,
     "p8_report": p8_report,
@@ -98,4 +115,6 @@ QUERIES = {
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p7_audit": "select pack_name, count(*) as n_documents, count(*) filter (coalesce(text, '') = '') as n_empty, cast(0 as bigint) as n_broken, cast(0 as bigint) as n_cut_in_vain, cast(0 as bigint) as n_above from documents cross join pack_size where pack_name in ('short', 'medium', 'long') group by pack_name",
+}
