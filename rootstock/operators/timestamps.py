@@ -31,18 +31,20 @@ ABBREVIATIONS = {
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 DAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
-_TIME = r"(?P<hour>9{1,2}):(?P<minute>99)(?::(?P<second>99)(?:[.,](?P<fraction>9{1,12}))?)?(?: ?(?P<half>aa|a\.a\.)(?!a))?"
+_TIME = r"(?P<hour>9{1,2}):(?P<minute>99)(?::(?P<second>99)(?:[.,](?P<fraction>9+))?)?(?: ?(?P<half>aa|a\.a\.)(?!a))?"
 _ZONE = r"(?P<zone> ?a{1,5}| ?\[[a/_+\-9]+\]| a+(?:/[a_\-]+)+| ?(?:aaa)?[+-]99:?99(?:\[[a/_+\-9]+\])?| ?[+-]99|a\[[a/_+\-9]+\])?"
 #: Layouts over masks; the first that matches wins.
 LAYOUTS = [
     rf"(?P<year>9999)-(?P<month>99)-(?P<day>99)(?:(?: |a|a )?{_TIME}{_ZONE})?",
     rf"(?P<year>9999)(?P<sep>[/.])(?P<month>9{{1,2}})(?P=sep)(?P<day>9{{1,2}})(?:(?: |a){_TIME}{_ZONE})?",
-    r"(?P<year>9999)(?P<month>99)(?P<day>99)(?:a| )(?P<hour>99)(?P<minute>99)(?:(?P<second>99)(?:[.,](?P<fraction>9{1,12}))?)?" + _ZONE,
+    r"(?P<year>9999)(?P<month>99)(?P<day>99)(?:a| )(?P<hour>99)(?P<minute>99)(?:(?P<second>99)(?:[.,](?P<fraction>9+))?)?" + _ZONE,
     rf"(?P<first>9{{1,2}})(?P<sep>[/.\-])(?P<other>9{{1,2}})(?P=sep)(?P<year>9999)(?:,? {_TIME}{_ZONE})?",
     rf"(?:(?P<weekday>a{{3,9}}),? )?(?P<day>9{{1,2}})[ \-](?P<name>a{{3,9}})\.?[ \-](?P<year>9999)(?:,? {_TIME}{_ZONE})?",
     rf"(?:(?P<weekday>a{{3,9}}),? )?(?P<name>a{{3,9}})\.? (?P<day>9{{1,2}}),? (?P<year>9999)(?:,? {_TIME}{_ZONE})?",
-    r"(?P<epoch>9{1,20})(?:\.(?P<part>9{0,12}))?",
+    r"(?P<epoch>9+)(?:\.(?P<part>9*))?",
 ]
+#: All that layouts are made of, as a class of characters.
+CHARACTERS = r"0-9A-Za-z \-/.,:+_\[\]"
 _LAYOUTS = [re.compile(x + r"\Z") for x in LAYOUTS]
 
 
@@ -139,12 +141,14 @@ def _epoch(t: _Texts, p: Parser) -> tuple[np.ndarray, np.ndarray]:
     low, high = 1577836800, 1924992000  # 2020-01-01, 2031-01-01
     a, b = p.spans["epoch"]
     ok, us = np.zeros(len(t.text), bool), np.zeros(len(t.text), np.int64)
-    if b - a > 19:  # leading zeros at most; beyond int64 no unit fits
-        short = np.array([str(int(x[a:b])) for x in t.text])
-        keep = np.char.str_len(short) <= 18
-        whole = np.where(keep, short, "0").astype(np.int64)
+    if b - a > 18:  # leading zeros at most; beyond 19 digits no unit fits
+        short = np.array([x[a:b].lstrip("0") for x in t.text])
+        whole = np.where(np.char.str_len(short) <= 18, np.where(short == "", "0", short), "0").astype("U18").astype(np.int64)
+        nineteen = np.char.str_len(short) == 19
+        if nineteen.any():
+            whole[nineteen] = [min(int(x), 2**63 - 1) for x in short[nineteen]]
     else:
-        whole = t.number((a, b)) if b - a < 19 else np.array([min(int(x[a:b]), 2**63 - 1) for x in t.text], np.int64)
+        whole = t.number((a, b))
     part = t.number(p.spans["part"], 12) if p.has("part") and p.spans["part"][1] > p.spans["part"][0] else np.zeros(len(t.text), np.int64)
     for per_second in (1, 10**3, 10**6, 10**9):
         fits = (whole // per_second >= low) & (whole // per_second < high)
@@ -226,8 +230,8 @@ def to_utc_us(texts: pd.Series, zones: pd.Series, day_first: pd.Series) -> pd.Se
 def utc_us(text: Column, zone: Column, day_first: Column) -> Column:
     """Microseconds since 1970-01-01 UTC of a text in mixed notations; NULL where it names no single instant.
 
-    `zone` and `day_first` describe the row's feed; both NULL for an unknown one.  Empty, NULL and
-    very long texts give NULL.  The zone data must have one version on driver and workers.
+    `zone` and `day_first` describe the row's feed; both NULL for an unknown one.  Empty and NULL texts give NULL;
+    no length is too long.  The zone data must have one version on driver and workers.
     """
     version = tz_version()
 
@@ -238,9 +242,9 @@ def utc_us(text: Column, zone: Column, day_first: Column) -> Column:
         for t, z, d in batches:
             yield to_utc_us(t, z, d)
 
-    # No notation is longer than 120 characters; the rest isn't sent to Python.
-    short = F.when(F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) <= 120, F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
-    return convert(short, zone, day_first)
+    # What holds any other character is no notation, whatever its length, and isn't sent to Python.
+    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return convert(F.when(trimmed.rlike(f"^[{CHARACTERS}]+$"), trimmed), zone, day_first)
 
 
 def with_instants(df: DataFrame, feeds: DataFrame, columns: dict[str, str], feed: str = "feed") -> DataFrame:

@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from rootstock.functions.zones import local_to_utc
-from rootstock.operators.timestamps import to_utc_us, with_instants
+from rootstock.functions.zones import local_to_utc, transitions, zone_names
+from rootstock.operators.timestamps import CHARACTERS, LAYOUTS, to_utc_us, with_instants
 
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
@@ -56,6 +56,14 @@ CASES = [
     ("1672531200123456", None, None, us(2023, 1, 1, micro=123456)),
     ("1672531200123456789", None, None, us(2023, 1, 1, micro=123456)),
     ("1277836800", None, None, None),
+    ("2024-01-02T03:04:05.1234567890123Z", None, None, us(2024, 1, 2, 3, 4, 5, micro=123456)),
+    ("2024-01-02T03:04:05." + "9876543210" * 2 + "Z", None, None, us(2024, 1, 2, 3, 4, 5, micro=987654)),
+    ("2024-01-02T03:04:05." + "1" * 6000 + "Z", None, None, us(2024, 1, 2, 3, 4, 5, micro=111111)),
+    ("1672531200." + "5" * 20, None, None, us(2023, 1, 1, micro=555555)),
+    ("0" * 5000 + "1672531200", None, None, us(2023, 1, 1)),
+    ("1672531200123456789" + "0" * 5000, None, None, None),
+    ("2150-07-01 12:00", BERLIN, True, us(2150, 7, 1, 10)),
+    ("2000-10-14 12:00", "America/Fortaleza", True, us(2000, 10, 14, 12, zone="America/Fortaleza")),
     ("99999999999999999999", None, None, None),
     ("2023-02-29", NY, False, None),
     ("2024-02-29", NY, False, us(2024, 2, 29, zone=NY)),
@@ -98,3 +106,43 @@ def test_frames_with_nulls_long_texts_and_bad_feeds(spark):
     assert with_instants(df.limit(0), feeds, {"t": "u"}).count() == 0
     with pytest.raises(ValueError, match="setting"):
         with_instants(df, feeds.unionByName(spark.createDataFrame([("a", "UTC", True)], feeds.schema)), {"t": "u"})
+
+
+def test_zones_are_those_of_the_standard_library():
+    """All zones, every 11 days from 1900 to 2200 and on both sides of each change; some zones every day."""
+    daily = {NY, BERLIN, "America/Fortaleza", "Africa/Casablanca", "Australia/Lord_Howe", "America/Nuuk", "Asia/Tehran", "Antarctica/Troll"}
+    for name in zone_names().values():
+        instants, offsets = transitions(name)
+        s = np.arange(-2_208_988_800, 7_258_118_400, 86400 * (1 if name in daily else 11))
+        s = np.r_[s, instants[(instants > s[0]) & (instants < s[-1])], instants[(instants > s[0]) & (instants < s[-1])] - 1]
+        zone = ZoneInfo(name)
+        want = [(EPOCH + timedelta(seconds=x)).astimezone(zone).utcoffset().total_seconds() for x in s.tolist()]
+        assert (offsets[np.searchsorted(instants, s, side="right")] == np.array(want)).all(), name
+
+
+def test_layouts_hold_no_other_characters():
+    import re
+    from re import _constants, _parser
+
+    found = set()
+
+    def walk(pattern):
+        for op, arg in pattern:
+            if op is _constants.LITERAL:
+                found.add(chr(arg))
+            elif op is _constants.IN:
+                assert all(o in (_constants.LITERAL, _constants.RANGE) for o, _ in arg)
+                found.update(chr(x) for o, v in arg for x in ([v] if o is _constants.LITERAL else range(v[0], v[1] + 1)))
+            elif op is _constants.SUBPATTERN:
+                walk(arg[3])
+            elif op is _constants.BRANCH:
+                for x in arg[1]:
+                    walk(x)
+            elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT):
+                walk(arg[2])
+            else:
+                assert op in (_constants.GROUPREF, _constants.ASSERT_NOT, _constants.AT), op
+
+    for layout in LAYOUTS:
+        walk(_parser.parse(layout))
+    assert found and all(re.fullmatch(f"[{CHARACTERS}]", c) for c in found)
