@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootstock.functions.keys import key_form
+from rootstock.functions.storage import keep
 from rootstock.operators import asof, eager, entity_features, percentiles, references, timestamps
 
 
@@ -13,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# 1 ---------------------------------------------------------------------------------------------
+# Problem 1
 
 
 def _as_known(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,7 +38,7 @@ with best as (
   group by t.target_id)
 """
 
-# 2 ---------------------------------------------------------------------------------------------
+# Problem 2
 
 
 def event_type(c: Column) -> Column:
@@ -71,7 +72,7 @@ select user_id, event_type, count(*) as n, max(t) as latest, cast(coalesce(sum(c
 from named where event_type is not null group by user_id, event_type
 """
 
-# 3 ---------------------------------------------------------------------------------------------
+# Problem 3
 
 
 def _states(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,7 +112,7 @@ with i as (select cast(user_id as varchar) as user_key, count(*) as n, sum(case
 o as (select {KEY_SQL.format(c="user_id")} as user_key, count(*) as n, sum(case when isnan(amount) then null else cast(amount as decimal(18,2)) end) as s from user_orders group by 1)
 """
 
-# 4 ---------------------------------------------------------------------------------------------
+# Problem 4
 
 
 def _order_times(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,24 +128,24 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("utc_us is not null").distinct()
 
 
-# 5 ---------------------------------------------------------------------------------------------
+# Problem 5
 
 PROBABILITIES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
 def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles of user_orders.amount per user, from one state of the whole table; `p5_combined` combines states of parts."""
+    """Percentiles of user_orders.amount per user, from one state of the whole table; `p5_combined` combines states of periods."""
     o = table(spark, sf, "user_orders")
     state = percentiles.percentile_state(o, {"user_key": key_form(F.col("user_id"), o.schema["user_id"].dataType)}, F.col("amount"))
-    return percentiles.percentiles(state, PROBABILITIES)
+    return percentiles.percentiles(state, PROBABILITIES, rows=o.count())
 
 
 def p5_combined(spark: SparkSession, sf: str) -> DataFrame:
-    """The same from the combined states of two disjoint parts of the rows: orders with a feed and orders without."""
-    o = table(spark, sf, "user_orders")
-    key = {"user_key": key_form(F.col("user_id"), o.schema["user_id"].dataType)}
-    parts = [percentiles.percentile_state(o.where(c), key, F.col("amount")) for c in ("feed is null", "feed is not null")]
-    return percentiles.percentiles(percentiles.combine(*parts), PROBABILITIES)
+    """The same from states of each month of created_at, kept apart and then combined; orders without such an instant are a period of their own."""
+    o = timestamps.with_instants(table(spark, sf, "user_orders"), table(spark, sf, "order_feed"), {"created_at": "created_us"})
+    month = F.coalesce(F.date_format(F.timestamp_micros("created_us"), "yyyy-MM"), F.lit("none"))
+    monthly = percentiles.percentile_state(o, {"user_key": key_form(F.col("user_id"), o.schema["user_id"].dataType), "month": month}, F.col("amount"))
+    return percentiles.percentiles(percentiles.roll_up(keep(monthly), "month"), PROBABILITIES)
 
 
 P5_SQL = f"""
@@ -153,7 +154,7 @@ select user_key, count(v) as n, count(*) - count(v) as n_missing, {", ".join(f"q
 from r where user_key is not null group by user_key
 """
 
-# 6 ---------------------------------------------------------------------------------------------
+# Problem 6
 
 
 def _orphans(spark: SparkSession, sf: str, orders: bool = True) -> DataFrame:

@@ -39,3 +39,22 @@ def test_empty_and_clash(spark):
     assert grouped_percentiles(df, ["g"], "v", P).count() == 0
     with pytest.raises(ValueError, match="clash"):
         percentiles(percentile_state(df, {"mid": F.col("g")}, F.col("v")), P)
+
+
+def test_infinite_values_float_groups_and_several_group_columns(spark):
+    inf, nan = math.inf, math.nan
+    rows = [(nan, "x", -inf), (nan, "x", 1.0), (0.0, "x", 2.0), (-0.0, "x", inf), (0.0, "y", -inf), (0.0, "y", inf), (2.0, "z", None)]
+    df = spark.createDataFrame(rows, "a double, b string, v double")
+    for partitions in (1, 5):
+        got = {(str(r.a), r.b): (r.n, r.n_missing, r.q) for r in percentiles(percentile_state(df, {"a": F.col("a"), "b": F.col("b")}, F.col("v")), {"q": 0.25}, partitions).collect()}
+        assert got == {("nan", "x"): (2, 0, -inf), ("0.0", "x"): (2, 0, inf), ("0.0", "y"): (2, 0, -inf), ("2.0", "z"): (0, 1, None)}
+
+
+def test_one_group_in_every_partition_and_few_exchanges(spark):
+    df = spark.range(10_000).selectExpr("if(id % 3 = 0, 'hot', cast(id % 7 as string)) as g", "cast(id * 37 % 9973 as double) as v")
+    out = percentiles(percentile_state(df, {"g": F.col("g")}, F.col("v")), P, 40)
+    got = {r.g: r for r in out.collect()}
+    pd_ = df.toPandas()
+    for g, v in pd_.groupby("g").v:
+        assert [got[g][k] for k in P] == pytest.approx([float(np.quantile(v, p)) for p in P.values()]) and got[g].n == len(v)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
