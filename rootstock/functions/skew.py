@@ -4,20 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only when it was counted and has at most so many rows of a few columns.
+#: A side is broadcast only when its rows were counted and its bytes measured, and both stay within these.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def join_counted(big: DataFrame, small: DataFrame, on: list[str], small_rows: int, how: str = "left", max_rows: int = BROADCAST_ROWS, hot: float = 0.002) -> DataFrame:
-    """Join `big` to `small`, which is unique on `on` and has `small_rows` rows (counted by the caller).
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes that a broadcast of df takes about: 16 a row, 16 a column and the length of texts. One job."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    row = F.lit(16 + 16 * len(df.columns)).cast("bigint")
+    for c in texts:
+        row = row + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row), F.lit(0))).first())
 
-    Up to `max_rows` the small side is broadcast and `big` isn't shuffled.  Beyond that, keys that
+
+def small(rows: int, size: int, most_rows: int = BROADCAST_ROWS) -> bool:
+    return rows <= most_rows and size <= BROADCAST_BYTES
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], small_rows: int, how: str = "left", max_rows: int = BROADCAST_ROWS, hot: float = 0.002, small_bytes: int = 0) -> DataFrame:
+    """Join `big` to `small`, which is unique on `on` and has `small_rows` rows of `small_bytes` bytes (counted by the caller).
+
+    Up to `max_rows` and BROADCAST_BYTES the small side is broadcast and `big` isn't shuffled.  Beyond that, keys that
     hold more than the share `hot` of `big` are found by a partial aggregation; at most 1/hot keys
     can be so large, so their rows of `small` are broadcast and the others are joined by a shuffle.
     NULL keys match nothing and, in a left join, never travel.
     """
-    if small_rows <= max_rows:
+    if small_rows <= max_rows and small_bytes <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on, how)
     known = big.dropna(subset=on)
     total = known.groupBy().agg(F.count(F.lit(1)).alias("__all"))

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootstock.functions.skew import BROADCAST_ROWS
+from rootstock.functions.skew import measured, small
 
 
 def as_known_at(
@@ -85,27 +85,27 @@ def _shards(p: DataFrame, v: DataFrame, limit: int, bucket: str) -> tuple[DataFr
     """(k, b, shard, salts) for the buckets of hot entities and whether it may be broadcast; None if no entity is hot."""
     both = v.select("k", "t", F.lit(0).alias("probe")).unionByName(p.select("k", "t", F.lit(1).alias("probe")))
     hot = both.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("k")
-    found = hot.limit(BROADCAST_ROWS + 1).count()
+    found, size = measured(hot)
     if not found:
         return None
-    side = F.broadcast(hot) if found <= BROADCAST_ROWS else hot
+    side = F.broadcast(hot) if small(found, size) else hot
     hours = both.join(side, "k", "left_semi").groupBy("k", _bucket(bucket).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("probe").alias("np"))
     before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     cut = hours.withColumn("shard", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / limit).cast("int"))
     salts = F.ceil(F.sum("np").over(Window.partitionBy("k", "shard")) / (2 * limit)).cast("int")
     cut = cut.select("k", "b", "shard", F.greatest(F.lit(1), salts).alias("salts"))
-    return cut, cut.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return cut, small(*measured(cut))
 
 
 def _sharded(p: DataFrame, v: DataFrame, found: tuple[DataFrame, bool], bucket: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    shards, small = found
-    side = F.broadcast(shards) if small else shards
+    shards, fits = found
+    side = F.broadcast(shards) if fits else shards
 
     def put(df: DataFrame) -> DataFrame:
         return df.withColumn("b", _bucket(bucket)).join(side, ["k", "b"], "left").withColumns({"shard": F.coalesce("shard", F.lit(0)), "salts": F.coalesce("salts", F.lit(1))}).drop("b")
 
     pieces = shards.groupBy("k", "shard").agg(F.max("salts").alias("salts"))
-    own = put(v).join(F.broadcast(shards.select("k").distinct()) if small else shards.select("k").distinct(), "k", "left_semi")
+    own = put(v).join(F.broadcast(shards.select("k").distinct()) if fits else shards.select("k").distinct(), "k", "left_semi")
     own = own.groupBy("k", "shard").agg(F.max("v").alias("v"))
     before = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     carry = pieces.join(own, ["k", "shard"], "left").withColumn("v", F.max("v").over(before)).where("v is not null")

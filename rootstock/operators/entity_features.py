@@ -5,26 +5,33 @@
    delivered twice still meet and are counted once.
 2. Each (block, salt) becomes a compact state: per type, bit-sliced counters and totals over entity
    ordinals and the latest times aligned with the ordinals that have the type.
-3. The states of a block are added by compressed bitmap carry addition and decoded to one row per entity.
+3. The states of a block are added by compressed bitmap carry addition, `FAN_IN` of them in a task: the many of a hot block
+   in rounds, as a tree, so that no task has more than FAN_IN of them.
+4. Each block's state is decoded to one row per entity.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rootstock.functions import bitmaps
 from rootstock.functions.keys import fresh
-from rootstock.functions.skew import BROADCAST_ROWS
+from rootstock.functions.skew import measured, small
+from rootstock.functions.storage import keep
 
 MAX_TYPES = 20_000
+FAN_IN = 8
 _EXACT = 2.0**52
 
 
@@ -45,42 +52,62 @@ def entity_features(events: DataFrame, *, entity: str, time: str, value: str, ki
     belong to none and are left out; events without type make their entity appear but count for no type; a NULL time
     never is the latest.  No events give no rows.
     """
-    types = event_types(events, kind) if types is None else types
-    codes = {t: i for i, t in enumerate(types)}
     blocks = max(1, -(-events.count() // rows_per_group))
     key = events.schema[entity].dataType
+    key_type = _arrow_type(key)
     block = F.pmod(F.xxhash64(F.col(f"`{entity}`")), F.lit(blocks)).cast("int")
     known = events.where(F.col(f"`{entity}`").isNotNull())
     at, salt, salts = (fresh(n, events) for n in ("__block", "__salt", "__salts"))
     sized = known.select(block.alias(at)).groupBy(at).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * rows_per_group)
     sized = sized.select(at, F.ceil(F.col("n") / rows_per_group).cast("int").alias(salts))
-    hot = sized.limit(BROADCAST_ROWS + 1).count()
+    hot, size, most = *measured(sized), 0
     rows = known.withColumn(at, block)
     if hot:
-        rows = rows.join(F.broadcast(sized) if hot <= BROADCAST_ROWS else sized, at, "left")
+        most = sized.agg(F.max(salts)).first()[0]
+        rows = rows.join(F.broadcast(sized) if small(hot, size) else sized, at, "left")
         spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in known.columns]), F.coalesce(salts, F.lit(1))).cast("int")
         rows = rows.withColumn(salt, spread).drop(salts)
     # One exchange by block and salt: removing repeated rows and grouping both find their rows in place.
     place = [at, salt] if hot else [at]
     once = rows.repartition(*place).dropDuplicates()
     slim = once.select(*[F.col(p).alias(a) for p, a in zip(place, ("__block", "__salt"), strict=False)], F.col(f"`{entity}`").alias("e"), kind.cast("string").alias("k"), F.col(f"`{time}`").cast("timestamp_ntz").alias("t"), F.col(f"`{value}`").cast("double").alias("v"))
+    state = "__block int, __salt int, state binary, types array<string>"
 
     def encode(group: pa.Table) -> pa.Table:
-        return pa.table({"__block": pa.array([group["__block"][0].as_py()], pa.int32()), "state": pa.array([_encode(group, codes, scale)], pa.binary())})
+        packed, names = _encode(group, scale)
+        number = group["__salt"][0].as_py() if hot else 0
+        return pa.table({"__block": pa.array([group["__block"][0].as_py()], pa.int32()), "__salt": pa.array([number], pa.int32()), "state": pa.array([packed], pa.binary()), "types": pa.array([names], pa.list_(pa.string()))})
 
-    states = slim.groupBy("__block", *["__salt"] * (hot > 0)).applyInArrow(encode, "__block int, state binary")
-    key_type = _arrow_type(key)
+    # Kept: the types are read from the states before these are decoded, so events are read for them only once.
+    states = keep(slim.groupBy("__block", *["__salt"] * (hot > 0)).applyInArrow(encode, state))
+    if types is None:
+        types = types_of(states)
+
+    def merge(group: pa.Table) -> pa.Table:
+        return pa.table({"__block": group["__block"][:1], "__salt": pa.array([group["__salt"][0].as_py() // FAN_IN], pa.int32()), "state": pa.array([_merged(group["state"], key_type).dump()], pa.binary()), "types": group["types"][:1]})
+
+    while most > FAN_IN:
+        states = states.groupBy("__block", F.floor(F.col("__salt") / FAN_IN).alias("__part")).applyInArrow(merge, state)
+        most = -(-most // FAN_IN)
     out = T.StructType([T.StructField(entity, key), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("latest", T.ArrayType(T.TimestampNTZType())), T.StructField("totals", T.ArrayType(T.DoubleType()))])
+    codes = {t: i for i, t in enumerate(types)}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged = None
-        for b in batches:
-            for s in b.column("state"):
-                state = _State.load(s.as_py(), len(types), key_type)
-                merged = state if merged is None else merged.plus(state)
-        yield from merged.rows(entity, scale, entities_per_batch)
+        yield from _merged((s for b in batches for s in b.column("state")), key_type).rows(entity, scale, entities_per_batch, codes)
+
+    return states.select("__block", "state").groupBy("__block").applyInArrow(decode, out)
+
+
+def types_of(states: DataFrame) -> list[str]:
+    """Sorted distinct types of all states; refused beyond MAX_TYPES."""
+    found = [r[0] for r in states.select(F.explode("types").alias("t")).distinct().limit(MAX_TYPES + 1).collect()]
+    if len(found) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} event types")
+    return sorted(found)
+
 
-    return states.groupBy("__block").applyInArrow(decode, out)
+def _merged(packed: Iterable[pa.BinaryScalar], key_type: pa.DataType) -> _State:
+    return reduce(_State.plus, (_State.load(s.as_py(), key_type) for s in packed))
 
 
 def as_columns(features: DataFrame, types: list[str], entity: str) -> DataFrame:
@@ -97,23 +124,23 @@ def as_rows(features: DataFrame, types: list[str], entity: str) -> DataFrame:
 
 
 def _arrow_type(key: T.DataType) -> pa.DataType:
-    for kind, arrow in ((T.LongType, pa.int64()), (T.IntegerType, pa.int32()), (T.StringType, pa.string())):
-        if isinstance(key, kind):
-            return arrow
-    raise ValueError(f"entities must be integers or strings, not {key.simpleString()}")
+    if isinstance(key, (T.ArrayType, T.MapType, T.StructType, T.BooleanType)):
+        raise ValueError(f"entities can't be {key.simpleString()}")
+    return to_arrow_type(key)
 
 
 _NEVER = np.iinfo(np.int64).min
 
 
-def _encode(group: pa.Table, codes: dict[str, int], scale: int) -> bytes:
-    """State of one group: sorted entity keys, then per type its slices and latest times."""
+def _encode(group: pa.Table, scale: int) -> tuple[bytes, list[str]]:
+    """State of one group: sorted entity keys, then per type its slices and latest times; and its types."""
     entities = group["e"].combine_chunks()
     ordered = entities.unique().sort()
     ordinal = pa.compute.index_in(entities, value_set=ordered).to_numpy(zero_copy_only=False).astype(np.int64)
     size = len(ordered)
     kinds = group["k"].combine_chunks().dictionary_encode()
-    to_code = np.array([codes.get(t, -1) for t in kinds.dictionary.to_pylist()] + [-1], np.int64)
+    names = kinds.dictionary.to_pylist()
+    to_code = np.array([*range(len(names)), -1], np.int64)
     code = to_code[kinds.indices.fill_null(len(kinds.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)]
     t = group["t"].combine_chunks().cast(pa.int64()).fill_null(_NEVER).to_numpy(zero_copy_only=False)
     v = group["v"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -131,15 +158,15 @@ def _encode(group: pa.Table, codes: dict[str, int], scale: int) -> bytes:
     n, plus, minus = sums(np.ones(len(cell), np.int64)), sums(np.maximum(fixed, 0)), sums(np.maximum(-fixed, 0))
     last = np.maximum.reduceat(t, starts) if len(starts) else np.zeros(0, np.int64)
     cells = cell[starts]
-    bounds = np.searchsorted(cells, np.arange(len(codes) + 1) * size)
+    bounds = np.searchsorted(cells, np.arange(len(names) + 1) * size)
     state = _State(ordered, size, {}, [])
-    for c in range(len(codes)):
+    for c, name in enumerate(names):
         a, b = bounds[c], bounds[c + 1]
         if a < b:
             o = cells[a:b] - c * size
-            state.types[c] = _Type(bitmaps.slices(o, n[a:b], size), bitmaps.slices(o, plus[a:b], size), bitmaps.slices(o, minus[a:b], size), o.astype(np.uint32), last[a:b])
-    state.far = [(int(c), int(o), float(x)) for c, o, x in zip(code[far], ordinal[far], v[far], strict=True) if c >= 0]
-    return state.dump()
+            state.types[name] = _Type(bitmaps.slices(o, n[a:b], size), bitmaps.slices(o, plus[a:b], size), bitmaps.slices(o, minus[a:b], size), o.astype(np.uint32), last[a:b])
+    state.far = [(names[c], int(o), float(x)) for c, o, x in zip(code[far], ordinal[far], v[far], strict=True) if c >= 0]
+    return state.dump(), list(state.types)
 
 
 class _Type:
@@ -166,40 +193,43 @@ class _Type:
 class _State:
     """All types over one block's entities; `far` has values too large to be added as bits."""
 
-    def __init__(self, keys: pa.Array, size: int, types: dict[int, _Type], far: list[tuple[int, int, float]], n_types: int = 0):
-        self.keys, self.size, self.types, self.far, self.n_types = keys, size, types, far, n_types
+    def __init__(self, keys: pa.Array, size: int, types: dict[str, _Type], far: list[tuple[str, int, float]]):
+        self.keys, self.size, self.types, self.far = keys, size, types, far
 
     def dump(self) -> bytes:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, pa.schema([("k", self.keys.type)])) as w:
             w.write_batch(pa.record_batch([self.keys], names=["k"]))
-        keys = sink.getvalue().to_pybytes()
-        out = [struct.pack("<III", len(keys), len(self.types), len(self.far)), keys]
-        out += [struct.pack("<IId", *x) for x in self.far]
-        for c, x in self.types.items():
-            out += [struct.pack("<II", c, len(x.at)), x.at.astype(np.uint32).tobytes(), x.last.tobytes(), *[bitmaps.dump(s) for s in (x.n, x.plus, x.minus)]]
+        keys, names = sink.getvalue().to_pybytes(), list(self.types)
+        told, number = json.dumps(names).encode(), {t: i for i, t in enumerate(names)}
+        out = [struct.pack("<III", len(keys), len(told), len(self.far)), keys, told]
+        out += [struct.pack("<IId", number[t], o, x) for t, o, x in self.far]
+        for x in self.types.values():
+            out += [struct.pack("<I", len(x.at)), x.at.astype(np.uint32).tobytes(), x.last.tobytes(), *[bitmaps.dump(s) for s in (x.n, x.plus, x.minus)]]
         return zlib.compress(b"".join(out), 1)
 
     @classmethod
-    def load(cls, packed: bytes, n_types: int, key_type: pa.DataType) -> _State:
+    def load(cls, packed: bytes, key_type: pa.DataType) -> _State:
         data = memoryview(zlib.decompress(packed))
-        length, count, far = struct.unpack_from("<III", data, 0)
+        length, told, far = struct.unpack_from("<III", data, 0)
         at = 12 + length
         keys = pa.ipc.open_stream(pa.py_buffer(data[12:at])).read_all()["k"].combine_chunks().cast(key_type)
-        outliers = [struct.unpack_from("<IId", data, at + 16 * i) for i in range(far)]
+        names = json.loads(bytes(data[at : at + told]))
+        at += told
+        outliers = [(names[n], o, x) for n, o, x in (struct.unpack_from("<IId", data, at + 16 * i) for i in range(far))]
         at += 16 * far
         types = {}
-        for _ in range(count):
-            c, m = struct.unpack_from("<II", data, at)
-            at += 8
+        for name in names:
+            (m,) = struct.unpack_from("<I", data, at)
+            at += 4
             ordinals, last = np.frombuffer(data, np.uint32, m, at), np.frombuffer(data, np.int64, m, at + 4 * m)
             at += 12 * m
             parts = []
             for _ in range(3):
                 s, at = bitmaps.load(data, at)
                 parts.append(s)
-            types[c] = _Type(*parts, ordinals, last)
-        return cls(keys, len(keys), types, outliers, n_types)
+            types[name] = _Type(*parts, ordinals, last)
+        return cls(keys, len(keys), types, outliers)
 
     def plus(self, other: _State) -> _State:
         keys = pa.concat_arrays([self.keys, other.keys]).unique().sort()
@@ -209,21 +239,22 @@ class _State:
             y = x.moved(theirs, len(keys))
             types[c] = types[c].joined(y) if c in types else y
         far = [(c, int(mine[o]), v) for c, o, v in self.far] + [(c, int(theirs[o]), v) for c, o, v in other.far]
-        return _State(keys, len(keys), types, far, self.n_types)
+        return _State(keys, len(keys), types, far)
 
-    def rows(self, entity: str, scale: int, step: int) -> Iterator[pa.RecordBatch]:
-        """Decoded rows, `step` entities at a time."""
-        m = self.n_types
+    def rows(self, entity: str, scale: int, step: int, codes: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        """Decoded rows, `step` entities at a time; types without a code are left out."""
+        m = len(codes)
         cells = []  # per type: ordinals, counts, totals, latest
-        for c, x in self.types.items():
+        for c, x in ((codes[t], x) for t, x in self.types.items() if t in codes):
             n = bitmaps.numbers(x.n, self.size)[x.at]
             total = (bitmaps.numbers(x.plus, self.size)[x.at] - bitmaps.numbers(x.minus, self.size)[x.at]) / 10.0**scale
             cells.append((x.at.astype(np.int64) * m + c, n, total, x.last))
         where, n, total, last = (np.concatenate(z) for z in zip(*cells, strict=True)) if cells else (np.zeros(0, np.int64),) * 4
         order = np.argsort(where, kind="stable")
         where, n, total, last = where[order], n[order], total[order].astype(np.float64), last[order]
-        for c, o, v in self.far:
-            total[np.searchsorted(where, o * m + c)] += v
+        for t, o, v in self.far:
+            if t in codes:
+                total[np.searchsorted(where, o * m + codes[t])] += v
         for a in range(0, self.size, step):
             b = min(a + step, self.size)
             i, j = np.searchsorted(where, [a * m, b * m])

@@ -26,7 +26,7 @@ ROWS_PER_PARTITION = 1_000_000
 
 
 def percentile_state(df: DataFrame, groups: dict[str, Column], value: Column) -> DataFrame:
-    """(groups..., value, n).  NULL and NaN values hold no number: they count in n under the value NULL.  -0.0 is 0.0.  Rows without group are left out."""
+    """(groups..., value, n).  NULL and NaN values hold no number: they count in n under the value NULL.  -0.0 is 0.0.  Rows without group (NULL or NaN) are left out."""
     v = value.cast("double")
     v = F.when(F.isnan(v), F.lit(None)).when(v == 0, F.lit(0.0)).otherwise(v)
     rows = df.select(*[c.alias(g) for g, c in groups.items()], v.alias("value")).dropna(subset=list(groups))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rootstock.functions import bloom
 from rootstock.functions.keys import key_form
-from rootstock.functions.skew import join_counted
+from rootstock.functions.skew import BROADCAST_ROWS, join_counted, measured
 
 
 @dataclass(frozen=True)
@@ -55,26 +55,28 @@ def links_of(schema: DataFrame) -> list[Link]:
     return sorted((Link(r[0], r[1], *r[2].rsplit(".", 1)) for r in rows), key=lambda k: (k.table, k.column, k.parent))
 
 
-def orphans(links: Sequence[Link], children: dict[str, Child], parents: dict[str, Parent], broadcast_rows: int = 1_000_000) -> DataFrame:
+def orphans(links: Sequence[Link], children: dict[str, Child], parents: dict[str, Parent], broadcast_rows: int = BROADCAST_ROWS, filter_bits: int = bloom.MAX_BITS) -> DataFrame:
     """(table_name, column_name, row_id, time, kind), one row per referring row whose reference doesn't hold.
 
     kind is missing (no such parent), late (the parent is born at or after the row's time) or deleted
     (it died at or before it); late goes before deleted.  Without a row time only missing applies.
     Keys are compared in key form; no key is no reference.  A key that several parent rows hold lives
     from their first birth to their last death.  Links to tables that aren't delivered are skipped;
-    repeated rows come out once per row.
+    repeated rows come out once per row.  The filter has ten bits or more a key; beyond `filter_bits` it is
+    met by a join instead of being broadcast.
     """
     used = [k for k in links if k.parent in parents and k.table in children]
     if not used:
         raise ValueError("no link leads to a delivered table")
     targets = list(dict.fromkeys((k.parent, k.parent_column) for k in used))
     lives = reduce(DataFrame.unionByName, [_lives(parents[p], c).withColumn("p", F.lit(i)) for i, (p, c) in enumerate(targets)])
-    n = sum(parents[p].df.count() for p, _ in targets)
-    words, bits = bloom.build(lives, ["p", "key"], n)
+    n, size = measured(reduce(DataFrame.unionByName, [parents[p].df.select(F.col(f"`{c}`").cast("string").alias("key"), *[F.lit(0).alias(f"c{i}") for i in range(4)]) for p, c in targets]))
+    held_keys = bloom.build(lives, ["p", "key"], n, filter_bits)
     rows = reduce(DataFrame.unionByName, [_references(children[t], t, [k for k in used if k.table == t], targets) for t in dict.fromkeys(k.table for k in used)])
     # A key that the filter refutes becomes NULL: it needs no join, and without a broadcast it doesn't travel.
-    held = F.when(bloom.might_contain([F.col("p"), F.col("key")], words.scalar(), bits), F.col("key"))
-    checked = join_counted(rows.withColumn("key", held), lives, ["p", "key"], n, "left", broadcast_rows)
+    told = held_keys.mark(rows, ["p", "key"], "held")
+    told = told.withColumn("key", F.when(F.col("held"), F.col("key"))).drop("held")
+    checked = join_counted(told, lives, ["p", "key"], n, "left", broadcast_rows, small_bytes=size)
     kind = F.when(F.col("found").isNull(), "missing").when(F.col("born") >= F.col("time"), "late").when(F.col("died") <= F.col("time"), "deleted")
     return checked.select("table_name", "column_name", "row_id", "time", kind.alias("kind")).where("kind is not null")
 

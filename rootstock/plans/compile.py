@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rootstock.functions.primitives import CATEGORY, histogram_aggregate
-from rootstock.functions.skew import BROADCAST_ROWS
+from rootstock.functions.skew import measured, small
 from rootstock.plans.nodes import Aggregate, Direct, Edge, Feature, Identity, counts
 from rootstock.rdb import Rdb
 
@@ -219,8 +219,8 @@ class Compiler:
         if edge not in self._known:
             counts_of = self._rows(edge.child).groupBy(F.col(self._columns(edge.child)[edge.column]).alias("k")).agg(F.count(F.lit(1)).alias("n"))
             hot = counts_of.where(F.col("k").isNotNull() & (F.col("n") > self.hot_rows)).select("k")
-            found = hot.limit(BROADCAST_ROWS + 1).count()
-            self._known[edge] = None if not found else F.broadcast(hot) if found <= BROADCAST_ROWS else hot
+            found, size = measured(hot)
+            self._known[edge] = None if not found else F.broadcast(hot) if small(found, size) else hot
         return self._known[edge]
 
     def _linear(self, keys: DataFrame, edge: Edge, mine: list[Aggregate]) -> tuple[DataFrame, dict[Feature, str]]:

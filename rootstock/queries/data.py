@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,21 +49,28 @@ def event_type(c: Column) -> Column:
     return F.when(t != "", t)
 
 
-def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    events, kind = table(spark, sf, "interaction"), event_type(F.col("event_type"))
-    types = entity_features.event_types(events, kind)
-    return entity_features.entity_features(events, entity="user_id", time="timestamp", value="value", kind=kind, types=types), types
+def _features(spark: SparkSession, sf: str, **options) -> DataFrame:
+    return entity_features.entity_features(table(spark, sf, "interaction"), entity="user_id", time="timestamp", value="value", kind=event_type(F.col("event_type")), **options)
 
 
 def p2_features(spark: SparkSession, sf: str) -> DataFrame:
     """One row per user with count, latest time and total of every event type."""
-    return _features(spark, sf)[0]
+    return _features(spark, sf)
+
+
+def _p2_long(**options) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        types = entity_features.event_types(table(spark, sf, "interaction"), event_type(F.col("event_type")))
+        rows = entity_features.as_rows(_features(spark, sf, types=types, **options), types, "user_id")
+        return rows.select("user_id", "event_type", "n", "latest", F.round(F.col("total") * 100).cast("bigint").alias("total_cents"))
+
+    return run
 
 
-def p2_long(spark: SparkSession, sf: str) -> DataFrame:
-    """The feature table as one row per user and type; totals in cents, exact."""
-    rows = entity_features.as_rows(*_features(spark, sf), "user_id")
-    return rows.select("user_id", "event_type", "n", "latest", F.round(F.col("total") * 100).cast("bigint").alias("total_cents"))
+#: The feature table as one row per user and type; totals in cents, exact.
+p2_long = _p2_long()
+#: The same from many small states, so that those of a hot user's block are added over several rounds of carry addition.
+p2_added = _p2_long(rows_per_group=200)
 
 
 P2_SQL = """
@@ -202,6 +211,7 @@ QUERIES = {
     "p1_attributes": p1_attributes,
     "p2_features": p2_features,
     "p2_long": p2_long,
+    "p2_added": p2_added,
     "p3_found": p3_found,
     "p3_user_join": p3_user_join,
     "p3_roll_up": p3_roll_up,
@@ -217,6 +227,7 @@ ORACLES = {
     "p1_found": P1_SQL + "select target_id, b.i as history_id from best",
     "p1_attributes": P1_SQL + "select t.target_id, t.user_id, t.cutoff_time, h.plan, h.area, h.score from target_df t left join best on t.target_id = best.target_id left join (select distinct * from user_history) h on h.history_id = best.b.i and h.user_id = t.user_id and h.valid_from = best.b.f and h.recorded_at = best.b.r",
     "p2_long": P2_SQL,
+    "p2_added": P2_SQL,
     "p3_found": P3_SQL + "select 'interaction' as table_name, user_key from i where user_key is not null and n >= 0.03 * (select count(*) from interaction) union all select 'user_orders', user_key from o where user_key is not null and n >= 0.03 * (select count(*) from user_orders)",
     "p3_user_join": P3_SQL + "select user_key, i.n * o.n as pairs, cast(cast(i.s * o.n * 100 as decimal(38,0)) as varchar) as value_cents, cast(cast(o.s * i.n * 100 as decimal(38,0)) as varchar) as amount_cents from i join o using (user_key)",
     "p3_roll_up": P3_SQL + "select year(u.signup_date) as signup_year, count(*) as n_users, cast(sum(coalesce(i.n, 0)) as bigint) as n_interactions, cast(sum(coalesce(o.n, 0)) as bigint) as n_orders, cast(sum(coalesce(i.n, 0) * coalesce(o.n, 0)) as bigint) as n_pairs from users u left join i on i.user_key = cast(u.user_id as varchar) left join o on o.user_key = cast(u.user_id as varchar) where i.n is not null or o.n is not null group by 1",

@@ -73,3 +73,16 @@ def test_empty_and_text_keys(spark):
     rows = rows.selectExpr("*", "1 as __block", "2 as __salt", "3 as n")
     got = {r.u: r.counts for r in entity_features(rows, entity="u", time="at", value="v", kind=F.col("kind")).collect()}
     assert got == {"x": [1], "y": [0]}
+
+
+def test_many_states_are_added_in_rounds(spark):
+    """One user with all rows: 60 states, added eight at a time; entities of other types."""
+    rows = [(k, 1, "ab"[k % 2], datetime(2024, 1, 1) + timedelta(seconds=k), 0.25 * k) for k in range(3000)]
+    df = spark.createDataFrame(rows, EVENTS)
+    for entity in ("user", "cast(user as date)", "cast(user as decimal(9,2))", "cast(user as timestamp)", "cast(user as smallint)", "cast(user as double)"):
+        if "date" in entity:
+            entity = "date_add(date'2024-01-01', cast(user as int))"
+        got = entity_features(df.selectExpr("eid", f"{entity} as user", "kind", "at", "value"), entity="user", time="at", value="value", kind=F.col("kind"), rows_per_group=50).collect()
+        assert [(r.counts, r.latest[1], r.totals) for r in got] == [([1500, 1500], rows[-1][3], [0.25 * sum(range(0, 3000, 2)), 0.25 * sum(range(1, 3000, 2))])]
+    with pytest.raises(ValueError, match="entities"):
+        entity_features(df.selectExpr("eid", "array(user) as user", "kind", "at", "value"), entity="user", time="at", value="value", kind=F.col("kind"))

@@ -61,7 +61,8 @@ def test_empty_sides_and_links(spark):
 
 def test_bloom_filter_never_loses_a_key(spark):
     keys = spark.range(5000).select((F.col("id") * 7).cast("string").alias("k"))
-    words, bits = bloom.build(keys, ["k"], 5000)
+    f = bloom.build(keys, ["k"], 5000)
+    words, bits = f.frame, f.bits
     probe = spark.range(35000).select(F.col("id"), bloom.might_contain([F.col("id").cast("string")], words.scalar(), bits).alias("maybe"))
     rows = probe.collect()
     assert all(r.maybe for r in rows if r.id % 7 == 0)
@@ -74,3 +75,22 @@ def test_counted_join_keeps_heavy_and_null_keys(spark):
     want = sorted(((r.row, r.v) for r in big.join(small, "k", "left").collect()), key=str)
     got = sorted(((r.row, r.v) for r in join_counted(big, small, ["k"], 500, "left", max_rows=10, hot=0.1).collect()), key=str)
     assert got == want
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_same_as_brute_force_with_a_filter_that_is_met_by_a_join(spark, limit):
+    parents, children = made(8)
+    p = spark.createDataFrame(parents, "id bigint, born timestamp_ntz, died timestamp_ntz")
+    c = spark.createDataFrame(children, "row bigint, ref string, at timestamp_ntz").withColumn("other", F.lit("1"))
+    got = orphans(LINKS, {"child": Child(c, "row", F.col("at"))}, {"parent": Parent(p, "born", "died")}, limit, filter_bits=64)
+    assert {r.row_id: r.kind for r in got.collect()} == brute(parents, children)
+
+
+def test_filters_stay_selective_beyond_the_bound(spark):
+    """Ten times as many keys as fit in the bits that may be broadcast: all are held, and hardly any others."""
+    keys = spark.range(40_000).selectExpr("cast(id as string) as key", "1 as p")
+    f = bloom.build(keys, ["p", "key"], 40_000, max_bits=1 << 15)
+    assert f.blocks > 1 and f.bits >= 10 * 40_000
+    held = f.mark(keys, ["p", "key"], "m").agg(F.count_if("m")).first()[0]
+    others = f.mark(spark.range(50_000, 90_000).selectExpr("cast(id as string) as key", "1 as p"), ["p", "key"], "m").agg(F.count_if("m")).first()[0]
+    assert held == 40_000 and others < 0.02 * 40_000
