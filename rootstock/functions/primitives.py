@@ -20,7 +20,7 @@ NUMERIC, CATEGORY, TEXT, ARRAY, ANY = "numeric", "category", "text", "array", "a
 class Primitive:
     """build(value, time) -> aggregate; time is the child's time column or NULL.
 
-    `window` marks those that a running window can compute: count, sum, mean, min, max, std and variance.
+    `window` marks those that running windows can compute under cutoffs; `share` is the share of a quantile, which is selected there by rank.
     """
 
     name: str
@@ -31,6 +31,7 @@ class Primitive:
     window: bool = False
     numeric_cast: bool = True
     needs_time: bool = False
+    share: float | None = None
 
 
 _REGISTRY: dict[str, Primitive] = {}
@@ -52,7 +53,7 @@ def get_primitive(name: str) -> Primitive:
         return _REGISTRY[key]
     if key.startswith("quantile_") and key[9:].isdigit() and int(key[9:]) <= 100:
         share = int(key[9:]) / 100
-        return register_primitive(key, NUMERIC, NUMERIC, lambda c, t: F.percentile(c, share))
+        return register_primitive(key, NUMERIC, NUMERIC, lambda c, t: F.percentile(c, share), share=share)
     raise ValueError(f"unknown primitive {name!r}: there are {sorted(_REGISTRY)}")
 
 
@@ -75,15 +76,15 @@ register_primitive("max", NUMERIC, NUMERIC, lambda c, t: F.max(c), window=True,
 register_primitive("min", NUMERIC, NUMERIC, lambda c, t: F.min(c), window=True, numeric_cast=False)
 register_primitive("std", NUMERIC, NUMERIC, lambda c, t: F.stddev_samp(c), window=True)
 register_primitive("variance", NUMERIC, NUMERIC, lambda c, t: F.var_samp(c), window=True)
-register_primitive("skewness", NUMERIC, NUMERIC, lambda c, t: F.skewness(c))
-register_primitive("kurtosis", NUMERIC, NUMERIC, lambda c, t: F.kurtosis(c))
-register_primitive("product", NUMERIC, NUMERIC, lambda c, t: F.product(c))
-register_primitive("median", NUMERIC, NUMERIC, lambda c, t: F.median(c))
-register_primitive("quantile_25", NUMERIC, NUMERIC, lambda c, t: F.percentile(c, 0.25))
-register_primitive("quantile_75", NUMERIC, NUMERIC, lambda c, t: F.percentile(c, 0.75))
-register_primitive("any_value", {NUMERIC, CATEGORY}, CATEGORY, lambda c, t: F.min(c), numeric_cast=False)
-register_primitive("first", {NUMERIC, CATEGORY}, CATEGORY, _first, needs_time=True, numeric_cast=False)
-register_primitive("last", {NUMERIC, CATEGORY}, CATEGORY, _last, needs_time=True, numeric_cast=False)
+register_primitive("skewness", NUMERIC, NUMERIC, lambda c, t: F.skewness(c), window=True)
+register_primitive("kurtosis", NUMERIC, NUMERIC, lambda c, t: F.kurtosis(c), window=True)
+register_primitive("product", NUMERIC, NUMERIC, lambda c, t: F.product(c), window=True)
+register_primitive("median", NUMERIC, NUMERIC, lambda c, t: F.median(c), share=0.5)
+register_primitive("quantile_25", NUMERIC, NUMERIC, lambda c, t: F.percentile(c, 0.25), share=0.25)
+register_primitive("quantile_75", NUMERIC, NUMERIC, lambda c, t: F.percentile(c, 0.75), share=0.75)
+register_primitive("any_value", {NUMERIC, CATEGORY}, CATEGORY, lambda c, t: F.min(c), numeric_cast=False, window=True)
+register_primitive("first", {NUMERIC, CATEGORY}, CATEGORY, _first, needs_time=True, numeric_cast=False, window=True)
+register_primitive("last", {NUMERIC, CATEGORY}, CATEGORY, _last, needs_time=True, numeric_cast=False, window=True)
 register_primitive("mode", CATEGORY, CATEGORY, kind="histogram", numeric_cast=False)
 register_primitive("discrete_entropy", CATEGORY, NUMERIC, kind="histogram", numeric_cast=False)
 register_primitive("nunique", {NUMERIC, CATEGORY}, NUMERIC, kind="histogram", numeric_cast=False)

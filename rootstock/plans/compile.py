@@ -19,14 +19,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rootstock.functions.primitives import CATEGORY, histogram_aggregate
+from rootstock.functions.primitives import histogram_aggregate
 from rootstock.functions.skew import measured, small
+from rootstock.functions.storage import keep
 from rootstock.plans.nodes import Aggregate, Direct, Edge, Feature, Identity, counts
 from rootstock.rdb import Rdb
 
 CUT = "__cut"
 #: Aggregates per grouping; more are split over several groupings, so that generated code stays compilable.
 AGGREGATES_AT_ONCE = 200
+#: Parts that a full time bucket, or the values of a key, are split into.
+SPLITS = 64
 
 
 @dataclass
@@ -36,6 +39,8 @@ class Compiler:
     zero_nested_counts: bool = False
     multi_hop_with_cutoff: bool = False
     bucket: str = "day"
+    #: A bucket of one key with more instants than this is split.
+    bucket_rows: int = 200_000
     #: With strategy auto, keys with more children than this are computed by windows.
     hot_rows: int = 10_000
     _known: dict = field(default_factory=dict)
@@ -127,7 +132,7 @@ class Compiler:
         keys = None
         if cut:
             keys = rows.select(F.col(pk).alias("k"), CUT).where(f"k is not null and {CUT} is not null").distinct()
-        linear = [f for f in mine if (f.base is None or isinstance(f.base, Identity)) and (f.primitive.window or (f.primitive.kind == "histogram" and f.base.tag == CATEGORY))]
+        linear = [f for f in mine if (f.base is None or isinstance(f.base, Identity)) and (f.primitive.window or f.primitive.kind == "histogram" or f.primitive.share is not None)]
         if not (cut and self.strategy != "range" and len(edges) == 1 and self._time(edges[0].child)):
             linear = []
         hot = self._hot(edges[0]) if linear and self.strategy == "auto" else None
@@ -225,98 +230,198 @@ class Compiler:
 
     def _linear(self, keys: DataFrame, edge: Edge, mine: list[Aggregate]) -> tuple[DataFrame, dict[Feature, str]]:
         """Aggregates before each cutoff in work that grows with rows and cutoffs, not with their product."""
+        columns = self._columns(edge.child)
+        time = columns[self.rdb.get_table_metadata(edge.child).time_column]
+        child = self._rows(edge.child)
+        bases = {b: f"v{i}" for i, b in enumerate(dict.fromkeys(f.base.column for f in mine if f.base is not None))}
+        as_int = lambda b: isinstance(child.schema[columns[b]].dataType, T.BooleanType)
+        rows = child.select(F.col(columns[edge.column]).alias("k"), F.col(time).alias("t"), *[(F.col(columns[b]).cast("int") if as_int(b) else F.col(columns[b])).alias(v) for b, v in bases.items()]).where("k is not null and t is not null")
+        rows = rows.join(keys.select("k").distinct(), "k", "left_semi")
+        probes = keys.select("k", F.col(CUT).alias("t"))
+        alias = {f: self._new() for f in mine}
         running = [f for f in mine if f.primitive.window]
-        tables = [self._running(keys, edge, running)] if running else []
-        tables += self._running_histograms(keys, edge, [f for f in mine if not f.primitive.window])
-        out, alias = tables[0]
-        for table, more in tables[1:]:
-            out, alias = out.join(table, ["k", CUT], "full"), alias | more
-        return out, alias
+        tables = [self._running(rows, probes, {f: bases.get(f.base.column) if f.base else None for f in running}, alias)] if running else []
+        counted: dict[str, list[Aggregate]] = {}
+        for f in mine:
+            if f.primitive.kind == "histogram":
+                counted.setdefault(rows.schema[bases[f.base.column]].dataType.simpleString(), []).append(f)
+        tables += [self._running_histograms(rows, probes, {f: bases[f.base.column] for f in same}, alias) for same in counted.values()]
+        for v in dict.fromkeys(bases[f.base.column] for f in mine if f.primitive.share is not None):
+            wanted = {alias[f]: f.primitive.share for f in mine if f.primitive.share is not None and bases[f.base.column] == v}
+            tables.append(self._selected(rows.select("k", "t", F.col(v).cast("double").alias("v")), probes, wanted))
+        out = tables[0]
+        for table in tables[1:]:
+            out = out.join(table, ["k", "t"], "full")
+        # Booleans were counted as 0 and 1; what picks one of them gives a boolean again.
+        picks = ("min", "max", "first", "last", "any_value", "mode")
+        back = [F.col(alias[f]).cast("boolean").alias(alias[f]) if f.base is not None and as_int(f.base.column) and f.primitive.name in picks else F.col(alias[f]) for f in mine]
+        return out.select("k", F.col("t").alias(CUT), *back), alias
+
+    def _bucketed(self, rows: DataFrame, by: list[str]) -> DataFrame:
+        """rows (by..., t) with b: their time bucket, which splits where one key has more than `bucket_rows` in it."""
+        rows = rows.withColumn("b", F.date_trunc(self.bucket, "t").cast("timestamp_ntz"))
+        full = rows.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > self.bucket_rows).drop("n")
+        found, size = measured(full)
+        if not found:
+            return rows.withColumn("b", F.struct("b", F.lit(0).alias("part")))
+        fits = (lambda df: F.broadcast(df)) if small(found, size + 8 * SPLITS * found) else (lambda df: df)
+        at = F.unix_micros(F.col("t").cast("timestamp"))
+        shares = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
+        bounds = rows.join(fits(full), [*by, "b"], "left_semi").groupBy(*by, "b").agg(F.percentile_approx(at, shares, F.lit(20 * SPLITS)).alias("bounds"))
+        part = F.coalesce(F.size(F.filter("bounds", lambda x: x < at)), F.lit(0))
+        return rows.join(fits(bounds), [*by, "b"], "left").withColumn("b", F.struct("b", F.when(F.col("bounds").isNull(), 0).otherwise(part).alias("part"))).drop("bounds")
 
     def _before(self, rows: DataFrame, probes: DataFrame, by: list[str], parts: dict[str, Column], again: dict[str, Callable]) -> DataFrame:
-        """(by..., t, e_<part>, i_<part>): per probe the parts over all rows of earlier buckets (e) and over earlier rows of its own (i).
+        """(by..., t, <part>...): per probe the parts over all earlier rows; no row where there are none.
 
-        rows and probes have by and t; both are put in time buckets.  A bucket's earlier rows come as combined
+        rows are combined per instant and put in time buckets, as probes are.  A bucket's earlier rows come as combined
         aggregates, so each window only runs over one bucket of one key.
         """
-        both = rows.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True)), allowMissingColumns=True).withColumn("b", F.date_trunc(self.bucket, "t").cast("timestamp_ntz"))
-        buckets = both.groupBy(*by, "b").agg(*[e.alias(n) for n, e in parts.items()])
+        met = rows.groupBy(*by, "t").agg(*[e.alias(n) for n, e in parts.items()]).withColumn("probe", F.lit(False))
+        both = self._bucketed(met.unionByName(probes.select(*by, "t").withColumn("probe", F.lit(True)), allowMissingColumns=True), by)
+        buckets = both.groupBy(*by, "b").agg(*[again[n](F.col(n)).alias(n) for n in parts])
         earlier = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        carried = buckets.select(*by, "b", *[again[n](n).over(earlier).alias(f"e_{n}") for n in parts])
-        # A probe comes before all rows of its own instant, so these are left out: strictly earlier.
+        carried = buckets.select(*by, "b", *[again[n](F.col(n)).over(earlier).alias(f"e_{n}") for n in parts])
+        # A probe comes before the row of its own instant: strictly earlier.
         before = Window.partitionBy(*by, "b").orderBy("t", F.col("probe").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        inside = both.select(*by, "b", "t", "probe", *[e.over(before).alias(f"i_{n}") for n, e in parts.items()]).where("probe")
-        return inside.join(carried, [*by, "b"]).drop("b", "probe")
+        inside = both.select(*by, "b", "t", "probe", *[again[n](F.col(n)).over(before).alias(f"i_{n}") for n in parts]).where("probe")
+        joined = inside.join(carried, [*by, "b"])
+        total = [_combined(again[n], F.col(f"e_{n}"), F.col(f"i_{n}")).alias(n) for n in parts]
+        return joined.select(*by, "t", *total).where(f"{next(iter(parts))} is not null")
+
+    def _upto(self, rows: DataFrame, by: list[str], n: str) -> DataFrame:
+        """rows, one per by and t, with `upto`: the running sum of n up to and with the row."""
+        both = self._bucketed(rows, by)
+        earlier = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = both.groupBy(*by, "b").agg(F.sum(n).alias("held")).select(*by, "b", F.sum("held").over(earlier).alias("carried"))
+        inside = Window.partitionBy(*by, "b").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return both.withColumn("upto", F.sum(n).over(inside)).join(carried, [*by, "b"]).withColumn("upto", F.coalesce("carried", F.lit(0)) + F.col("upto")).drop("b", "carried")
 
-    def _running_histograms(self, keys: DataFrame, edge: Edge, mine: list[Aggregate]) -> list[tuple[DataFrame, dict[Feature, str]]]:
-        """Aggregates of category columns from the running count of each value: work is cutoffs times a key's values, not times its history."""
-        columns = self._columns(edge.child)
-        time = columns[self.rdb.get_table_metadata(edge.child).time_column]
-        out = []
-        for base in dict.fromkeys(f.base for f in mine):
-            found = [f for f in mine if f.base == base]
-            rows = self._rows(edge.child).select(F.col(columns[edge.column]).alias("k"), F.col(time).alias("t"), F.col(columns[base.column]).alias("v")).dropna()
-            probes = keys.select("k", F.col(CUT).alias("t")).join(rows.select("k", "v").distinct(), "k")
-            number = {"n": F.sum(F.when(F.col("probe"), 0).otherwise(1))}
-            met = self._before(rows, probes, ["k", "v"], number, {"n": F.sum})
-            counts_of = met.select("k", F.col("t").alias(CUT), "v", (F.coalesce("e_n", F.lit(0)) + F.coalesce("i_n", F.lit(0))).alias("n")).where("n > 0")
-            alias = {f: self._new() for f in found}
-            out.append((counts_of.groupBy("k", CUT).agg(*[histogram_aggregate(f.primitive.name, F.col("v"), F.col("n")).alias(alias[f]) for f in found]), alias))
-        return out
-
-    def _running(self, keys: DataFrame, edge: Edge, mine: list[Aggregate]) -> tuple[DataFrame, dict[Feature, str]]:
+    def _running_histograms(self, rows: DataFrame, probes: DataFrame, mine: dict[Aggregate, str], alias: dict[Feature, str]) -> DataFrame:
+        """Mode, entropy and distinct counts of columns of one type, from the number of times that a value has come so far.
+
+        As counts only grow, the mode is the value of the greatest count so far; a value's coming again changes the sum of n log n by what its own count tells.
+        """
+        columns = list(dict.fromkeys(mine.values()))
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)])).alias("x")
+        came = rows.select("k", "t", each).select("k", "t", "x.i", "x.v").where("v is not null").groupBy("k", "i", "v", "t").agg(F.count(F.lit(1)).alias("n"))
+        came = self._upto(came, ["k", "i", "v"], "n")
+        r, n = F.col("upto").cast("double"), F.col("n")
+        weight = lambda x: F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
+        parts = {"n": F.sum("n"), "kinds": F.sum(F.when(F.col("upto") == n, 1).otherwise(0)), "spread": F.sum(weight(r) - weight(r - n)), "top": F.min(F.struct((-F.col("upto")).alias("r"), F.col("v")))}
+        again = {"n": F.sum, "kinds": F.sum, "spread": F.sum, "top": F.min}
+        wide = probes.select("k", "t", F.explode(F.array(*[F.lit(i) for i in range(len(columns))])).alias("i"))
+        met = self._before(came, wide, ["k", "i"], parts, again)
+        total = F.col("n").cast("double")
+        entropy = F.when(F.col("kinds") == 1, F.lit(0.0)).otherwise(F.log2(total) - F.col("spread") / total)
+        values = {"mode": F.col("top.v"), "discrete_entropy": entropy, "nunique": F.col("kinds"), "num_unique": F.col("kinds")}
+        picked = [F.max(F.when(F.col("i") == columns.index(c), values[f.primitive.name])).alias(alias[f]) for f, c in mine.items()]
+        return met.groupBy("k", "t").agg(*picked)
+
+    def _running(self, rows: DataFrame, probes: DataFrame, mine: dict[Aggregate, str | None], alias: dict[Feature, str]) -> DataFrame:
         """Aggregates of all children before each cutoff, by windows instead of a join that repeats history."""
-        columns = self._columns(edge.child)
-        time = columns[self.rdb.get_table_metadata(edge.child).time_column]
-        child = self._rows(edge.child)
-        bases = list(dict.fromkeys(f.base.column for f in mine if f.base is not None))
-        values = {b: f"v{i}" for i, b in enumerate(bases)}
-        kinds = {b: child.schema[columns[b]].dataType for b in bases}
-        cast = {b: F.col(columns[b]).cast("int") if isinstance(kinds[b], T.BooleanType) else F.col(columns[b]) for b in bases}
-        rows = child.select(F.col(columns[edge.column]).alias("k"), F.col(time).alias("t"), *[cast[b].alias(v) for b, v in values.items()]).where("k is not null and t is not null")
-        rows = rows.join(keys.select("k").distinct(), "k", "left_semi")
-        probes = keys.select("k", F.col(CUT).alias("t"))
-        parts = {("n", None): F.sum(F.when(F.col("probe"), 0).otherwise(1))}
-        for v in values.values():
-            parts |= {("s", v): F.sum(v), ("c", v): F.count(v), ("lo", v): F.min(v), ("hi", v): F.max(v)}
-        spread = [b for b in bases if any(f.base is not None and f.base.column == b and f.primitive.name in ("std", "variance") for f in mine)]
+        spread = {v for f, v in mine.items() if f.primitive.name in ("std", "variance", "skewness", "kurtosis")}
         if spread:
-            # Squares are summed around the table's mean, so that little is lost where values are far from 0.
-            middle = child.agg(F.struct(*[F.coalesce(F.avg(cast[b]), F.lit(0.0)).alias(values[b]) for b in spread])).scalar()
-            for b in spread:
-                off = F.col(values[b]) - middle.getField(values[b])
-                parts |= {("d", values[b]): F.sum(off), ("q", values[b]): F.sum(off * off)}
-        terms = {"mean": ("s", "c"), "sum": ("s",), "min": ("lo",), "max": ("hi",), "std": ("d", "q", "c"), "variance": ("d", "q", "c")}
-        needed = {("n", None)} | {(p, values[f.base.column]) for f in mine if f.base is not None for p in terms[f.primitive.name]}
-        parts = {k: v for k, v in parts.items() if k in needed}
-        name = {k: f"{k[0]}_{k[1]}" for k in parts}
-        again = {"n": F.sum, "s": F.sum, "c": F.sum, "d": F.sum, "q": F.sum, "lo": F.min, "hi": F.max}
-        met = self._before(rows, probes, ["k"], {name[k]: e for k, e in parts.items()}, {name[k]: again[k[0]] for k in parts})
-        total = {
-            k: F.coalesce(F.col(f"e_{n}"), F.lit(0)) + F.coalesce(F.col(f"i_{n}"), F.lit(0)) if k[0] in ("n", "c")
-            else F.coalesce(F.col(f"e_{n}") + F.col(f"i_{n}"), F.col(f"e_{n}"), F.col(f"i_{n}")) if k[0] in ("s", "d", "q")
-            else (F.least if k[0] == "lo" else F.greatest)(F.col(f"e_{n}"), F.col(f"i_{n}"))
-            for k, n in name.items()
+            # Powers are summed around the key's mean, so that little is lost where values are far from 0.
+            middle = rows.groupBy("k").agg(*[F.avg(v).alias(f"m_{v}") for v in spread])
+            rows = rows.join(middle, "k").withColumns({f"o_{v}": F.col(v) - F.col(f"m_{v}") for v in spread})
+        power = lambda v, n: F.sum(F.pow(F.col(f"o_{v}"), n))
+        dated = lambda v: F.struct("t", F.col(v).alias("v"))
+        make = {
+            "s": (lambda v: F.sum(v), F.sum), "c": (lambda v: F.count(v), F.sum), "lo": (lambda v: F.min(v), F.min), "hi": (lambda v: F.max(v), F.max), "p": (lambda v: F.product(v), F.product),
+            "d": (lambda v: F.sum(f"o_{v}"), F.sum), "q": (lambda v: power(v, 2), F.sum), "u": (lambda v: power(v, 3), F.sum), "w": (lambda v: power(v, 4), F.sum), "f": (lambda v: F.min(dated(v)), F.min), "l": (lambda v: F.max(dated(v)), F.max),
         }
-        alias, out = {f: self._new() for f in mine}, []
-        some = total["n", None] > 0
+        terms = {
+            "mean": "sc", "sum": "s", "min": ("lo",), "max": ("hi",), "any_value": ("lo",), "std": "dqc", "variance": "dqc", "skewness": ("d", "q", "u", "c", "lo", "hi"), "kurtosis": ("d", "q", "u", "w", "c", "lo", "hi"), "product": "p", "first": "f", "last": "l",
+        }
+        needed = dict.fromkeys((t, v) for f, v in mine.items() if v is not None for t in terms[f.primitive.name])
+        parts = {"n": F.count(F.lit(1))} | {f"{t}_{v}": make[t][0](v) for t, v in needed}
+        again = {"n": F.sum} | {f"{t}_{v}": make[t][1] for t, v in needed}
+        met = self._before(rows, probes, ["k"], parts, again)
+
+        def moments(v: str) -> tuple[Column, Column, Column, Column]:
+            """Number and central sums of the second, third and fourth power."""
+            n, d, q = F.col(f"c_{v}").cast("double"), F.col(f"d_{v}"), F.col(f"q_{v}")
+            m = d / n
+            u = F.col(f"u_{v}") if ("u", v) in needed else F.lit(0.0)
+            w = F.col(f"w_{v}") if ("w", v) in needed else F.lit(0.0)
+            return n, F.greatest(F.lit(0.0), q - n * m * m), u - 3 * m * q + 2 * n * m * m * m, w - 4 * m * u + 6 * m * m * q - 3 * n * m * m * m * m
 
         def variance(v: str) -> Column:
-            n = total["c", v]
-            return F.when(n > 1, F.greatest(F.lit(0.0), total["q", v] - total["d", v] * total["d", v] / n) / (n - 1))
+            n, m2, _, _ = moments(v)
+            return F.when(n > 1, m2 / (n - 1))
+
+        varied = lambda v: F.col(f"lo_{v}") < F.col(f"hi_{v}")
+        give = {
+            "count": lambda v: F.col("n"), "mean": lambda v: F.when(F.col(f"c_{v}") > 0, F.col(f"s_{v}") / F.col(f"c_{v}")), "sum": lambda v: F.col(f"s_{v}"), "min": lambda v: F.col(f"lo_{v}"), "max": lambda v: F.col(f"hi_{v}"), "any_value": lambda v: F.col(f"lo_{v}"),
+            "std": lambda v: F.sqrt(variance(v)), "variance": variance, "product": lambda v: F.col(f"p_{v}"), "first": lambda v: F.col(f"f_{v}.v"), "last": lambda v: F.col(f"l_{v}.v"),
+            "skewness": lambda v: F.when(varied(v), F.sqrt(moments(v)[0]) * moments(v)[2] / F.pow(moments(v)[1], 1.5)),
+            "kurtosis": lambda v: F.when(varied(v), moments(v)[0] * moments(v)[3] / F.pow(moments(v)[1], 2) - 3),
+        }
+        return met.select("k", "t", *[give[f.primitive.name](v).alias(alias[f]) for f, v in mine.items()])
 
-        for f in mine:
-            v = f.base and values[f.base.column]
-            e = {
-                "count": lambda v: total["n", None],
-                "mean": lambda v: F.when(total["c", v] > 0, total["s", v] / total["c", v]),
-                "sum": lambda v: total["s", v],
-                "min": lambda v: total["lo", v],
-                "max": lambda v: total["hi", v],
-                "std": lambda v: F.sqrt(variance(v)),
-                "variance": lambda v: variance(v),
-            }[f.primitive.name](v)
-            if f.base is not None and f.primitive.name in ("min", "max") and isinstance(kinds[f.base.column], T.BooleanType):
-                e = e.cast("boolean")
-            out.append(F.when(some, e).alias(alias[f]))
-        return met.select("k", F.col("t").alias(CUT), *out), alias
+    def _selected(self, rows: DataFrame, probes: DataFrame, wanted: dict[str, float]) -> DataFrame:
+        """Quantiles of v before each cutoff, interpolated linearly, by selecting ranks.
+
+        A key's values are parted by about `SPLITS` bounds; the running count of each part tells in which one a cutoff's rank lies, and
+        that part is parted again, until it has few rows or one value.  Each round passes over the rows once and looks at
+        the parts of a key per cutoff, whatever the length of history.
+        """
+        rows = rows.where("v is not null")
+        number = F.sum((~F.isnan("v")).cast("bigint"))
+        n = self._before(rows, probes, ["k"], {"n": F.count(F.lit(1)), "numbers": number}, {"n": F.sum, "numbers": F.sum})
+        rows = rows.where("not isnan(v)")
+        ranks = []
+        for a, q in wanted.items():
+            at = F.lit(q) * (F.col("n") - 1)
+            ranks += [F.struct(F.lit(f"{a}_{side}").alias("a"), f(at).cast("bigint").alias("r")) for side, f in (("lo", F.floor), ("hi", F.ceil))]
+        sought = keep(n.select("k", "t", "n", "numbers", F.explode(F.array(*ranks)).alias("x")).select("k", "t", "n", "numbers", "x.a", "x.r"))
+        # NaN comes after all numbers.
+        targets = sought.where("r < numbers").select("k", "t", "r").distinct().select(F.struct("k", "t", "r").alias("id"), F.col("k").cast("string").alias("g"), "t", "r")
+        rows, found = rows.select(F.col("k").cast("string").alias("g"), "t", "v"), []
+        for _ in range(64):
+            sizes = keep(rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("low"), F.max("v").alias("high")))
+            targets = targets.join(sizes, "g")
+            found.append(targets.where("low = high").select("id", F.col("low").alias("v")))
+            few = targets.where(f"low < high and size <= {SPLITS}").select("id", "g", "t", "r")
+            ordered = Window.partitionBy("id").orderBy("v")
+            met = few.join(rows.withColumnRenamed("t", "at"), "g").where("at < t")
+            found.append(met.withColumn("number", F.row_number().over(ordered) - 1).where("number = r").select("id", "v"))
+            many = sizes.where(f"low < high and size > {SPLITS}").select("g")
+            left, size = measured(many)
+            if not left:
+                break
+            fits = (lambda df: F.broadcast(df)) if small(left, size + 8 * SPLITS * left) else (lambda df: df)  # noqa: B023
+            rows = rows.join(fits(many), "g", "left_semi")
+            shares = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
+            bounds = rows.groupBy("g").agg(F.array_distinct(F.percentile_approx("v", shares, F.lit(20 * SPLITS))).alias("bounds"))
+            # A value that is a bound is a part of its own, so every round makes parts smaller or of one value.
+            part = 2 * F.size(F.filter("bounds", lambda x: x < F.col("v"))) + F.array_contains("bounds", F.col("v")).cast("int")
+            rows = keep(rows.join(fits(bounds), "g").select("g", "t", "v", part.alias("c")))
+            targets = keep(targets.where(f"low < high and size > {SPLITS}").select("id", "g", "t", "r"))
+            parts = rows.groupBy("g").agg(F.collect_set("c").alias("cs"))
+            asked = targets.select("g", "t").distinct().join(fits(parts), "g").select("g", "t", F.explode("cs").alias("c"))
+            counts_of = self._before(rows, asked, ["g", "c"], {"n": F.count(F.lit(1))}, {"n": F.sum})
+            upto = Window.partitionBy("g", "t").orderBy("c")
+            counts_of = counts_of.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
+            placed = targets.join(counts_of, ["g", "t"]).where("before <= r and r < upto")
+            inner = F.concat_ws("/", "g", F.col("c").cast("string"))
+            targets = placed.select("id", inner.alias("g"), "t", (F.col("r") - F.col("before")).alias("r"))
+            rows = rows.select(inner.alias("g"), "t", "v")
+        every = found[0]
+        for f in found[1:]:
+            every = every.unionByName(f)
+        met = sought.join(every.select("id.k", "id.t", "id.r", "v"), ["k", "t", "r"], "left").withColumn("v", F.when(F.col("r") >= F.col("numbers"), F.lit(float("nan"))).otherwise(F.col("v")))
+        sides = [F.max(F.when(F.col("a") == f"{a}_{side}", F.col("v"))).alias(f"{a}_{side}") for a in wanted for side in ("lo", "hi")]
+        out = met.groupBy("k", "t").agg(F.max("n").alias("n"), *sides)
+        share = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+        low, high = lambda a: F.col(f"{a}_lo"), lambda a: F.col(f"{a}_hi")
+        return out.select("k", "t", *[F.when(low(a) == high(a), low(a)).otherwise(low(a) + (high(a) - low(a)) * share(q)).alias(a) for a, q in wanted.items()])
+
+
+def _combined(how: Callable, a: Column, b: Column) -> Column:
+    """One aggregate of two, either of which may be NULL."""
+    both = {F.sum: a + b, F.product: a * b}.get(how)
+    if both is None:
+        both = F.when((a <= b) if how is F.min else (a >= b), a).otherwise(b)
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)

@@ -193,6 +193,36 @@ def test_same_as_naive_evaluation(spark, seed, engine, timed, hot):
             assert x[n] == (pytest.approx(want) if isinstance(want, float) else want), (x.k, n)
 
 
+ALL = ["count", "sum", "mean", "min", "max", "std", "variance", "skewness", "kurtosis", "product", "median", "quantile_25", "quantile_90", "any_value", "first", "last", "mode", "discrete_entropy", "nunique", "num_unique"]
+
+
+def test_windows_and_selection_give_what_the_range_join_gives(spark, monkeypatch):
+    """Every primitive, with one key that holds most rows, ties of time and value, buckets and parts so small that they split."""
+    from rootstock.api import feature_engine
+    from rootstock.plans import compile as c
+
+    monkeypatch.setattr(c, "SPLITS", 4)
+    feature_engine("tiny")(lambda rdb, config: c.Compiler(rdb, "window", bucket_rows=5))
+    r = random.Random(11)
+    minute = lambda: T0 + timedelta(minutes=r.randrange(3000) if r.random() < 0.7 else 60)
+    value = lambda: r.choice([None, math.nan, 0.5, 0.5, 0.5, r.uniform(-3, 3), float(r.randrange(4))])
+    kids = [("a" if r.random() < 0.8 else r.choice(["b", "c", None]), minute(), value(), r.choice([None, "x", "x", "y", "zz"]), r.choice([None, True, False]), r.choice([None, 1, 2, 3])) for _ in range(250)] + [("d", T0, None, None, None, None)]
+    child = spark.createDataFrame(kids, "p string, at timestamp_ntz, v double, c string, f boolean, n int")
+    rdb = rs.create_rdb({"p": spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "id string"), "kid": child}, primary_keys={"p": "id"}, foreign_keys=[("kid", "p", "p", "id")], time_columns={"kid": "at"}, type_hints={"kid": {"v": "float", "f": "float", "n": "float", "c": "category"}})
+    target = spark.createDataFrame([(k, r.choice("aaabcde"), minute() if k % 9 else T0) for k in range(80)], "i int, p string, cut timestamp_ntz")
+    got = {}
+    for engine in ("range", "tiny", "auto"):
+        out = rs.compute_features(rdb, target, {"p": "p.id"}, "cut", config_overrides={"agg_primitives": ALL, "engine": engine, "hot_rows": 50})
+        got[engine] = {x.i: x.asDict() for x in out.collect()}
+    names = [n for n in got["range"][0] if n.startswith("p.")]
+    assert len(names) > 40
+    for engine in ("tiny", "auto"):
+        for i, want in got["range"].items():
+            for n in names:
+                x, y = got[engine][i][n], want[n]
+                assert (x is None) == (y is None) and (x == y or (isinstance(y, float) and x == pytest.approx(y, rel=1e-6, abs=1e-6, nan_ok=True))), (engine, i, n, x, y)
+
+
 def test_rows_at_or_after_the_cutoff_never_matter(spark):
     tables = random_tables(7)
     cut = T0 + timedelta(hours=24)
