@@ -10,14 +10,15 @@ from pathlib import Path
 from typing import Any
 
 import pandas as pd
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rootstock.functions.keys import float_id_text
 from rootstock.rdb import Rdb, as_spark, create_rdb
-from rootstock.schema import ColumnSchema, ColumnType, TableFormat, TableSchema, load_yaml, save_yaml
-from rootstock.sources.files import read_table, write_table
+from rootstock.schema import ColumnSchema, ColumnType, TableFormat, TableSchema
+from rootstock.sources.files import read_bytes, read_table, write_bytes, write_table
 
 log = logging.getLogger(__name__)
 
@@ -92,6 +93,7 @@ class TaskType(StrEnum):
     RETRIEVAL = "retrieval"
 
 
+# Names of metrics.
 class Metric(StrEnum):
     """Names of evaluation metrics that a task may declare; none is computed here."""
 
@@ -156,31 +158,30 @@ class BenchmarkStore:
     @classmethod
     def load(cls, path: str | Path, spark: SparkSession | None = None, allow_pickle: bool = False) -> BenchmarkStore:
         spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-        root = Path(path)
-        meta = load_yaml(root / "metadata.yaml")
+        root = str(path).rstrip("/")
+        meta = yaml.safe_load(read_bytes(spark, f"{root}/metadata.yaml"))
         schemas = [TableSchema.from_dict(t) for t in meta.get("tables", [])]
-        tables = {t.name: read_table(spark, root / t.source, t.format, allow_pickle) for t in schemas}
+        tables = {t.name: read_table(spark, f"{root}/{t.source}", t.format, allow_pickle) for t in schemas}
         tasks = []
         for d in meta.get("tasks") or []:
             s = TaskSchema.from_dict(d)
-            tasks.append(Task(s, *[read_table(spark, root / s.table.source.format(split=x), s.table.format, allow_pickle) for x in SPLITS]))
+            tasks.append(Task(s, *[read_table(spark, f"{root}/{s.table.source.format(split=x)}", s.table.format, allow_pickle) for x in SPLITS]))
         return cls(meta["dataset_name"], tuple(schemas), tables, tuple(tasks))
 
     def save(self, path: str | Path, fmt: TableFormat = TableFormat.PARQUET) -> None:
-        root, suffix = Path(path), "npz" if fmt == TableFormat.NUMPY else "parquet"
-        (root / "data").mkdir(parents=True, exist_ok=True)
+        root, suffix = str(path).rstrip("/"), "npz" if fmt == TableFormat.NUMPY else "parquet"
         tables, tasks = [], []
         for t in self.schemas:
             where = f"data/{t.name}.{suffix}"
-            write_table(self.tables[t.name], root / where, fmt)
+            write_table(self.tables[t.name], f"{root}/{where}", fmt)
             tables.append(t.to_dict() | {"source": where, "format": str(fmt)})
         for t in self.tasks:
             where = f"{t.schema.table.name}/{{split}}.{suffix}"
-            (root / t.schema.table.name).mkdir(exist_ok=True)
             for x in SPLITS:
-                write_table(getattr(t, x), root / where.format(split=x), fmt)
+                write_table(getattr(t, x), f"{root}/{where.format(split=x)}", fmt)
             tasks.append(t.schema.to_dict() | {"source": where, "format": str(fmt)})
-        save_yaml({"dataset_name": self.name, "tables": tables, "tasks": tasks}, root / "metadata.yaml")
+        text = yaml.safe_dump({"dataset_name": self.name, "tables": tables, "tasks": tasks}, sort_keys=False)
+        write_bytes(next(iter(self.tables.values())).sparkSession, f"{root}/metadata.yaml", text.encode())
 
     def get_task(self, name: str) -> Task:
         for t in self.tasks:

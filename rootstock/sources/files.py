@@ -23,6 +23,11 @@ def exists(spark: SparkSession, path: str | Path) -> bool:
     return fs.exists(p)
 
 
+def is_file(spark: SparkSession, path: str | Path) -> bool:
+    fs, p = _file(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
 def read_bytes(spark: SparkSession, path: str | Path) -> bytes:
     fs, p = _file(spark, path)
     stream = fs.open(p)

@@ -1,27 +1,57 @@
-"""SQL databases as sources: SQLite and DuckDB files through their Python clients, servers through JDBC."""
+"""SQL databases as sources: SQLite and DuckDB files and open connections through Python clients, servers through JDBC.
+
+What a Python client reads passes the driver in batches of `ROWS_PER_BATCH` rows; tables of more than one batch are
+written to the shared folder as they are read, so the driver never holds a whole table.
+"""
 
 from __future__ import annotations
 
 import logging
 import re
 import sqlite3
+import uuid
 from abc import ABC, abstractmethod
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
+from itertools import chain
 from pathlib import Path
+from typing import Any
 from urllib.parse import parse_qsl, unquote, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootstock.rdb import Rdb, as_spark, create_rdb
+from rootstock.functions.storage import checkpoint_dir
+from rootstock.rdb import Rdb, create_rdb
 from rootstock.schema import ColumnType
 
 log = logging.getLogger(__name__)
+ROWS_PER_BATCH = 200_000
 ForeignKey = tuple[str, str, str, str]
 
 
+def staged(spark: SparkSession, batches: Iterator[pa.Table]) -> DataFrame:
+    """Batches of one schema as a DataFrame: the only one as it is, several by way of the shared folder."""
+    first = next(batches)
+    second = next(batches, None)
+    if second is None:
+        return spark.createDataFrame(first)
+    where = f"{checkpoint_dir(spark)}/read-{uuid.uuid4().hex}"
+    for b in chain((first, second), batches):
+        spark.createDataFrame(b).write.mode("append").parquet(where)
+    return spark.read.parquet(where)
+
+
+def quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 @dataclass
 class Discovered:
     """What a database tells about one table."""
@@ -53,7 +83,7 @@ class SqlAdapter(ABC):
     """Reads tables, discovers keys and types, and lets the user's hints win.
 
     The time column of a table is its first datetime column unless given.  `tables` restricts what is
-    read; names that don't exist give a warning.  Links to tables that aren't read are kept only where all tables are.
+    read; names that don't exist give a warning.  Of a key of several columns, the first counts as primary key; links of several columns are left out.  Links to tables that aren't read are kept only where all tables are.
     """
 
     def __init__(
@@ -99,8 +129,32 @@ class SqlAdapter(ABC):
         return create_rdb({t: self.read(t) for t in names}, self.name, primary, list(links), times, hints)
 
 
+class _Rows:
+    """Batches of a DB-API cursor's rows. A column's type must hold in all batches, so it is given beforehand."""
+
+    @staticmethod
+    def batches(cursor: Any, types: Mapping[str, pa.DataType]) -> Iterator[pa.Table]:
+        names = [d[0] for d in cursor.description]
+        schema = pa.schema([(n, types.get(n, pa.string())) for n in names])
+        some = False
+        while rows := cursor.fetchmany(ROWS_PER_BATCH):
+            some = True
+            yield pa.table([_column([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+        if not some:
+            yield schema.empty_table()
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_timestamp(kind):
+        times = pd.to_datetime(pd.Series(values, dtype=object), errors="coerce", format="mixed", utc=True).dt.tz_localize(None)
+        return pa.Array.from_pandas(times.astype("datetime64[us]"), type=kind)
+    if pa.types.is_string(kind):
+        return pa.array([v if v is None or isinstance(v, str) else v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v) for v in values], kind)
+    return pa.array([None if v is None else float(v) if pa.types.is_floating(kind) else v for v in values], kind)
+
+
 class SQLiteAdapter(SqlAdapter):
-    """A SQLite file, read on the driver in row-id ranges."""
+    """A SQLite file, read on the driver in batches. A column has the type that all its values have, as SQLite keeps types by value."""
 
     def __init__(self, database_path: str | Path, tables: Iterable[str] | None = None, name: str | None = None, **hints):
         self.path = Path(database_path)
@@ -108,8 +162,11 @@ class SQLiteAdapter(SqlAdapter):
             raise FileNotFoundError(f"SQLite database not found: {self.path}")
         super().__init__(name or self.path.stem, tables, **hints)
 
+    def _open(self) -> sqlite3.Connection:
+        return sqlite3.connect(f"{self.path.resolve().as_uri()}?mode=ro", uri=True)
+
     def _rows(self, sql: str, *args) -> list[tuple]:
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as c:
+        with self._open() as c:
             return c.execute(sql, args).fetchall()
 
     def table_names(self) -> list[str]:
@@ -123,17 +180,67 @@ class SQLiteAdapter(SqlAdapter):
         to = lambda parent, column: column or next((n for _, n in sorted((pk, n) for n, pk in self._rows("select name, pk from pragma_table_info(?)", parent) if pk)), None)
         return Discovered({n: semantic_type(t) for n, t, _ in columns}, keys[0][1] if keys else None, [(c, p, to(p, k)) for _, _, c, p, k in single])
 
+    def _types(self, table: str) -> dict[str, pa.DataType]:
+        """From one scan: whole numbers, numbers, bytes, else text; declared datetimes as times."""
+        columns = self._rows("select name, type from pragma_table_info(?)", table)
+        every = lambda n, kinds: f"coalesce(min(typeof({quoted(n)}) in ({kinds}, 'null')), 1) * (count({quoted(n)}) > 0)"
+        told = self._rows("select " + ", ".join(every(n, k) for n, _ in columns for k in ("'integer'", "'integer', 'real'", "'blob'")) + f" from {quoted(table)}")[0]
+        out = {}
+        for i, (n, declared) in enumerate(columns):
+            whole, number, raw = told[3 * i : 3 * i + 3]
+            time = semantic_type(declared) == ColumnType.DATETIME
+            out[n] = pa.timestamp("us") if time else pa.int64() if whole else pa.float64() if number else pa.binary() if raw else pa.string()
+        return out
+
     def read(self, table: str) -> DataFrame:
-        quoted = '"' + table.replace('"', '""') + '"'
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as c:
-            pdf = pd.read_sql_query(f"select * from {quoted}", c)
-        kinds = self.discover(table).types
-        times = {n: pd.to_datetime(pdf[n], errors="coerce") for n, k in kinds.items() if k == ColumnType.DATETIME}
-        return as_spark(pdf.assign(**times), self.spark)
+        with self._open() as c:
+            df = staged(self.spark, _Rows.batches(c.execute(f"select * from {quoted(table)}"), self._types(table)))
+        return _without_zone(df)
+
+
+def _without_zone(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: F.col(f"`{f.name}`").cast("timestamp_ntz") for f in df.schema.fields if f.dataType.typeName() == "timestamp"})
+
+
+class ConnectionAdapter(SqlAdapter):
+    """Any open DB-API connection of the user: tables and types from its information schema, or from what it returns where it has none.
+
+    Keys come from the hints.  `tables` must be given where there is no information schema.
+    """
+
+    def __init__(self, connection: Any, name: str = "rdb", tables: Iterable[str] | None = None, **hints):
+        self.connection = connection
+        super().__init__(name, tables, **hints)
+
+    def _query(self, sql: str) -> list[tuple] | None:
+        cursor = self.connection.cursor()
+        try:
+            cursor.execute(sql)
+            return cursor.fetchall()
+        except Exception as e:
+            log.info("no information schema: %s", e)
+            return None
+
+    def table_names(self) -> list[str]:
+        found = self._query("select table_name from information_schema.tables where table_type = 'BASE TABLE' and table_schema not in ('information_schema', 'pg_catalog') order by table_name")
+        if found is None and self.wanted is None:
+            raise ValueError("the connection doesn't list its tables: give their names")
+        return self.wanted if found is None else [r[0] for r in found]
+
+    def discover(self, table: str) -> Discovered:
+        found = self._query(f"select column_name, data_type from information_schema.columns where table_name = {literal(table)} order by ordinal_position")
+        return Discovered({n: semantic_type(t) for n, t in found or []})
+
+    def read(self, table: str) -> DataFrame:
+        declared = self.discover(table).types
+        cursor = self.connection.cursor()
+        cursor.execute(f"select * from {quoted(table)}")
+        kinds = {ColumnType.DATETIME: pa.timestamp("us"), ColumnType.FLOAT: pa.float64()}
+        return _without_zone(staged(self.spark, _Rows.batches(cursor, {n: kinds.get(k, pa.string()) for n, k in declared.items()})))
 
 
 class DuckDBAdapter(SqlAdapter):
-    """A DuckDB file, read as Arrow on the driver."""
+    """A DuckDB file, read as Arrow on the driver in batches."""
 
     def __init__(self, database_path: str | Path, tables: Iterable[str] | None = None, name: str | None = None, **hints):
         import duckdb
@@ -156,33 +263,37 @@ class DuckDBAdapter(SqlAdapter):
 
     def discover(self, table: str) -> Discovered:
         columns = self._rows("select column_name, data_type from information_schema.columns where table_schema = 'main' and table_name = ? order by ordinal_position", [table])
-        keys = self._rows("select constraint_type, constraint_column_names, referenced_table, referenced_column_names from duckdb_constraints() where table_name = ?", [table])
-        primary = next((names[-1] for kind, names, _, _ in keys if kind == "PRIMARY KEY"), None)
+        keys = self._rows("select constraint_type, constraint_column_names, referenced_table, referenced_column_names from duckdb_constraints() where schema_name = 'main' and table_name = ?", [table])
+        primary = next((names[0] for kind, names, _, _ in keys if kind == "PRIMARY KEY"), None)
         links = [(a[0], parent, b[0]) for kind, a, parent, b in keys if kind == "FOREIGN KEY" and len(a) == 1]
         return Discovered({n: semantic_type(t) for n, t in columns}, primary, links)
 
     def read(self, table: str) -> DataFrame:
         c = self._connect()
         try:
-            found = c.execute('select * from "' + table.replace('"', '""') + '"')
-            arrow = found.to_arrow_table() if hasattr(found, "to_arrow_table") else found.fetch_arrow_table()
+            found = c.execute(f"select * from {quoted(table)}")
+            reader = found.to_arrow_reader(ROWS_PER_BATCH) if hasattr(found, "to_arrow_reader") else found.fetch_record_batch(ROWS_PER_BATCH)
+            batches = (pa.Table.from_batches([b]) for b in reader if b.num_rows)
+            first = next(batches, reader.schema.empty_table())
+            df = staged(self.spark, chain([first], batches))
         finally:
             c.close()
-        df = self.spark.createDataFrame(arrow)
-        return df.withColumns({f.name: F.col(f"`{f.name}`").cast("timestamp_ntz") for f in df.schema.fields if f.dataType.typeName() == "timestamp"})
+        return _without_zone(df)
 
 
 class JdbcAdapter(SqlAdapter):
     """A database server through JDBC; the user adds the driver's jar.
 
     Keys come from information-schema queries, read through the same connection; types from the schema that
-    JDBC reports.  `partitions` (table -> (numeric column, lower, upper, count)) splits large reads.
+    JDBC reports.  Reads are split by the primary key where it is a number: into parts of about `rows_per_part` values between
+    its least and greatest.  `partitions` (table -> (numeric column, lower, upper, count)) sets this outright.
     """
 
     #: What a subclass fixes.
-    protocol, driver, scheme = "", "", ""
+    protocol, driver, scheme, mark = "", "", "", '"'
 
-    def __init__(self, connection_string: str, tables: Iterable[str] | None = None, name: str | None = None, schema: str | None = None, partitions: Mapping[str, tuple[str, int, int, int]] | None = None, **hints):
+    def __init__(self, connection_string: str, tables: Iterable[str] | None = None, name: str | None = None, schema: str | None = None, partitions: Mapping[str, tuple[str, int, int, int]] | None = None, rows_per_part: int = 1_000_000, fetch_size: int = 10_000, **hints):
+        self.rows_per_part, self.fetch_size = rows_per_part, fetch_size
         self.url, self.options = self.jdbc_url(connection_string)
         self.database = unquote(urlsplit(connection_string.removeprefix("jdbc:")).path.lstrip("/"))
         self.schema, self.partitions = schema, dict(partitions or {})
@@ -209,13 +320,16 @@ class JdbcAdapter(SqlAdapter):
         """The schema that tables are listed in, as information_schema names it."""
 
     def qualified(self, table: str) -> str:
-        return f"{self.schema}.{table}" if self.schema else table
+        return ".".join(self.quote(x) for x in ([self.schema] if self.schema else []) + [table])
+
+    def quote(self, name: str) -> str:
+        return self.mark + name.replace(self.mark, 2 * self.mark) + self.mark
 
     def table_names(self) -> list[str]:
-        return [r[0] for r in self._query(f"select table_name from information_schema.tables where table_schema = '{self.home}' and table_type = 'BASE TABLE' order by table_name")]
+        return [r[0] for r in self._query(f"select table_name from information_schema.tables where table_schema = {literal(self.home)} and table_type = 'BASE TABLE' order by table_name")]
 
     def discover(self, table: str) -> Discovered:
-        columns = self._query(f"select column_name, data_type from information_schema.columns where table_schema = '{self.home}' and table_name = '{table}' order by ordinal_position")
+        columns = self._query(f"select column_name, data_type from information_schema.columns where table_schema = {literal(self.home)} and table_name = {literal(table)} order by ordinal_position")
         keys = self._query(self.keys_sql(table))
         primary = next((c for kind, c, *_ in keys if kind == "PRIMARY KEY"), None)
         links = [k for k in keys if k[0] == "FOREIGN KEY"]
@@ -226,16 +340,29 @@ class JdbcAdapter(SqlAdapter):
     def keys_sql(self, table: str) -> str:
         """Rows (constraint type, column, parent table, parent column, constraint name) in key order."""
 
-    def read(self, table: str) -> DataFrame:
-        r = self.spark.read.format("jdbc").options(url=self.url, dbtable=self.qualified(table), **self.options)
+    def parts(self, table: str) -> tuple[str, int, int, int] | None:
+        """(column, lower, upper, count) of a split read, or None where one part is enough or the key is no number."""
         if table in self.partitions:
-            column, low, high, n = self.partitions[table]
+            return self.partitions[table]
+        found = self.discover(table)
+        key = self.primary_keys.get(table) or found.primary_key
+        if not key or found.types.get(key) != ColumnType.FLOAT:
+            return None
+        low, high = self._query(f"select min({self.quote(key)}), max({self.quote(key)}) from {self.qualified(table)}")[0]
+        if low is None or (n := -(-(int(high) - int(low) + 1) // self.rows_per_part)) < 2:
+            return None
+        return key, int(low), int(high) + 1, min(n, 10_000)
+
+    def read(self, table: str) -> DataFrame:
+        r = self.spark.read.format("jdbc").options(url=self.url, dbtable=self.qualified(table), fetchsize=self.fetch_size, **self.options)
+        if found := self.parts(table):
+            column, low, high, n = found
             r = r.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=n)
         return r.load()
 
 
 class MySQLAdapter(JdbcAdapter):
-    protocol, driver, scheme = "mysql", "com.mysql.cj.jdbc.Driver", "mysql"
+    protocol, driver, scheme, mark = "mysql", "com.mysql.cj.jdbc.Driver", "mysql", "`"
 
     @property
     def home(self) -> str:
@@ -244,12 +371,12 @@ class MySQLAdapter(JdbcAdapter):
     def keys_sql(self, table: str) -> str:
         return f"""select t.constraint_type, k.column_name, k.referenced_table_name, k.referenced_column_name, k.constraint_name
             from information_schema.key_column_usage k join information_schema.table_constraints t
-            on t.constraint_schema = k.constraint_schema and t.constraint_name = k.constraint_name and t.table_name = k.table_name
-            where k.table_schema = '{self.home}' and k.table_name = '{table}' order by k.constraint_name, k.ordinal_position"""
+            on t.constraint_schema = k.constraint_schema and t.constraint_name = k.constraint_name and t.table_schema = k.table_schema and t.table_name = k.table_name
+            where k.table_schema = {literal(self.home)} and k.table_name = {literal(table)} order by k.constraint_name, k.ordinal_position"""
 
 
 class PostgreSQLAdapter(JdbcAdapter):
-    protocol, driver, scheme = "postgresql", "org.postgresql.Driver", "postgresql"
+    protocol, driver, scheme, mark = "postgresql", "org.postgresql.Driver", "postgresql", '"'
 
     @property
     def home(self) -> str:
@@ -258,6 +385,6 @@ class PostgreSQLAdapter(JdbcAdapter):
     def keys_sql(self, table: str) -> str:
         return f"""select t.constraint_type, k.column_name, u.table_name, u.column_name, k.constraint_name
             from information_schema.key_column_usage k join information_schema.table_constraints t
-            on t.constraint_schema = k.constraint_schema and t.constraint_name = k.constraint_name and t.table_name = k.table_name
+            on t.constraint_schema = k.constraint_schema and t.constraint_name = k.constraint_name and t.table_schema = k.table_schema and t.table_name = k.table_name
             left join information_schema.constraint_column_usage u on u.constraint_schema = k.constraint_schema and u.constraint_name = k.constraint_name
-            where k.table_schema = '{self.home}' and k.table_name = '{table}' order by k.constraint_name, k.ordinal_position"""
+            where k.table_schema = {literal(self.home)} and k.table_name = {literal(table)} order by k.constraint_name, k.ordinal_position"""

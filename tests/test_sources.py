@@ -56,7 +56,7 @@ def test_missing_files_and_servers(spark, tmp_path):
     my = MySQLAdapter("mysql+driver://me:p%40ss@host:3307/shop?useSSL=false")
     assert (my.url, my.options["user"], my.options["password"], my.options["useSSL"], my.home) == ("jdbc:mysql://host:3307/shop", "me", "p@ss", "false", "shop")
     pg = PostgreSQLAdapter("postgresql://host/shop", schema="sales", tables=["t"])
-    assert (pg.url, pg.qualified("t"), pg.home, pg.name) == ("jdbc:postgresql://host/shop", "sales.t", "sales", "postgresql_rdb")
+    assert (pg.url, pg.qualified("t"), pg.home, pg.name) == ("jdbc:postgresql://host/shop", '"sales"."t"', "sales", "postgresql_rdb")
     assert "sales" in pg.keys_sql("t") and "shop" in my.keys_sql("t")
 
 
@@ -117,3 +117,47 @@ def test_store_with_tasks_round_trip(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown task"):
         store.get_task("other")
     assert StoreAdapter("b", store).load().table_names == ["t"]
+
+
+def test_reading_in_batches(adapter, spark, monkeypatch):
+    from rootstock.sources import sql
+
+    monkeypatch.setattr(sql, "ROWS_PER_BATCH", 1)
+    r = adapter().load()
+    assert {(x.order_id, x.user_id, x.amount, str(x.created)) for x in r.get_table("orders").collect()} == {("10", "1", 2.5, "2024-01-01 10:00:00"), ("11", "2", 3.5, "2024-01-02 10:00:00")} or {(x.order_id, x.amount) for x in r.get_table("orders").collect()} == {(10, 2.5), (11, 3.5)}
+    assert "read-" in " ".join(r.get_table("orders").inputFiles())
+
+
+def test_sqlite_keeps_types_by_value(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "t #1.db") as c:
+        c.execute('create table "a ""b" (i integer primary key, mixed integer, real_ real, none_ integer, raw blob, day date)')
+        c.executemany('insert into "a ""b" values (?, ?, ?, null, ?, ?)', [(1, 5, 1, b"x", "2024-01-01"), (2, "five", 2.5, b"y", "soon")])
+    df = SQLiteAdapter(tmp_path / "t #1.db").read('a "b')
+    assert [tuple(x) for x in df.orderBy("i").selectExpr("i", "mixed", "real_", "none_", "cast(raw as string)", "cast(day as string)").collect()] == [(1, "5", 1.0, None, "x", "2024-01-01 00:00:00"), (2, "five", 2.5, None, "y", None)]
+
+
+def test_an_open_connection(spark, tmp_path):
+    from rootstock.sources.sql import ConnectionAdapter
+
+    con = duckdb.connect()
+    for s in DDL:
+        con.execute(s)
+    r = ConnectionAdapter(con, "mine", primary_keys={"users": "user_id", "orders": "order_id"}, foreign_keys=[("orders", "user_id", "users", "user_id")]).load()
+    assert r.metadata.name == "mine" and r.get_table_metadata("orders").time_column == "created" and r.get_table("orders").count() == 2
+    plain = sqlite3.connect(":memory:")
+    plain.execute("create table t (x text)")
+    with pytest.raises(ValueError, match="give their names"):
+        ConnectionAdapter(plain).load()
+    assert ConnectionAdapter(plain, tables=["t"]).load().get_table("t").count() == 0
+
+
+def test_split_reads_and_quoted_names(spark):
+    pg = PostgreSQLAdapter("postgresql://host/shop", schema='s"x', rows_per_part=100)
+    my = MySQLAdapter("mysql://host/shop", partitions={"t": ("id", 1, 5, 2)})
+    assert pg.qualified("T'1") == '"s""x"."T\'1"' and my.qualified("a`b") == "`a``b`" and "'T''1'" in pg.keys_sql("T'1")
+    asked = []
+    answers = {"select min": [(5, 1004)], "select column_name": [("id", "integer")], "select t.": [("PRIMARY KEY", "id", None, None, "k")]}
+    pg._query = lambda q: asked.append(q) or next(v for k, v in answers.items() if q.startswith(k))
+    assert pg.parts("t") == ("id", 5, 1005, 10) and my.parts("t") == ("id", 1, 5, 2)
+    answers["select min"] = [(None, None)]
+    assert pg.parts("t") is None
