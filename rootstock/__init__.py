@@ -20,9 +20,10 @@ from rootstock.operators.transforms import (
 )
 from rootstock.rdb import Rdb, create_rdb, load_rdb
 from rootstock.schema import ColumnSchema, ColumnType, RdbMeta, Relationship, TableFormat, TableSchema
+from rootstock.sources.catalogue import load_by_name
 
 __all__ = [
     "CanonicalizeTypes", "ColumnSchema", "ColumnTransform", "ColumnType", "FeatureConfig", "FeaturePipeline", "FeaturizeDatetime", "FillMissingPrimaryKey", "FilterColumn", "HandleDummyTable", "InferSchemaTransform",
     "Rdb", "RdbMeta", "RdbTransform", "RdbTransformPipeline", "RdbTransformWrapper", "Relationship", "TableFormat", "TableSchema", "TableTransform", "apply_transform", "apply_transform_pipeline", "compute_features",
-    "configure_file_logging", "configure_logging", "create_rdb", "feature_engine", "get_engine", "get_primitive", "load_rdb", "plan_features", "register_primitive",
+    "configure_file_logging", "configure_logging", "create_rdb", "feature_engine", "get_engine", "get_primitive", "load_by_name", "load_rdb", "plan_features", "register_primitive",
 ]

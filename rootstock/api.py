@@ -32,8 +32,9 @@ class FeatureConfig:
 
     engine: range (cutoffs joined with all earlier rows), window (running aggregates wherever an aggregate allows
     it), auto (range, but window for keys with more than hot_rows children, which one job per edge counts) or a registered name.  include_entities / ignore_entities restrict the tables that paths may enter.
-    max_features below 0 means all.  engine_path, chunk_size, n_jobs and concat_chunk_size are accepted
-    and have no use here: nothing is staged, and Spark sets the parallelism.
+    max_features below 0 means all.  row_id names a column to be added that numbers the target's rows in their order, so that
+    results can be put back in it.  engine_path, chunk_size, n_jobs and concat_chunk_size are accepted
+    and have no use here, which a warning says: nothing is staged, and Spark sets the parallelism.
     """
 
     agg_primitives: Sequence[str | Primitive] = DEFAULT_PRIMITIVES
@@ -52,6 +53,7 @@ class FeatureConfig:
     zero_nested_counts: bool = False
     check_unique_keys: bool = False
     hot_rows: int = 10_000
+    row_id: str | None = None
 
     def with_overrides(self, overrides: Mapping[str, Any] | None) -> FeatureConfig:
         known = {f.name for f in fields(self)}
@@ -122,10 +124,16 @@ def compute_features(
 
     key_mappings: target column -> "table.primary_key".  With a cutoff column, every timed table on a path
     only shows rows strictly before the row's cutoff.  Target rows without key or cutoff get NULLs and counts of 0;
-    so do those whose key isn't found.  Row order isn't defined.
+    so do those whose key isn't found.  Row order isn't defined; the setting row_id keeps it in a column.
     """
     config = (config or FeatureConfig()).with_overrides(config_overrides)
+    if idle := [n for n in ("engine_path", "chunk_size", "n_jobs", "concat_chunk_size") if getattr(config, n) != getattr(FeatureConfig, n)]:
+        log.warning("settings %s have no use here", idle)
     target = as_spark(target)
+    if config.row_id:
+        if config.row_id in target.columns:
+            raise ValueError(f"column {config.row_id} exists in the target")
+        target = target.withColumn(config.row_id, F.monotonically_increasing_id())
     _check(rdb, target, key_mappings, cutoff_time_column)
     rdb = rdb.canonicalize_key_types()
     rdb.validate_key_consistency()

@@ -1,7 +1,7 @@
 """Registry of aggregation primitives.
 
-A primitive says which tags it takes, which it gives, and how it is computed.  Three kinds exist:
-`column` builds one aggregate expression; `histogram` is computed from (key, value) counts, which
+A primitive says which tags it takes, which it gives, and how it is computed.  Four kinds exist:
+`column` builds one aggregate expression; `elements` builds one over each position of arrays; `histogram` is computed from (key, value) counts, which
 combine map-side and keep a hot key's values apart; `rows` counts matched rows.
 """
 
@@ -92,22 +92,9 @@ register_primitive("num_unique", {NUMERIC, CATEGORY}, NUMERIC, kind="histogram",
 register_primitive("join", TEXT, TEXT, lambda c, t: F.array_join(F.array_sort(F.collect_list(c)), "\n"), numeric_cast=False)
 
 
-def _elementwise(how: str) -> Callable[[Column, Column], Column]:
-    """Element by element over arrays of one length: arrays are summed up as arrays of (position, value) aggregates."""
-
-    def build(c: Column, t: Column) -> Column:
-        rows = F.collect_list(c)
-        width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-        column = lambda i: F.filter(F.transform(rows, lambda r: F.get(r, i)), lambda x: x.isNotNull())
-        total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
-        one = {"max": F.array_max, "min": F.array_min, "mean": lambda v: F.when(F.size(v) > 0, total(v) / F.size(v))}[how]
-        return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda i: one(column(i))))
-
-    return build
-
-
-for _how in ("max", "min", "mean"):
-    register_primitive(f"array{_how}", ARRAY, ARRAY, _elementwise(_how), numeric_cast=False)
+# Arrays of one length, element by element: each position is aggregated by itself, so no task holds a group's arrays.
+for _name, _how in {"arraymax": F.max, "arraymin": F.min, "arraymean": F.avg}.items():
+    register_primitive(_name, ARRAY, ARRAY, lambda c, t, how=_how: how(c), kind="elements", numeric_cast=False)
 
 
 def histogram_aggregate(name: str, value: Column, n: Column) -> Column:

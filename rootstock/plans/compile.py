@@ -181,6 +181,11 @@ class Compiler:
                 plain.append(f.primitive.build(c, time).alias(alias[f]))
         for i in range(0, len(plain), AGGREGATES_AT_ONCE):
             tables.append(child.groupBy(*by).agg(*plain[i : i + AGGREGATES_AT_ONCE]))
+        for b in dict.fromkeys(f.base for f in mine if f.primitive.kind == "elements"):
+            own = [f for f in mine if f.base == b and f.primitive.kind == "elements"]
+            placed = child.select(*by, F.posexplode(source[b]).alias("at", "x")).groupBy(*by, "at").agg(*[f.primitive.build(F.col("x"), time).alias(alias[f]) for f in own])
+            gathered = [_field(F.array_sort(F.collect_list(F.struct("at", alias[f]))), alias[f]).alias(alias[f]) for f in own]
+            tables.append(placed.groupBy(*by).agg(*gathered))
         counted: dict[str, list[Feature]] = {}
         for b in dict.fromkeys(f.base for f in mine if f.primitive.kind == "histogram"):
             counted.setdefault(child.schema[source[b]].dataType.simpleString(), []).append(b)
@@ -419,6 +424,10 @@ class Compiler:
         return out.select("k", "t", *[F.when(low(a) == high(a), low(a)).otherwise(low(a) + (high(a) - low(a)) * share(q)).alias(a) for a, q in wanted.items()])
 
 
+def _field(structs: Column, name: str) -> Column:
+    return F.transform(structs, lambda s: s[name])
+
+
 def _combined(how: Callable, a: Column, b: Column) -> Column:
     """One aggregate of two, either of which may be NULL."""
     both = {F.sum: a + b, F.product: a * b}.get(how)

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import sqlite3
+import tempfile
 import uuid
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootstock.api import FeatureConfig, FeaturePipeline, compute_features
+from rootstock.api import FeatureConfig, FeaturePipeline, compute_features, plan_features
 from rootstock.functions.inference import infer_types
 from rootstock.functions.keys import key_form
+from rootstock.functions.primitives import NUMERIC, register_primitive
 from rootstock.functions.storage import checkpoint_dir
 from rootstock.operators import transforms as tr
 from rootstock.rdb import Rdb, create_rdb
 from rootstock.schema import ColumnSchema, RdbMeta, TableFormat, TableSchema
+from rootstock.sources.benchmarks import BenchmarkStore, StoreAdapter, TableDictAdapter, Task, TaskSchema
+from rootstock.sources.sql import ConnectionAdapter, DuckDBAdapter, SQLiteAdapter
 from rootstock.streaming.incremental import incremental_aggregates
 
 PK, FL, CAT, TXT, DT = "primary_key", "float", "category", "text", "datetime"
@@ -98,6 +104,42 @@ agg_entropy = _agg(["discrete_entropy"], {"part.DISCRETE_ENTROPY(lineitem.l_retu
 agg_nunique = _agg(["nunique"], {"part.NUNIQUE(lineitem.l_returnflag)": "n_flags", _L.format("NUNIQUE"): "n_quantities"})
 agg_first_last = _agg(["first", "last"], {_L.format("FIRST"): "first_qty", _L.format("LAST"): "last_qty"})
 agg_moments = _agg(["skewness"], {_L.format("SKEWNESS"): "skew_qty"})
+agg_kurtosis = _agg(["kurtosis"], {_L.format("KURTOSIS"): "kurt_qty"})
+agg_any_value = _agg(["any_value"], {"part.ANY_VALUE(lineitem.l_returnflag)": "any_flag", _L.format("ANY_VALUE"): "any_qty"})
+
+
+def agg_product(spark: SparkSession, sf: str) -> DataFrame:
+    return _features(spark, sf, ["nation", "supplier"], "nation", {"n_nationkey": "nation.n_nationkey"}, {"nation.PRODUCT(supplier.s_acctbal)": "product"}, keep=["n_nationkey"], max_depth=2, agg_primitives=["product"])
+
+
+def agg_own_primitive(spark: SparkSession, sf: str) -> DataFrame:
+    """A primitive of the user's: the span of values."""
+    span = register_primitive("span", NUMERIC, NUMERIC, lambda c, t: F.max(c) - F.min(c))
+    return _features(spark, sf, ["part", "lineitem"], "part", {"p_partkey": "part.p_partkey"}, {_L.format("SPAN"): "span_qty"}, keep=["p_partkey"], max_depth=2, agg_primitives=[span])
+
+
+def agg_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings of each label, element by element."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("label").cast("string").alias("label"), "embedding")
+    meta = RdbMeta("e", [_t("label", {"label": PK}), _t("vector", {"label": "label.label", "embedding": FL})])
+    labels = vectors.select("label").distinct()
+    out = compute_features(Rdb(meta, {"label": labels, "vector": vectors}), labels, {"label": "label.label"}, config=FeatureConfig(agg_primitives=["arraymax", "arraymin", "arraymean"]))
+    each = [F.posexplode(F.arrays_zip(*[F.col(f"`label.{n}(vector.embedding)`").alias(a) for n, a in (("ARRAYMAX", "high"), ("ARRAYMIN", "low"), ("ARRAYMEAN", "mean"))]))]
+    return out.select("label", *each).select("label", "pos", F.col("col.high").cast("double").alias("high"), F.col("col.low").cast("double").alias("low"), F.round("col.mean", 6).alias("mean"))
+
+
+def _allowed(**rules) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """Names of the features that remain where tables are left out."""
+        rdb = _rdb(spark, sf, "customer", "orders", "lineitem", "nation")
+        found = plan_features(rdb, {"o_custkey": "customer.c_custkey"}, FeatureConfig(agg_primitives=["count"], max_depth=3, **rules))
+        return spark.createDataFrame([(n,) for n in found], "feature string")
+
+    return run
+
+
+include_entities = _allowed(include_entities=["customer", "orders"])
+ignore_entities = _allowed(ignore_entities=["lineitem"])
 
 
 def agg_join_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,6 +190,36 @@ cutoff_std_window = _cutoff(["std", "count"], {_L.format("STD"): "std_qty"}, "wi
 cutoff_mode_window = _cutoff(["mode", "discrete_entropy"], {"part.MODE(lineitem.l_returnflag)": "mode_flag", "part.DISCRETE_ENTROPY(lineitem.l_returnflag)": "entropy_flag"}, "window")
 cutoff_std = _cutoff(["std"], {_L.format("STD"): "std_qty"})
 cutoff_quantile = _cutoff(["quantile_25", "median"], {_L.format("QUANTILE_25"): "q25", _L.format("MEDIAN"): "median_qty"})
+_RANKS = {_L.format("QUANTILE_25"): "q25", _L.format("MEDIAN"): "median_qty"}
+cutoff_quantile_window = _cutoff(["quantile_25", "median"], _RANKS, "window")
+cutoff_quantile_auto = _cutoff(["quantile_25", "median"], _RANKS, "auto", 30)
+_KINDS = {_L.format("NUNIQUE"): "n_quantities", "part.NUNIQUE(lineitem.l_returnflag)": "n_flags"}
+cutoff_nunique = _cutoff(["nunique"], _KINDS)
+cutoff_nunique_window = _cutoff(["nunique"], _KINDS, "window")
+_SHAPE = {_L.format("SKEWNESS"): "skew_qty", _L.format("KURTOSIS"): "kurt_qty"}
+
+
+def _rounded(query: Callable[[SparkSession, str], DataFrame], *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Values to five places; a little is added, so that what lies half-way is rounded alike however it was summed up."""
+    return lambda spark, sf: query(spark, sf).withColumns({c: F.round(F.col(c) + 3.1e-8, 5) + 0.0 for c in columns})
+
+
+cutoff_moments = _rounded(_cutoff(["skewness", "kurtosis"], _SHAPE), "skew_qty", "kurt_qty")
+cutoff_moments_window = _rounded(_cutoff(["skewness", "kurtosis"], _SHAPE, "window"), "skew_qty", "kurt_qty")
+_PICKED = {_L.format("FIRST"): "first_qty", _L.format("LAST"): "last_qty", "part.ANY_VALUE(lineitem.l_returnflag)": "any_flag"}
+cutoff_first_last = _cutoff(["first", "last", "any_value"], _PICKED)
+cutoff_first_last_window = _cutoff(["first", "last", "any_value"], _PICKED, "window")
+
+
+def cutoff_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """One part holds a third of all lines; engine auto gives it windows and selection, all others the range join."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("l_partkey", F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(F.col("l_partkey")).cast("string"))
+    rdb = Rdb(RdbMeta("hot", [SCHEMAS["part"], _t("line", {"l_partkey": "part.p_partkey", "l_quantity": FL, "l_returnflag": CAT, "l_shipdate": DT}, "l_shipdate")]), {"part": _rdb(spark, sf, "part").get_table("part"), "line": lines.select("l_partkey", "l_quantity", "l_returnflag", "l_shipdate")})
+    wanted = {"COUNT(line)": "n", "MEAN(line.l_quantity)": "mean_qty", "STD(line.l_quantity)": "std_qty", "MEDIAN(line.l_quantity)": "median_qty", "NUNIQUE(line.l_quantity)": "n_quantities", "MODE(line.l_returnflag)": "mode_flag"}
+    out = compute_features(rdb, lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"), {"l_partkey": "part.p_partkey"}, "l_shipdate", FeatureConfig(agg_primitives=["count", "mean", "std", "median", "nunique", "mode"], hot_rows=5000))
+    return out.select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("bigint").alias("l_partkey"), "l_shipdate", *[F.col(f"`part.{f}`").alias(a) for f, a in wanted.items()])
+
+
 cutoff_mode = _cutoff(["mode", "discrete_entropy"], {"part.MODE(lineitem.l_returnflag)": "mode_flag", "part.DISCRETE_ENTROPY(lineitem.l_returnflag)": "entropy_flag"})
 
 
@@ -170,6 +242,108 @@ def target_history(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("o_orderkey", F.col("`customer.COUNT(history)`").alias("n"), F.col("`customer.MAX(history.o_totalprice)`").alias("max_price"))
 
 
+def apply_helpers(spark: SparkSession, sf: str) -> DataFrame:
+    """Transforms of a column, a table and a database, applied one after another."""
+    rdb = tr.apply_transform_pipeline(_rdb(spark, sf, "orders"), [tr.FeaturizeDatetime(["quarter", "dayofyear"], retain_original=False), _Constant(), tr.FilterColumn(["category"], drop_redundant=True)])
+    return tr.apply_transform(rdb, tr.CanonicalizeTypes()).get_table("orders")
+
+
+def epoch_of_null(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of a time that may be NULL: when users were deleted."""
+    users = spark.read.parquet(f"{sf}/users.parquet").select("user_id", "deleted_at")
+    rdb = Rdb(RdbMeta("u", [_t("users", {"user_id": PK, "deleted_at": DT})]), {"users": users})
+    out = tr.FeaturizeDatetime(["epochtime", "year"], retain_original=False)(rdb).get_table("users")
+    return out.select("user_id", F.col("deleted_at_epochtime").alias("epoch"), F.col("deleted_at_year").alias("year"))
+
+
+def infer_transform(spark: SparkSession, sf: str) -> DataFrame:
+    """Types, links and time columns filled in by the transform."""
+    tables = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("customer", "orders")}
+    bare = Rdb(RdbMeta("shop", [TableSchema(n, [ColumnSchema(c, TXT) for c in ()]) for n in tables]), tables)
+    rdb = tr.InferSchemaTransform({"customer": "c_custkey", "orders": "o_orderkey"}, [("orders", "o_custkey", "customer", "c_custkey")], {"orders": "o_orderdate"})(bare)
+    return spark.createDataFrame(rdb.columns, "table_name string, column_name string, dtype string, link_to string, time_column string")
+
+
+def update_table(spark: SparkSession, sf: str) -> DataFrame:
+    """One table replaced by part of its columns, then read."""
+    rdb = _rdb(spark, sf, "customer", "orders")
+    schema = rdb.get_table_metadata("orders")
+    slim = schema.with_columns([c for c in schema.columns if c.name in ("o_orderkey", "o_custkey", "o_orderdate")])
+    return rdb.update_table("orders", rdb.get_table("orders").select(*[c.name for c in slim.columns]), slim).get_table("orders")
+
+
+def ddl(spark: SparkSession, sf: str) -> DataFrame:
+    """CREATE TABLE statements of a database."""
+    return spark.createDataFrame(list(_rdb(spark, sf, "region", "nation").ddl.items()), "table_name string, statement string")
+
+
+def _stored(spark: SparkSession, sf: str, open_file: Callable[[str], object]) -> str:
+    """customer and orders in a database file; these formats are files of one machine, written for the query and read at once."""
+    path = f"{tempfile.mkdtemp(prefix='rootstock-db-')}/shop.db"
+    con = open_file(path)
+    for name, columns in {"customer": "c_custkey integer primary key, c_name text, c_acctbal double precision", "orders": "o_orderkey integer primary key, o_custkey integer references customer(c_custkey), o_orderdate timestamp, o_totalprice double precision"}.items():
+        con.execute(f"create table {name} ({columns})")
+        names = [c.split()[0] for c in columns.split(", ")]
+        rows = spark.read.parquet(f"{sf}/{name}.parquet").select(*[F.col(n).cast("string") if n == "o_orderdate" else F.col(n) for n in names])
+        for batch in rows.toArrow().to_batches(10_000):
+            con.executemany(f"insert into {name} values ({', '.join('?' * len(names))})", [tuple(r.values()) for r in batch.to_pylist()])
+    con.commit()
+    con.close()
+    return path
+
+
+def _orders_of(rdb: Rdb) -> DataFrame:
+    """Orders with their customer's balance, through discovered keys and types."""
+    target = rdb.get_table("orders").select("o_orderkey", "o_custkey")
+    out = compute_features(rdb, target, {"o_custkey": "customer.c_custkey"}, config=FeatureConfig(agg_primitives=["count", "max"]))
+    names = {"customer.c_acctbal": "c_acctbal", "customer.COUNT(orders)": "n", "customer.MAX(orders.o_totalprice)": "max_price"}
+    return out.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), *[F.col(f"`{f}`").alias(a) for f, a in names.items()])
+
+
+def sqlite_source(spark: SparkSession, sf: str) -> DataFrame:
+    return _orders_of(SQLiteAdapter(_stored(spark, sf, sqlite3.connect), spark=spark).load())
+
+
+def duckdb_source(spark: SparkSession, sf: str) -> DataFrame:
+    import duckdb
+
+    def opened(path: str):
+        con = duckdb.connect(path)
+        con.execute("begin")
+        return con
+
+    return _orders_of(DuckDBAdapter(_stored(spark, sf, opened), spark=spark).load())
+
+
+def connection_source(spark: SparkSession, sf: str) -> DataFrame:
+    """An open connection of the user, with keys from hints."""
+    con = sqlite3.connect(_stored(spark, sf, sqlite3.connect))
+    hints = {"orders": {"o_totalprice": FL, "o_orderdate": DT}, "customer": {"c_acctbal": FL}}
+    return _orders_of(ConnectionAdapter(con, "shop", ["customer", "orders"], primary_keys={"customer": "c_custkey", "orders": "o_orderkey"}, foreign_keys=[("orders", "o_custkey", "customer", "c_custkey")], type_hints=hints, spark=spark).load())
+
+
+def table_dict_source(spark: SparkSession, sf: str) -> DataFrame:
+    """A data set that has its tables in a dictionary, with a duration to be given in seconds."""
+    read = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    part = lambda df, pk, at, **fk: SimpleNamespace(df=df, pkey_col=pk, time_col=at, fkey_col_to_pkey_table=fk)
+    hours = F.concat(F.col("o_orderkey") % 50, F.lit(":30:15"))
+    db = SimpleNamespace(table_dict={"customer": part(read("customer"), "c_custkey", None), "races": part(read("orders").withColumn("time", hours), "o_orderkey", "o_orderdate", o_custkey="customer")})
+    rdb = TableDictAdapter("rel-f1", db, spark=spark).load()
+    return rdb.get_table("races").select("o_orderkey", "o_custkey", "time")
+
+
+def array_source(spark: SparkSession, sf: str) -> DataFrame:
+    """A benchmark store with a task, saved, loaded and read as a database; float ids become texts."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey").cast("double")).alias("userId"), "o_totalprice")
+    columns = [{"name": "o_orderkey", "dtype": PK}, {"name": "userId", "dtype": CAT}, {"name": "o_totalprice", "dtype": FL}]
+    task = TaskSchema.from_dict({"name": "price", "source": "s", "format": "parquet", "columns": columns, "evaluation_metric": "rmse", "target_column": "o_totalprice", "target_table": "View", "task_type": "regression"})
+    where = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    BenchmarkStore("diginetica", (TableSchema.from_dict({"name": "View", "columns": columns}),), {"View": orders}, (Task(task, orders, orders, orders),)).save(where)
+    again = BenchmarkStore.load(where, spark)
+    view = StoreAdapter("diginetica", again, spark=spark).load().get_table("View")
+    return view.join(again.get_task("price").test.select("o_orderkey", F.col("o_totalprice").alias("label")), "o_orderkey")
+
+
 def dummy_table(spark: SparkSession, sf: str) -> DataFrame:
     return tr.HandleDummyTable()(_rdb(spark, sf, "events")).get_table("user")
 
@@ -276,6 +450,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "agg_mode": agg_mode, "agg_entropy": agg_entropy, "agg_nunique": agg_nunique, "agg_first_last": agg_first_last, "agg_moments": agg_moments, "agg_join_text": agg_join_text,
     "agg_of_direct": agg_of_direct, "agg_of_agg": _agg_of_agg(False), "agg_of_agg_zero": _agg_of_agg(True), "multi_hop": multi_hop, "multi_hop_cutoff": multi_hop_cutoff, "multi_key": multi_key,
     "cutoff_count": cutoff_count, "cutoff_stats": cutoff_stats, "cutoff_window": cutoff_window, "cutoff_std": cutoff_std, "cutoff_auto": cutoff_auto, "cutoff_std_window": cutoff_std_window, "cutoff_mode_window": cutoff_mode_window, "cutoff_quantile": cutoff_quantile, "cutoff_mode": cutoff_mode, "cutoff_depth3": cutoff_depth3,
+    "cutoff_quantile_window": cutoff_quantile_window, "cutoff_quantile_auto": cutoff_quantile_auto, "cutoff_nunique": cutoff_nunique, "cutoff_nunique_window": cutoff_nunique_window, "cutoff_moments": cutoff_moments, "cutoff_moments_window": cutoff_moments_window, "cutoff_first_last": cutoff_first_last, "cutoff_first_last_window": cutoff_first_last_window, "cutoff_hot": cutoff_hot,
+    "agg_kurtosis": agg_kurtosis, "agg_any_value": agg_any_value, "agg_product": agg_product, "agg_own_primitive": agg_own_primitive, "agg_arrays": agg_arrays, "include_entities": include_entities, "ignore_entities": ignore_entities, "apply_helpers": apply_helpers, "epoch_of_null": epoch_of_null, "infer_transform": infer_transform, "update_table": update_table, "ddl": ddl,
+    "sqlite_source": sqlite_source, "duckdb_source": duckdb_source, "connection_source": connection_source, "table_dict_source": table_dict_source, "array_source": array_source,
     "cutoff_forward": cutoff_forward, "target_history": target_history, "dummy_table": dummy_table, "fill_missing_pk": fill_missing_pk, "featurize_datetime": featurize_datetime,
     "filter_redundant": filter_redundant, "canonicalize_types": canonicalize_types, "infer_schema": infer_schema, "key_canonicalize": key_canonicalize, "bool_agg": bool_agg, "pipeline_e2e": pipeline_e2e,
     "incremental_stream": incremental_stream, "rdb_save_load": rdb_save_load, "rdb_save_load_npz": rdb_save_load_npz, "create_rdb_inferred": create_rdb_inferred, "key_types": key_types,
@@ -283,6 +460,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _BY_PART = "select p.p_partkey, {} from part p left join lineitem l on l.l_partkey = p.p_partkey group by p.p_partkey"
 _CUT = "select t.l_orderkey, t.l_linenumber, t.l_partkey, t.l_shipdate, {} from lineitem t left join (select x.l_partkey, x.l_shipdate, {} from (select distinct l_partkey, l_shipdate from lineitem) x join lineitem h on h.l_partkey = x.l_partkey and h.l_shipdate < x.l_shipdate group by 1, 2) a on a.l_partkey = t.l_partkey and a.l_shipdate = t.l_shipdate"
+_SHAPE_SQL = "case when sum(d * d) > 1e-9 then sqrt(count(*)) * sum(d * d * d) / pow(sum(d * d), 1.5) end as skew_qty, case when sum(d * d) > 1e-9 then count(*) * sum(d * d * d * d) / pow(sum(d * d), 2) - 3 end as kurt_qty"
 _H = "sum(h.l_quantity) as sum_qty, min(h.l_quantity) as min_qty, max(h.l_quantity) as max_qty, avg(h.l_quantity) as mean_qty"
 _STATS_SQL = _CUT.format("coalesce(a.n, 0) as n, a.sum_qty, a.min_qty, a.max_qty, a.mean_qty", f"count(*) as n, {_H}")
 _MODE = "(select {k}, {v} as m from (select {k}, {v}, row_number() over (partition by {k} order by count(*) desc, {v}) as r from {t} where {v} is not null group by {k}, {v}) where r = 1)"
@@ -345,6 +523,31 @@ ORACLES: dict[str, str] = {
         ]
     ),
     "key_types": "select cast(c_custkey as varchar) as c_custkey, cast(c_nationkey as varchar) as c_nationkey from customer",
-    "agg_moments": "select p.p_partkey, a.s as skew_qty from part p left join (select l_partkey, case when sum(d * d) > 0 then sqrt(count(*)) * sum(d * d * d) / pow(sum(d * d), 1.5) end as s from (select l_partkey, l_quantity - avg(l_quantity) over (partition by l_partkey) as d from lineitem) group by 1) a on a.l_partkey = p.p_partkey",
+    "agg_moments": f"select p.p_partkey, a.skew_qty from part p left join (select l_partkey, {_SHAPE_SQL} from (select l_partkey, l_quantity - avg(l_quantity) over (partition by l_partkey) as d from lineitem) group by 1) a on a.l_partkey = p.p_partkey",
+    "agg_kurtosis": f"select p.p_partkey, a.kurt_qty from part p left join (select l_partkey, {_SHAPE_SQL} from (select l_partkey, l_quantity - avg(l_quantity) over (partition by l_partkey) as d from lineitem) group by 1) a on a.l_partkey = p.p_partkey",
+    "agg_any_value": _BY_PART.format("min(l.l_returnflag) as any_flag, min(l.l_quantity) as any_qty"),
+    "agg_product": "select n.n_nationkey, product(s.s_acctbal) as product from nation n left join supplier s on s.s_nationkey = n.n_nationkey group by 1",
+    "agg_own_primitive": _BY_PART.format("max(l.l_quantity) - min(l.l_quantity) as span_qty"),
+    "agg_arrays": "select cast(label as varchar) as label, cast(pos - 1 as int) as pos, cast(max(x) as double) as high, cast(min(x) as double) as low, round(avg(cast(x as double)), 6) as mean from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from embeddings) group by 1, 2",
+    "include_entities": " union all ".join(f"select '{n}' as feature" for n in ["customer.c_name", "customer.c_acctbal", "customer.c_mktsegment", "customer.COUNT(orders)"]),
+    "ignore_entities": " union all ".join(f"select '{n}' as feature" for n in ["customer.c_name", "customer.c_acctbal", "customer.c_mktsegment", "customer.nation.n_name", "customer.COUNT(orders)"]),
+    "apply_helpers": "select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey, cast(quarter(o_orderdate) as double) as o_orderdate_quarter, cast(dayofyear(o_orderdate) as double) as o_orderdate_dayofyear, o_totalprice from orders",
+    "epoch_of_null": "select user_id, epoch_us(deleted_at) * 1000 as epoch, year(deleted_at) as year from users",
+    "update_table": "select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey, o_orderdate from orders",
+    "ddl": """select 'region' as table_name, 'CREATE TABLE "region" (\n  "r_regionkey" VARCHAR PRIMARY KEY,\n  "r_name" VARCHAR\n)' as statement
+        union all select 'nation', 'CREATE TABLE "nation" (\n  "n_nationkey" VARCHAR PRIMARY KEY,\n  "n_regionkey" VARCHAR,\n  "n_name" VARCHAR,\n  FOREIGN KEY ("n_regionkey") REFERENCES "region" ("r_regionkey")\n)'""",
+    "sqlite_source": "select o.o_orderkey, c.c_acctbal, a.n, a.m as max_price from orders o left join customer c on c.c_custkey = o.o_custkey left join (select o_custkey, count(*) as n, max(o_totalprice) as m from orders group by 1) a on a.o_custkey = o.o_custkey",
+    "table_dict_source": "select o_orderkey, o_custkey, cast((o_orderkey % 50) * 3600 + 1815 as double) as time from orders",
+    "array_source": "select o_orderkey, case when o_custkey % 7 <> 0 then cast(o_custkey as varchar) end as userId, o_totalprice, o_totalprice as label from orders",
+    "cutoff_nunique": _CUT.format("coalesce(a.n_quantities, null) as n_quantities, a.n_flags", "count(distinct h.l_quantity) as n_quantities, count(distinct h.l_returnflag) as n_flags"),
+    "cutoff_moments": f"select t.l_orderkey, t.l_linenumber, t.l_partkey, t.l_shipdate, round(a.skew_qty + 3.1e-8, 5) + 0.0 as skew_qty, round(a.kurt_qty + 3.1e-8, 5) + 0.0 as kurt_qty from lineitem t left join (select l_partkey, l_shipdate, {_SHAPE_SQL} from (select x.l_partkey, x.l_shipdate, h.l_quantity - avg(h.l_quantity) over (partition by x.l_partkey, x.l_shipdate) as d from (select distinct l_partkey, l_shipdate from lineitem) x join lineitem h on h.l_partkey = x.l_partkey and h.l_shipdate < x.l_shipdate) group by 1, 2) a on a.l_partkey = t.l_partkey and a.l_shipdate = t.l_shipdate",
+    "cutoff_first_last": _CUT.format("a.f as first_qty, a.l as last_qty, a.y as any_flag", "(min({'t': h.l_shipdate, 'q': h.l_quantity})).q as f, (max({'t': h.l_shipdate, 'q': h.l_quantity})).q as l, min(h.l_returnflag) as y"),
+    "cutoff_hot": """with line as (select l_orderkey, l_linenumber, case when l_orderkey % 3 = 0 then 1 else l_partkey end as l_partkey, l_shipdate, l_quantity, l_returnflag from lineitem),
+        pairs as (select x.l_partkey, x.l_shipdate, h.l_quantity, h.l_returnflag from (select distinct l_partkey, l_shipdate from line) x join line h on h.l_partkey = x.l_partkey and h.l_shipdate < x.l_shipdate),
+        a as (select l_partkey, l_shipdate, count(*) as n, avg(l_quantity) as mean_qty, stddev_samp(l_quantity) as std_qty, median(l_quantity) as median_qty, count(distinct l_quantity) as n_quantities from pairs group by 1, 2),
+        b as (select l_partkey, l_shipdate, l_returnflag as mode_flag from (select l_partkey, l_shipdate, l_returnflag, row_number() over (partition by l_partkey, l_shipdate order by count(*) desc, l_returnflag) as r from pairs group by 1, 2, 3) where r = 1)
+        select t.l_orderkey, t.l_linenumber, t.l_partkey, t.l_shipdate, coalesce(a.n, 0) as n, a.mean_qty, a.std_qty, a.median_qty, a.n_quantities, b.mode_flag from line t left join a using (l_partkey, l_shipdate) left join b using (l_partkey, l_shipdate)""",
 }
+ORACLES |= {n: ORACLES[n.rsplit("_", 1)[0]] for n in ("cutoff_quantile_window", "cutoff_quantile_auto", "cutoff_nunique_window", "cutoff_moments_window", "cutoff_first_last_window")}
+ORACLES |= {"duckdb_source": ORACLES["sqlite_source"], "connection_source": ORACLES["sqlite_source"], "infer_transform": ORACLES["create_rdb_inferred"]}
 ORACLES |= {"cutoff_auto": ORACLES["cutoff_stats"], "cutoff_std_window": ORACLES["cutoff_std"], "cutoff_mode_window": ORACLES["cutoff_mode"]}

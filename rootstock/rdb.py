@@ -119,6 +119,24 @@ class Rdb:
             out[t.name] = f'CREATE TABLE "{t.name}" (\n' + ",\n".join(lines) + "\n)" + "".join(f"\n{n}" for n in notes)
         return out
 
+    @property
+    def sqlalchemy_metadata(self):
+        """The same as a MetaData object of SQLAlchemy, where that is installed."""
+        try:
+            import sqlalchemy as sa
+        except ImportError as e:
+            raise ImportError("sqlalchemy isn't installed: use `ddl` or `columns`") from e
+        kinds, meta = {ColumnType.FLOAT: sa.Float, ColumnType.DATETIME: sa.DateTime}, sa.MetaData()
+        for t in self.metadata.tables:
+            links = {c.name: sa.ForeignKey(c.link_to) for c in t.foreign_keys if c.link[0] in self.table_names}
+            sa.Table(t.name, meta, *[sa.Column(c.name, kinds.get(c.dtype, sa.String)(), *[links[c.name]] * (c.name in links), primary_key=c.name == t.primary_key) for c in t.columns])
+        return meta
+
+    @property
+    def columns(self) -> list[tuple[str, str, str, str | None, str | None]]:
+        """(table, column, type, link, time column of the table) of every declared column."""
+        return [(t.name, c.name, str(c.dtype), c.link_to, t.time_column) for t in self.metadata.tables for c in t.columns]
+
     # --- changing
 
     def update_tables(self, tables: Mapping[str, DataFrame | pd.DataFrame], metadata: Mapping[str, TableSchema]) -> Rdb:

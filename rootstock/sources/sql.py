@@ -150,7 +150,10 @@ def _column(values: list, kind: pa.DataType) -> pa.Array:
         return pa.Array.from_pandas(times.astype("datetime64[us]"), type=kind)
     if pa.types.is_string(kind):
         return pa.array([v if v is None or isinstance(v, str) else v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v) for v in values], kind)
-    return pa.array([None if v is None else float(v) if pa.types.is_floating(kind) else v for v in values], kind)
+    if pa.types.is_floating(kind):
+        numbers = pd.to_numeric(pd.Series(values, dtype=object), errors="coerce")
+        return pa.Array.from_pandas(numbers.astype("float64"), type=kind)
+    return pa.array(values, kind)
 
 
 class SQLiteAdapter(SqlAdapter):
@@ -205,7 +208,7 @@ def _without_zone(df: DataFrame) -> DataFrame:
 class ConnectionAdapter(SqlAdapter):
     """Any open DB-API connection of the user: tables and types from its information schema, or from what it returns where it has none.
 
-    Keys come from the hints.  `tables` must be given where there is no information schema.
+    Keys come from the hints, and so do types where there is no information schema: what isn't hinted is text.  `tables` must be given where there is no information schema.
     """
 
     def __init__(self, connection: Any, name: str = "rdb", tables: Iterable[str] | None = None, **hints):
@@ -232,7 +235,7 @@ class ConnectionAdapter(SqlAdapter):
         return Discovered({n: semantic_type(t) for n, t in found or []})
 
     def read(self, table: str) -> DataFrame:
-        declared = self.discover(table).types
+        declared = self.discover(table).types | {c: ColumnType(k) for c, k in self.type_hints.get(table, {}).items()}
         cursor = self.connection.cursor()
         cursor.execute(f"select * from {quoted(table)}")
         kinds = {ColumnType.DATETIME: pa.timestamp("us"), ColumnType.FLOAT: pa.float64()}

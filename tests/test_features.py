@@ -239,3 +239,11 @@ def test_stream_gives_the_same_as_a_batch(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     out = {r.k: (r.n, r.n_values, r.total, r.low) for r in incremental_aggregates(spark, str(tmp_path / "in"), "k", "v").collect()}
     assert out == {"a": (2, 1, "1.5000", 1.5), "b": (1, 0, None, None)}
+
+
+def test_row_ids_keep_the_order_and_idle_settings_warn(spark, caplog):
+    target = pd.DataFrame({"user_id": [U, "nobody", None, U], "item_id": [I] * 4})
+    out = rs.compute_features(visits(), target, KEYS, config_overrides={"agg_primitives": ["count"], "row_id": "row", "n_jobs": 4})
+    assert [r.user_id for r in out.orderBy("row").collect()] == list(target.user_id) and "n_jobs" in caplog.text
+    with pytest.raises(ValueError, match="exists"):
+        rs.compute_features(visits(), target, KEYS, config_overrides={"row_id": "user_id"})

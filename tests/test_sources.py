@@ -161,3 +161,29 @@ def test_split_reads_and_quoted_names(spark):
     assert pg.parts("t") == ("id", 5, 1005, 10) and my.parts("t") == ("id", 1, 5, 2)
     answers["select min"] = [(None, None)]
     assert pg.parts("t") is None
+
+
+def test_databases_by_name(spark, tmp_path):
+    from rootstock import load_by_name
+
+    r = rs_create(spark)
+    r.save(tmp_path / "shop")
+    BenchmarkStore("b", tuple(r.metadata.tables), r.tables).save(tmp_path / "bench")
+    (tmp_path / "names.yaml").write_text(f"shop: shop\nbench: {tmp_path}/bench\nnone: nowhere\n")
+    for name in ("shop", "bench"):
+        assert load_by_name(name, tmp_path / "names.yaml", spark).get_table("u").count() == 2
+    with pytest.raises(ValueError, match="catalogue"):
+        load_by_name("other", tmp_path / "names.yaml", spark)
+    with pytest.raises(FileNotFoundError):
+        load_by_name("none", tmp_path / "names.yaml", spark)
+    assert ("u", "id", "primary_key", None, None) in r.columns
+    try:
+        assert list(r.sqlalchemy_metadata.tables) == ["u"]
+    except ImportError as e:
+        assert "sqlalchemy" in str(e)
+
+
+def rs_create(spark):
+    from rootstock import create_rdb
+
+    return create_rdb({"u": spark.createDataFrame([(1, 0.5), (2, 1.5)], "id bigint, x double")}, "shop", primary_keys={"u": "id"})
