@@ -179,6 +179,9 @@ class Compiler:
                 if f.primitive.numeric_cast and isinstance(child.schema[source[f.base]].dataType, T.BooleanType):
                     c = c.cast("int")
                 plain.append(f.primitive.build(c, time).alias(alias[f]))
+        # Under cutoffs a group is one key's history, so its values may be counted in one buffer and all goes in one grouping.
+        modes = [f for f in mine if f.primitive.name == "mode"] if cut else []
+        plain += [F.mode(F.col(source[f.base]), True).alias(alias[f]) for f in modes]
         for i in range(0, len(plain), AGGREGATES_AT_ONCE):
             tables.append(child.groupBy(*by).agg(*plain[i : i + AGGREGATES_AT_ONCE]))
         for b in dict.fromkeys(f.base for f in mine if f.primitive.kind == "elements"):
@@ -187,13 +190,13 @@ class Compiler:
             gathered = [_field(F.array_sort(F.collect_list(F.struct("at", alias[f]))), alias[f]).alias(alias[f]) for f in own]
             tables.append(placed.groupBy(*by).agg(*gathered))
         counted: dict[str, list[Feature]] = {}
-        for b in dict.fromkeys(f.base for f in mine if f.primitive.kind == "histogram"):
+        for b in dict.fromkeys(f.base for f in mine if f.primitive.kind == "histogram" and f not in modes):
             counted.setdefault(child.schema[source[b]].dataType.simpleString(), []).append(b)
         for same in counted.values():
             # The values of all columns of one type are counted together.
             each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(source[b]).alias("v")) for i, b in enumerate(same)])).alias("x")
             histogram = child.select(*by, each).select(*by, "x.i", "x.v").where("v is not null").groupBy(*by, "i", "v").agg(F.count(F.lit(1)).alias("n"))
-            own = [(F.col("i") == i, f) for i, b in enumerate(same) for f in mine if f.base == b and f.primitive.kind == "histogram"]
+            own = [(F.col("i") == i, f) for i, b in enumerate(same) for f in mine if f.base == b and f.primitive.kind == "histogram" and f not in modes]
             tables.append(histogram.groupBy(*by).agg(*[histogram_aggregate(f.primitive.name, F.when(c, F.col("v")), F.when(c, F.col("n"))).alias(alias[f]) for c, f in own]))
         out_table = tables[0]
         for t in tables[1:]:
