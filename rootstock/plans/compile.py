@@ -30,6 +30,8 @@ CUT = "__cut"
 AGGREGATES_AT_ONCE = 200
 #: Parts that a full time bucket, or the values of a key, are split into.
 SPLITS = 64
+#: Primitives that give one of the values that they see.
+PICKS = ("min", "max", "first", "last", "any_value", "mode")
 
 
 @dataclass
@@ -132,21 +134,22 @@ class Compiler:
         keys = None
         if cut:
             keys = rows.select(F.col(pk).alias("k"), CUT).where(f"k is not null and {CUT} is not null").distinct()
-        linear = [f for f in mine if (f.base is None or isinstance(f.base, Identity)) and (f.primitive.window or f.primitive.kind == "histogram" or f.primitive.share is not None)]
-        if not (cut and self.strategy != "range" and len(edges) == 1 and self._time(edges[0].child)):
-            linear = []
-        hot = self._hot(edges[0]) if linear and self.strategy == "auto" else None
+        linear, stepped = [], []
+        if cut and self.strategy != "range" and len(edges) == 1 and self._time(edges[0].child):
+            linear = [f for f in mine if (f.base is None or isinstance(f.base, Identity)) and (f.primitive.window or f.primitive.kind == "histogram" or f.primitive.share is not None)]
+            stepped = [f for f in mine if _steps(f.base) and (f.primitive.window or f.primitive.kind == "histogram")]
+        hot = self._hot(edges[0]) if (linear or stepped) and self.strategy == "auto" else None
         if self.strategy == "auto" and hot is None:
-            linear = []
-        rest = [f for f in mine if f not in linear]
+            linear, stepped = [], []
+        fast = linear + stepped
+        rest = [f for f in mine if f not in fast]
         parts = [self._grouped(keys, edges, rest, cut)] if rest else []
-        if linear and hot is None:
-            parts.append(self._linear(keys, edges[0], linear))
-        elif linear:
-            many, alias = self._linear(keys.join(hot, "k", "left_semi"), edges[0], linear)
-            few, other = self._grouped(keys.join(hot, "k", "left_anti"), edges, linear, cut)
-            names_of = {other[f]: alias[f] for f in linear}
-            parts.append((few.select("k", CUT, *[F.col(o).alias(n) for o, n in names_of.items()]).unionByName(many.select("k", CUT, *names_of.values())), alias))
+        if fast and hot is None:
+            parts += self._fast(keys, edges[0], linear, stepped)
+        elif fast:
+            few, other = self._grouped(keys.join(hot, "k", "left_anti"), edges, fast, cut)
+            for many, alias in self._fast(keys.join(hot, "k", "left_semi"), edges[0], linear, stepped):
+                parts.append((few.select("k", CUT, *[F.col(other[f]).alias(n) for f, n in alias.items()]).unionByName(many.select("k", CUT, *alias.values())), alias))
         for table_of, alias in parts:
             names |= alias
             table_of = table_of.withColumnRenamed("k", key)
@@ -236,6 +239,9 @@ class Compiler:
             self._known[edge] = None if not found else F.broadcast(hot) if small(found, size) else hot
         return self._known[edge]
 
+    def _fast(self, keys: DataFrame, edge: Edge, linear: list[Aggregate], stepped: list[Aggregate]) -> list[tuple[DataFrame, dict[Feature, str]]]:
+        return ([self._linear(keys, edge, linear)] if linear else []) + ([self._stepped(keys, edge, stepped)] if stepped else [])
+
     def _linear(self, keys: DataFrame, edge: Edge, mine: list[Aggregate]) -> tuple[DataFrame, dict[Feature, str]]:
         """Aggregates before each cutoff in work that grows with rows and cutoffs, not with their product."""
         columns = self._columns(edge.child)
@@ -261,8 +267,7 @@ class Compiler:
         for table in tables[1:]:
             out = out.join(table, ["k", "t"], "full")
         # Booleans were counted as 0 and 1; what picks one of them gives a boolean again.
-        picks = ("min", "max", "first", "last", "any_value", "mode")
-        back = [F.col(alias[f]).cast("boolean").alias(alias[f]) if f.base is not None and as_int(f.base.column) and f.primitive.name in picks else F.col(alias[f]) for f in mine]
+        back = [F.col(alias[f]).cast("boolean").alias(alias[f]) if f.base is not None and as_int(f.base.column) and f.primitive.name in PICKS else F.col(alias[f]) for f in mine]
         return out.select("k", F.col("t").alias(CUT), *back), alias
 
     def _bucketed(self, rows: DataFrame, by: list[str]) -> DataFrame:
@@ -328,6 +333,12 @@ class Compiler:
 
     def _running(self, rows: DataFrame, probes: DataFrame, mine: dict[Aggregate, str | None], alias: dict[Feature, str]) -> DataFrame:
         """Aggregates of all children before each cutoff, by windows instead of a join that repeats history."""
+        rows, parts, again, give = self._formulas(rows, mine)
+        met = self._before(rows, probes, ["k"], parts, again)
+        return met.select("k", "t", *[give[f].alias(alias[f]) for f in mine])
+
+    def _formulas(self, rows: DataFrame, mine: dict[Aggregate, str | None]) -> tuple[DataFrame, dict[str, Column], dict[str, Callable], dict[Aggregate, Column]]:
+        """(rows, parts, how parts are combined, results of combined parts): aggregates taken apart into what adds up. rows have k and t."""
         spread = {v for f, v in mine.items() if f.primitive.name in ("std", "variance", "skewness", "kurtosis")}
         if spread:
             # Powers are summed around the key's mean, so that little is lost where values are far from 0.
@@ -345,7 +356,6 @@ class Compiler:
         needed = dict.fromkeys((t, v) for f, v in mine.items() if v is not None for t in terms[f.primitive.name])
         parts = {"n": F.count(F.lit(1))} | {f"{t}_{v}": make[t][0](v) for t, v in needed}
         again = {"n": F.sum} | {f"{t}_{v}": make[t][1] for t, v in needed}
-        met = self._before(rows, probes, ["k"], parts, again)
 
         def moments(v: str) -> tuple[Column, Column, Column, Column]:
             """Number and central sums of the second, third and fourth power."""
@@ -366,7 +376,75 @@ class Compiler:
             "skewness": lambda v: F.when(varied(v), F.sqrt(moments(v)[0]) * moments(v)[2] / F.pow(moments(v)[1], 1.5)),
             "kurtosis": lambda v: F.when(varied(v), moments(v)[0] * moments(v)[3] / F.pow(moments(v)[1], 2) - 3),
         }
-        return met.select("k", "t", *[give[f.primitive.name](v).alias(alias[f]) for f, v in mine.items()])
+        return rows, parts, again, {f: give[f.primitive.name](v) for f, v in mine.items()}
+
+    def _stepped(self, keys: DataFrame, edge: Edge, mine: list[Aggregate]) -> tuple[DataFrame, dict[Feature, str]]:
+        """Aggregates before each cutoff of what is itself an aggregate, and so changes with time.
+
+        A child's features change only where it or one of its own children appears, so it has as many versions as it has these, each of which
+        holds for a range of its key's cutoffs in order.  A range is covered by few nodes of a binary tree over the cutoffs; versions
+        are combined per node, and a cutoff combines the nodes above it.  Work grows with rows and cutoffs, times the tree's height.
+        """
+        columns, time = self._columns(edge.child), self._time(edge.child)
+        pk, fk, moment = columns[self.rdb.get_table_metadata(edge.child).primary_key], columns[edge.column], F.expr("interval 1 microsecond")
+        ranked = keep(self._upto(keys.select("k", F.col(CUT).alias("t"), F.lit(1).alias("one")), ["k"], "one").select("k", "t", (F.col("upto") - 1).alias("r")))
+        height = int(ranked.agg(F.coalesce(F.max("r"), F.lit(0))).first()[0]).bit_length()
+        rows = self._rows(edge.child).where(f"{fk} is not null and {pk} is not null and {time} is not null")
+        rows = rows.join(keys.select("k").distinct(), F.col(fk) == F.col("k"), "left_semi")
+        born = rows.select(F.col(pk).alias("o"), F.col(time).alias("t"))
+        versions = born
+        for e in dict.fromkeys(f.base.edges[0] for f in mine):
+            if at := self._time(e.child):
+                below = self._rows(e.child).select(F.col(self._columns(e.child)[e.column]).alias("o"), F.col(at).alias("at")).dropna()
+                versions = versions.unionByName(born.join(below, "o").select("o", F.greatest("t", "at").alias("t")))
+        held = self._bucketed(versions.distinct(), ["o"])
+        first = held.groupBy("o", "b").agg(F.min("t").alias("first")).select("o", "b", F.lead("first").over(Window.partitionBy("o").orderBy("b")).alias("next"))
+        inside = F.lead("t").over(Window.partitionBy("o", "b").orderBy("t"))
+        held = held.withColumn("until", inside).join(first, ["o", "b"]).select("o", (F.col("t") + moment).alias(CUT), (F.coalesce("until", "next") + moment).alias("__until"))
+        frame = held.join(rows, F.col("o") == F.col(pk)).drop("o")
+        bases = list(dict.fromkeys(f.base for f in mine))
+        frame, out = self.features(frame, edge.child, bases, True)
+        names = {b: f"v{i}" for i, b in enumerate(bases)}
+        kinds = {b: frame.schema[c].dataType for b, c in zip(bases, out, strict=True)}
+        as_int = lambda b: isinstance(kinds[b], T.BooleanType)
+        value = {b: F.coalesce(F.col(c), F.lit(0)) if self.zero_nested_counts and counts(b) else F.col(c).cast("int") if as_int(b) else F.col(c) for b, c in zip(bases, out, strict=True)}
+        steps = keep(frame.select(F.col(fk).alias("k"), F.col(time).alias("t"), F.col(CUT).alias("since"), F.col("__until").alias("until"), *[value[b].alias(n) for b, n in names.items()]))
+        marks = steps.select("k", F.col("since").alias("t")).unionByName(steps.where("until is not null").select("k", F.col("until").alias("t"))).distinct()
+        number = keep(self._before(ranked.select("k", "t"), marks, ["k"], {"n": F.count(F.lit(1))}, {"n": F.sum}))
+        low, high = number.select("k", F.col("t").alias("since"), F.col("n").alias("low")), number.select("k", F.col("t").alias("until"), F.col("n").alias("high"))
+        steps = steps.join(low, ["k", "since"], "left").join(high, ["k", "until"], "left")
+        steps = steps.withColumns({"low": F.coalesce("low", F.lit(0)), "high": F.when(F.col("until").isNull(), F.lit(1 << height)).otherwise(F.coalesce("high", F.lit(0)))}).where("low < high")
+        cover = []
+        for j in range(height + 1):
+            left, right = F.shiftright(F.col("low") + ((1 << j) - 1), j), F.shiftright(F.col("high"), j)
+            node = lambda i, j=j: F.struct(F.lit(j).alias("j"), i.cast("bigint").alias("i"))
+            cover += [F.when((left < right) & (left % 2 == 1), node(left)), F.when((left < right) & (right % 2 == 1), node(right - 1))]
+        steps = steps.withColumn("node", F.explode(F.filter(F.array(*cover), lambda x: x.isNotNull()))).select("k", "t", "node", *names.values())
+        above = F.array(*[F.struct(F.lit(j).alias("j"), F.shiftright("r", j).alias("i")) for j in range(height + 1)])
+        asked = ranked.select("k", "t", F.explode(above).alias("node"))
+        alias, tables = {f: self._new() for f in mine}, []
+        if running := {f: names[f.base] for f in mine if f.primitive.window}:
+            rows_of, parts, again, give = self._formulas(steps, running)
+            nodes = rows_of.groupBy("k", "node").agg(*[e.alias(n) for n, e in parts.items()])
+            met = asked.join(nodes, ["k", "node"]).groupBy("k", "t").agg(*[again[n](F.col(n)).alias(n) for n in parts])
+            tables.append(met.select("k", "t", *[give[f].alias(alias[f]) for f in running]))
+        counted: dict[str, list[Aggregate]] = {}
+        for f in mine:
+            if f.primitive.kind == "histogram":
+                counted.setdefault(steps.schema[names[f.base]].dataType.simpleString(), []).append(f)
+        for same in counted.values():
+            held_by = list(dict.fromkeys(names[f.base] for f in same))
+            each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).alias("v")) for i, n in enumerate(held_by)])).alias("x")
+            nodes = steps.select("k", "node", each).select("k", "node", "x.c", "x.v").where("v is not null").groupBy("k", "node", "c", "v").agg(F.count(F.lit(1)).alias("n"))
+            met = asked.join(nodes, ["k", "node"]).groupBy("k", "t", "c", "v").agg(F.sum("n").alias("n"))
+            mine_of = [(F.col("c") == held_by.index(names[f.base]), f) for f in same]
+            tables.append(met.groupBy("k", "t").agg(*[histogram_aggregate(f.primitive.name, F.when(c, F.col("v")), F.when(c, F.col("n"))).alias(alias[f]) for c, f in mine_of]))
+        out_table = tables[0]
+        for t in tables[1:]:
+            out_table = out_table.join(t, ["k", "t"], "full")
+        back = [F.col(alias[f]).cast("boolean").alias(alias[f]) if as_int(f.base) and f.primitive.name in PICKS else F.col(alias[f]) for f in mine]
+        return out_table.select("k", F.col("t").alias(CUT), *back), alias
+
 
     def _selected(self, rows: DataFrame, probes: DataFrame, wanted: dict[str, float]) -> DataFrame:
         """Quantiles of v before each cutoff, interpolated linearly, by selecting ranks.
@@ -427,6 +505,11 @@ class Compiler:
         return out.select("k", "t", *[F.when(low(a) == high(a), low(a)).otherwise(low(a) + (high(a) - low(a)) * share(q)).alias(a) for a, q in wanted.items()])
 
 
+def _steps(base: Feature | None) -> bool:
+    """Whether a feature is an aggregate of columns of a child's own children, so that it changes only where one of these appears."""
+    return isinstance(base, Aggregate) and len(base.edges) == 1 and (base.base is None or isinstance(base.base, Identity))
+
+
 def _field(structs: Column, name: str) -> Column:
     return F.transform(structs, lambda s: s[name])
 

@@ -223,8 +223,13 @@ def cutoff_hot(spark: SparkSession, sf: str) -> DataFrame:
 cutoff_mode = _cutoff(["mode", "discrete_entropy"], {"part.MODE(lineitem.l_returnflag)": "mode_flag", "part.DISCRETE_ENTROPY(lineitem.l_returnflag)": "entropy_flag"})
 
 
-def cutoff_depth3(spark: SparkSession, sf: str) -> DataFrame:
-    return _features(spark, sf, ["customer", "orders", "lineitem"], "orders", {"o_custkey": "customer.c_custkey"}, {"customer.MAX(orders.COUNT(lineitem))": "max_lines", "customer.MAX(orders.SUM(lineitem.l_quantity))": "max_qty"}, keep=["o_orderkey"], cutoff="o_orderdate", max_depth=3, agg_primitives=["max", "sum", "count"])
+def _cutoff_depth3(**options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: _features(spark, sf, ["customer", "orders", "lineitem"], "orders", {"o_custkey": "customer.c_custkey"}, {"customer.MAX(orders.COUNT(lineitem))": "max_lines", "customer.MAX(orders.SUM(lineitem.l_quantity))": "max_qty"}, keep=["o_orderkey"], cutoff="o_orderdate", max_depth=3, agg_primitives=["max", "sum", "count"], **options)
+
+
+cutoff_depth3 = _cutoff_depth3()
+#: Customers with more than ten orders go by versions and windows.
+cutoff_depth3_auto = _cutoff_depth3(hot_rows=10)
 
 
 def cutoff_forward(spark: SparkSession, sf: str) -> DataFrame:
@@ -449,7 +454,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "agg_count": agg_count, "agg_sum": agg_sum, "agg_minmax": agg_minmax, "agg_mean_int": agg_mean_int, "agg_std": agg_std, "agg_median": agg_median, "agg_quantiles": agg_quantiles,
     "agg_mode": agg_mode, "agg_entropy": agg_entropy, "agg_nunique": agg_nunique, "agg_first_last": agg_first_last, "agg_moments": agg_moments, "agg_join_text": agg_join_text,
     "agg_of_direct": agg_of_direct, "agg_of_agg": _agg_of_agg(False), "agg_of_agg_zero": _agg_of_agg(True), "multi_hop": multi_hop, "multi_hop_cutoff": multi_hop_cutoff, "multi_key": multi_key,
-    "cutoff_count": cutoff_count, "cutoff_stats": cutoff_stats, "cutoff_window": cutoff_window, "cutoff_std": cutoff_std, "cutoff_auto": cutoff_auto, "cutoff_std_window": cutoff_std_window, "cutoff_mode_window": cutoff_mode_window, "cutoff_quantile": cutoff_quantile, "cutoff_mode": cutoff_mode, "cutoff_depth3": cutoff_depth3,
+    "cutoff_count": cutoff_count, "cutoff_stats": cutoff_stats, "cutoff_window": cutoff_window, "cutoff_std": cutoff_std, "cutoff_auto": cutoff_auto, "cutoff_std_window": cutoff_std_window, "cutoff_mode_window": cutoff_mode_window, "cutoff_quantile": cutoff_quantile, "cutoff_mode": cutoff_mode, "cutoff_depth3": cutoff_depth3, "cutoff_depth3_auto": cutoff_depth3_auto,
     "cutoff_quantile_window": cutoff_quantile_window, "cutoff_quantile_auto": cutoff_quantile_auto, "cutoff_nunique": cutoff_nunique, "cutoff_nunique_window": cutoff_nunique_window, "cutoff_moments": cutoff_moments, "cutoff_moments_window": cutoff_moments_window, "cutoff_first_last": cutoff_first_last, "cutoff_first_last_window": cutoff_first_last_window, "cutoff_hot": cutoff_hot,
     "agg_kurtosis": agg_kurtosis, "agg_any_value": agg_any_value, "agg_product": agg_product, "agg_own_primitive": agg_own_primitive, "agg_arrays": agg_arrays, "include_entities": include_entities, "ignore_entities": ignore_entities, "apply_helpers": apply_helpers, "epoch_of_null": epoch_of_null, "infer_transform": infer_transform, "update_table": update_table, "ddl": ddl,
     "sqlite_source": sqlite_source, "duckdb_source": duckdb_source, "connection_source": connection_source, "table_dict_source": table_dict_source, "array_source": array_source,
@@ -548,6 +553,6 @@ ORACLES: dict[str, str] = {
         b as (select l_partkey, l_shipdate, l_returnflag as mode_flag from (select l_partkey, l_shipdate, l_returnflag, row_number() over (partition by l_partkey, l_shipdate order by count(*) desc, l_returnflag) as r from pairs group by 1, 2, 3) where r = 1)
         select t.l_orderkey, t.l_linenumber, t.l_partkey, t.l_shipdate, coalesce(a.n, 0) as n, a.mean_qty, a.std_qty, a.median_qty, a.n_quantities, b.mode_flag from line t left join a using (l_partkey, l_shipdate) left join b using (l_partkey, l_shipdate)""",
 }
-ORACLES |= {n: ORACLES[n.rsplit("_", 1)[0]] for n in ("cutoff_quantile_window", "cutoff_quantile_auto", "cutoff_nunique_window", "cutoff_moments_window", "cutoff_first_last_window")}
+ORACLES |= {n: ORACLES[n.rsplit("_", 1)[0]] for n in ("cutoff_depth3_auto", "cutoff_quantile_window", "cutoff_quantile_auto", "cutoff_nunique_window", "cutoff_moments_window", "cutoff_first_last_window")}
 ORACLES |= {"duckdb_source": ORACLES["sqlite_source"], "connection_source": ORACLES["sqlite_source"], "infer_transform": ORACLES["create_rdb_inferred"]}
 ORACLES |= {"cutoff_auto": ORACLES["cutoff_stats"], "cutoff_std_window": ORACLES["cutoff_std"], "cutoff_mode_window": ORACLES["cutoff_mode"]}

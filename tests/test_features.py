@@ -223,6 +223,22 @@ def test_windows_and_selection_give_what_the_range_join_gives(spark, monkeypatch
                 assert (x is None) == (y is None) and (x == y or (isinstance(y, float) and x == pytest.approx(y, rel=1e-6, abs=1e-6, nan_ok=True))), (engine, i, n, x, y)
 
 
+def test_nested_aggregates_in_steps_give_what_the_range_join_gives(spark):
+    tables = random_tables(21)
+    r = random.Random(22)
+    df = spark.createDataFrame([(k, r.choice(["r0", "r0", "r1", "r2", "r5", "r8", None]), T0 + timedelta(hours=r.randrange(50))) for k in range(70)], "k int, root string, cut timestamp_ntz")
+    got = {}
+    for engine in ("range", "auto"):
+        out = rs.compute_features(random_rdb(spark, tables), df, {"root": "root.id"}, "cut", config_overrides={"agg_primitives": ["count", "max", "std", "mode"], "max_depth": 3, "engine": engine, "hot_rows": 6, "zero_nested_counts": True})
+        got[engine] = {x.k: x.asDict() for x in out.collect()}
+    names = [n for n in got["range"][0] if n.startswith("root.")]
+    assert len(names) > 10
+    for i, want in got["range"].items():
+        for n in names:
+            x, y = got["auto"][i][n], want[n]
+            assert (x is None) == (y is None) and (x == y or (isinstance(y, float) and x == pytest.approx(y, rel=1e-6, abs=1e-6))), (i, n, x, y)
+
+
 def test_rows_at_or_after_the_cutoff_never_matter(spark):
     tables = random_tables(7)
     cut = T0 + timedelta(hours=24)
