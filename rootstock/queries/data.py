@@ -196,6 +196,19 @@ def p6_timed(spark: SparkSession, sf: str) -> DataFrame:
     return _orphans(spark, sf, orders=False).select("table_name", "column_name", "row_id", "kind").distinct()
 
 
+def p6_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Orphans without any parent, of all tables: for these no time is needed, so SQL can check them."""
+    return _orphans(spark, sf).where("kind = 'missing'").select("table_name", "column_name", "row_id").distinct()
+
+
+def _missing_sql() -> str:
+    keys = {"users": "(select cast(user_id as varchar) as k from users)", "item": f"(select {KEY_SQL.format(c='item_id')} as k from item)", "order_feed": f"(select {KEY_SQL.format(c='feed')} as k from order_feed)"}
+    refs = [("interaction", "user_id", "interaction_id", "users"), ("interaction", "item_id", "interaction_id", "item"), ("user_history", "user_id", "history_id", "users"), ("target_df", "user_id", "target_id", "users"), ("target_df", "item_id", "target_id", "item"), ("user_orders", "user_id", "order_id", "users"), ("user_orders", "feed", "order_id", "order_feed")]
+    one = "select distinct '{t}' as table_name, '{c}' as column_name, row_id from (select {i} as row_id, {key} as k from {t}) where k is not null and k not in (select k from {p} where k is not null)"
+    text = lambda t, c: KEY_SQL.format(c=c) if c in ("item_id", "feed") or t == "user_orders" else f"cast({c} as varchar)"
+    return "\nunion all ".join(one.format(t=t, c=c, i=i, p=keys[p], key=text(t, c)) for t, c, i, p in refs)
+
+
 def _p6_sql() -> str:
     users = "(select cast(user_id as varchar) as k, signup_date as born, deleted_at as died from users)"
     item = f"(select {KEY_SQL.format(c='item_id')} as k, created_at as born, deleted_at as died from item)"
@@ -221,6 +234,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p6_timed": p6_timed,
+    "p6_missing": p6_missing,
 }
 
 ORACLES = {
@@ -234,4 +248,5 @@ ORACLES = {
     "p5_percentiles": P5_SQL,
     "p5_combined": P5_SQL,
     "p6_timed": _p6_sql(),
+    "p6_missing": _missing_sql(),
 }

@@ -263,3 +263,17 @@ def test_row_ids_keep_the_order_and_idle_settings_warn(spark, caplog):
     assert [r.user_id for r in out.orderBy("row").collect()] == list(target.user_id) and "n_jobs" in caplog.text
     with pytest.raises(ValueError, match="exists"):
         rs.compute_features(visits(), target, KEYS, config_overrides={"row_id": "user_id"})
+
+
+def test_streams_without_rows_and_with_several_batches(spark, tmp_path):
+    from rootstock.streaming.incremental import aggregate_stream, file_stream, incremental_aggregates
+
+    schema = "k string, v double, t timestamp"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none"))
+    assert incremental_aggregates(spark, str(tmp_path / "none"), "k", "v").count() == 0
+    for k in range(3):
+        spark.createDataFrame([("a", float(k), T0), (f"b{k}", None, T0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "some"))
+    out = {r.k: (r.n, r.total) for r in incremental_aggregates(spark, str(tmp_path / "some"), "k", "v").collect()}
+    assert out == {"a": (3, "3.0000"), "b0": (1, None), "b1": (1, None), "b2": (1, None)}
+    windowed = aggregate_stream(file_stream(spark, str(tmp_path / "some"), 1), "k", "v", "t", "1 hour")
+    assert windowed.isStreaming and "window" in windowed.columns
