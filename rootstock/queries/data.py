@@ -70,7 +70,7 @@ def _p2_long(**options) -> Callable[[SparkSession, str], DataFrame]:
 #: The feature table as one row per user and type; totals in cents, exact.
 p2_long = _p2_long()
 #: The same from many small states, so that those of a hot user's block are added over several rounds of carry addition.
-p2_added = _p2_long(rows_per_group=200)
+p2_added = _p2_long(rows_per_group=400)
 
 
 P2_SQL = """
