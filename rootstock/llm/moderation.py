@@ -12,8 +12,9 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,10 @@ from rootstock.llm.wordings import AGAINST, CATEGORIES, LABELS, NAMES, SUPPORTS,
 #: Bounds of what is fitted on the driver; neither changes what is scored.
 SAMPLE_ROWS = 20_000
 LABELLED_ROWS = 10_000
-#: Vote patterns that the label model tells apart; beyond, votes are left out of all patterns, weak ones first.
+#: Vote patterns that the driver works through, BLOCK at a time; more are left to the executors, with the same results.
+AT_ONCE = 1 << 16
+BLOCK = 1 << 12
+#: Bound of `_patterns`, which nothing is fitted on.
 PATTERNS = 1 << 20
 #: Rows per class that stand for what is known of voters beforehand.
 PRIOR = 20
@@ -59,7 +63,7 @@ class LabelModel:
         m = np.asarray(masks, np.int64)
         log = np.tile(np.log(self.priors), (len(m), 1))
         for cells, table in zip(self.cells(m), self.tables, strict=True):
-            log += np.log(table[:, cells]).T
+            log += np.log(table).T[cells]
         e = np.exp(log - log.max(axis=1, keepdims=True, initial=-1e9))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -68,8 +72,8 @@ class LabelModel:
         return 1 - self.classes(masks)[:, 0]
 
 
-def fit_label_model(patterns: Mapping[int, int], labelled: Sequence[tuple[int, Sequence[int]]], supports: np.ndarray, weak: np.ndarray, correlated: float = 0.3, rounds: int = 60) -> LabelModel:
-    """EM over pattern counts, with labelled rows (votes, possible classes) beside them.
+def fit_label_model(patterns: Mapping[int, int] | DataFrame, labelled: Sequence[tuple[int, Sequence[int]]], supports: np.ndarray, weak: np.ndarray, correlated: float = 0.3, rounds: int = 60) -> LabelModel:
+    """EM over pattern counts, a frame (votes, n) where there are many, with labelled rows (votes, possible classes) beside them.
 
     supports[c, j]: voter j speaks for class c; weak[j]: it says little alone.  EM starts from a vote of the majority:
     where voters that aren't weak speak against harmlessness and no more of them for it, the classes that most of
@@ -80,28 +84,22 @@ def fit_label_model(patterns: Mapping[int, int], labelled: Sequence[tuple[int, S
     voters), and EM runs again over groups.
     """
     k, m = supports.shape
-    masks = np.array([*patterns, *[v for v, _ in labelled]], np.int64)
-    counts = np.array([*patterns.values()], float)
-    votes_of = ((masks[:, None] >> np.arange(m)) & 1).astype(float)
-    strong = votes_of * ~weak
-    spoken = (strong @ supports[1:].T).max(axis=1) if k > 1 else np.zeros(len(masks))
-    bad = (spoken > 0) & (spoken >= strong @ supports[0])
-    each = max(1.0, counts[bad[: len(counts)]].sum() / max(1, len(labelled)))
-    weight = np.r_[counts, np.full(len(labelled), each)]
-    known = np.array([[True] * k for _ in patterns] + [[c in cs for c in range(k)] for _, cs in labelled]).reshape(-1, k)
-    q = np.zeros((len(masks), k))
-    best = (strong @ supports.T) == np.maximum(spoken, 0.5)[:, None]
-    best[:, 0] = False
-    q[:, 0] = 1.0
-    q[bad] = np.c_[np.full(bad.sum(), 0.2), 0.8 * best[bad, 1:] / best[bad, 1:].sum(axis=1, keepdims=True)] if k > 1 else 1.0
-    q = (q + 1e-9) * known
-    q /= q.sum(axis=1, keepdims=True)
+    added = _adder(patterns)
+    masks = np.array([v for v, _ in labelled], np.int64)
+    known = np.array([[c in cs for c in range(k)] for _, cs in labelled], bool).reshape(-1, k)
+    bad = added(lambda v, n: np.array([n[_majority(supports, weak, v)[1]].sum()]))[0]
+    weight = np.full(len(labelled), max(1.0, bad / max(1, len(labelled))))
+    rows = masks, weight, known
     alone = [[j] for j in range(m)]
     start = np.where(supports, 0.3, np.where(weak, 0.05, 0.01))
-    model = _em(LabelModel(np.full(k, 1 / k), alone, _joint(alone, start)), masks, weight, known, len(patterns), rounds, _joint(alone, start), q)
-    q = _responsibility(model, masks, known)
+    model = _em(LabelModel(np.full(k, 1 / k), alone, _joint(alone, start)), added, rows, rounds, _joint(alone, start), lambda v: _majority(supports, weak, v)[0])
     fires = np.stack([t[:, 1] for t in model.tables], axis=1)
-    cov = sum(((votes_of - fires[c]) * (weight * q[:, c])[:, None]).T @ (votes_of - fires[c]) for c in range(k))
+    # Sums of (vote - rate) * (vote - rate) over rows and classes, multiplied out.
+    spoken, q = _votes(masks, m), _possible(model.classes(masks), known) * weight[:, None]
+    seen = _masses(added, model, model.classes)
+    mass, fired = seen[0].sum(axis=1) + q.sum(axis=0), np.stack([n[:, 1] for n in seen], axis=1) + q.T @ spoken
+    cov = added(partial(_together, m)).reshape(m, m) + (spoken * weight[:, None]).T @ spoken
+    cov -= fires.T @ fired + fired.T @ fires - (fires * mass[:, None]).T @ fires
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
     corr = cov / np.outer(sd, sd)
     groups = [[j] for j in range(m)]
@@ -111,12 +109,76 @@ def fit_label_model(patterns: Mapping[int, int], labelled: Sequence[tuple[int, S
         if ga is not gb and len(ga) + len(gb) <= 4:
             groups.remove(gb)
             ga += gb
-    joint = _em(LabelModel(model.priors, groups, _joint(groups, fires)), masks, weight, known, len(patterns), rounds, _joint(groups, start))
+    joint = _em(LabelModel(model.priors, groups, _joint(groups, fires)), added, rows, rounds, _joint(groups, start))
     joint.accuracies = (fires * supports).max(axis=0) / ((fires * supports).max(axis=0) + (fires * ~supports).max(axis=0))
     joint.correlations = corr
     return joint
 
 
+def _adder(patterns: Mapping[int, int] | DataFrame) -> Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray]:
+    """Adds up over all patterns what a function makes of their votes and counts: here or, of a frame, on the executors."""
+    if not isinstance(patterns, DataFrame):
+        masks, counts = np.array([*patterns], np.int64), np.array([*patterns.values()], float)
+        return lambda f: sum(f(masks[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, max(1, len(masks)), BLOCK))
+
+    def added(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = sum(f(b.column(0).to_numpy(), b.column(1).to_numpy().astype(float)) for b in batches)
+            if np.ndim(sums):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums, pa.float64())], names=["place", "value"])
+
+        rows = patterns.select("votes", "n").mapInArrow(part, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+        return np.array([r["value"] for r in sorted(rows, key=lambda r: r["place"])])
+
+    return added
+
+
+def _votes(masks: np.ndarray, m: int) -> np.ndarray:
+    return ((masks[:, None] >> np.arange(m)) & 1).astype(float)
+
+
+def _majority(supports: np.ndarray, weak: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each class by a vote of the majority, and whether that is against harmlessness, by row."""
+    k, m = supports.shape
+    strong = _votes(masks, m) * ~weak
+    spoken = (strong @ supports[1:].T).max(axis=1) if k > 1 else np.zeros(len(masks))
+    bad = (spoken > 0) & (spoken >= strong @ supports[0])
+    q = np.zeros((len(masks), k))
+    best = (strong @ supports.T) == np.maximum(spoken, 0.5)[:, None]
+    best[:, 0] = False
+    q[:, 0] = 1.0
+    q[bad] = np.c_[np.full(bad.sum(), 0.2), 0.8 * best[bad, 1:] / best[bad, 1:].sum(axis=1, keepdims=True)] if k > 1 else 1.0
+    q += 1e-9
+    return q / q.sum(axis=1, keepdims=True), bad
+
+
+def _together(m: int, masks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each two of m voters spoke up together."""
+    votes_of = _votes(masks, m)
+    return ((votes_of * counts[:, None]).T @ votes_of).ravel()
+
+
+def _mass(of: Callable[[np.ndarray], np.ndarray], model: LabelModel, masks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each joint vote of each group came in each class, in three parts: multiples of 2^-16, 2^-32 and 2^-48.
+
+    Sums of such over up to 2^37 sentences are exact, so neither order nor parting of the patterns changes them.
+    """
+    q, parts = of(masks), []
+    for bits in (16, 32, 48):
+        parts.append(np.rint(q * 2.0**bits) / 2.0**bits)
+        q = q - parts[-1]
+    weights = np.concatenate(parts, axis=1).T * counts
+    came = np.concatenate([c == np.arange(1 << len(g))[:, None] for g, c in zip(model.groups, model.cells(masks), strict=True)])
+    return (weights @ came.T.astype(float)).ravel()
+
+
+def _masses(added: Callable, model: LabelModel, of: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """Per group of the model the sum over all patterns, by class and joint vote; `of` gives the classes of votes."""
+    k = len(model.priors)
+    found = added(partial(_mass, of, model)).reshape(3, k, -1).sum(axis=0)
+    return np.split(found, np.cumsum([1 << len(g) for g in model.groups])[:-1], axis=1)
+
+
 def _joint(groups: Sequence[Sequence[int]], rates: np.ndarray) -> list[np.ndarray]:
     """Tables of groups whose voters speak up independently at these rates, by class."""
     tables = []
@@ -126,21 +188,22 @@ def _joint(groups: Sequence[Sequence[int]], rates: np.ndarray) -> list[np.ndarra
     return tables
 
 
-def _responsibility(model: LabelModel, masks: np.ndarray, known: np.ndarray) -> np.ndarray:
-    q = model.classes(masks) * known
+def _possible(q: np.ndarray, known: np.ndarray) -> np.ndarray:
+    q = q * known
     return q / q.sum(axis=1, keepdims=True)
 
 
-def _em(model: LabelModel, masks: np.ndarray, weight: np.ndarray, known: np.ndarray, unlabelled: int, rounds: int, prior: list[np.ndarray], q: np.ndarray | None = None) -> LabelModel:
-    """Begins with responsibilities q where given. PRIOR rows distributed as `prior` are added to each class; class priors come from unlabelled rows, a tenth of a row per class added."""
+def _em(model: LabelModel, added: Callable, labelled: tuple[np.ndarray, np.ndarray, np.ndarray], rounds: int, prior: list[np.ndarray], first: Callable[[np.ndarray], np.ndarray] | None = None) -> LabelModel:
+    """Begins with the classes by `first` where given; labelled: votes, weights, possible classes. PRIOR rows distributed as `prior` are added to each class; class priors come from unlabelled rows, a tenth of a row per class added."""
+    masks, weight, known = labelled
     cells, k = model.cells(masks), len(model.priors)
     for _ in range(rounds):
-        mass = (_responsibility(model, masks, known) if q is None else q) * weight[:, None]
-        q, tables = None, []
-        for g, c, before in zip(model.groups, cells, prior, strict=True):
-            n = np.stack([np.bincount(c, mass[:, i], 1 << len(g)) for i in range(k)]) + PRIOR * before
+        of, first, tables = first or model.classes, None, []
+        seen, mass = _masses(added, model, of), _possible(of(masks), known) * weight[:, None]
+        for g, c, n, before in zip(model.groups, cells, seen, prior, strict=True):
+            n = n + np.stack([np.bincount(c, mass[:, i], 1 << len(g)) for i in range(k)]) + PRIOR * before
             tables.append(n / n.sum(axis=1, keepdims=True))
-        free = mass[:unlabelled].sum(axis=0) + 0.1
+        free = seen[0].sum(axis=1) + 0.1
         model = LabelModel(free / free.sum(), model.groups, tables)
     return model
 
@@ -372,7 +435,10 @@ def _tally(seen: DataFrame, sample_rows: int) -> DataFrame:
 
 
 def _patterns(tally: DataFrame) -> dict[int, int]:
-    """Counts of vote patterns, at most PATTERNS: beyond, weak votes are left out of all, then those for harmlessness."""
+    """Counts of vote patterns, at most PATTERNS: beyond, weak votes are left out of all, then those for harmlessness.
+
+    A coarser view only; the label model is fitted on `_every_pattern`.
+    """
     every = (1 << len(NAMES)) - 1
     for left_out in ([], np.flatnonzero(WEAK), np.flatnonzero(WEAK | SUPPORTS[0])):
         told = every - sum(1 << int(j) for j in left_out)
@@ -382,6 +448,15 @@ def _patterns(tally: DataFrame) -> dict[int, int]:
     raise ValueError(f"more than {PATTERNS} patterns of votes")
 
 
+def _every_pattern(tally: DataFrame) -> dict[int, int] | DataFrame:
+    """Counts of all vote patterns; more than AT_ONCE stay a frame (votes, n)."""
+    every = tally.where("codes is null").select("votes", "n")
+    rows = every.limit(AT_ONCE + 1).collect()
+    if len(rows) <= AT_ONCE:
+        return {0: 0} | {r["votes"]: r["n"] for r in rows}
+    return keep(every.repartition(-(-every.count() // AT_ONCE)))
+
+
 def fit(seen: DataFrame, labelled: Sequence[tuple[int, np.ndarray, int]], sample_rows: int = SAMPLE_ROWS) -> tuple[Classifier, LabelModel]:
     """Label model over the votes of all sentences; classifier on distinct ones, taken by hash and weighted by their copies, and the labelled rows.
 
@@ -389,7 +464,7 @@ def fit(seen: DataFrame, labelled: Sequence[tuple[int, np.ndarray, int]], sample
     """
     half = max(1, sample_rows // 2)
     tally = keep(_tally(seen, half))
-    model = fit_label_model(_patterns(tally), [(v, LABELS[c]) for v, _, c in labelled], SUPPORTS, WEAK)
+    model = fit_label_model(_every_pattern(tally), [(v, LABELS[c]) for v, _, c in labelled], SUPPORTS, WEAK)
     sides = [[(r["votes"], np.frombuffer(r["codes"], np.uint16), r["n"]) for r in tally.where(f"codes is not null and spoken = {side}").orderBy("hash", "votes", "codes").limit(half).collect()] for side in ("true", "false")]
     return trained(model, sides, labelled), model
 

@@ -1,6 +1,7 @@
 """Voters, label model and classifier; accuracy on wordings that were left out."""
 
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -203,6 +204,35 @@ def test_more_patterns_than_the_bound_lose_weak_votes_first(spark, monkeypatch):
     assert m._patterns(docs) == {0: 2, 1: 2, 2: 2}
 
 
+def test_scores_do_not_depend_on_how_many_patterns_are_worked_through_at_once(spark, monkeypatch):
+    monkeypatch.setattr(m, "fit_label_model", partial(m.fit_label_model, rounds=4))
+    docs = spark.createDataFrame([*enumerate([*OWN_BAD, *OWN_GOOD, "you", "you lol", None] * 2)], "doc_id bigint, text string").repartition(3)
+    scores = lambda: {r.doc_id: (r.score, r.flagged) for r in m.moderated(docs, spark.read.parquet(SAMPLE), text="text").collect()}
+    want = scores()
+    for bound in ("AT_ONCE", "PATTERNS"):
+        monkeypatch.setattr(m, bound, 16, raising=False)
+    assert scores() == want and len(want) == 104
+
+
+def test_many_patterns_stay_a_frame_that_is_fitted_whole(spark, monkeypatch):
+    rows = [(v, LABELS[c]) for v, _, c in labelled()]
+    counts = Counter(v for v, _ in rows) | Counter({0: 12_345_678})
+    tally = spark.createDataFrame([*[(v, None, n) for v, n in counts.items()], (0, b"", 5)], "votes bigint, codes binary, n bigint")
+    assert m._every_pattern(tally) == counts
+    monkeypatch.setattr(m, "AT_ONCE", 16)
+    frame = m._every_pattern(tally)
+    assert {r.votes: r.n for r in frame.collect()} == counts and frame.rdd.getNumPartitions() == -(-len(counts) // 16) > 2
+    got, want = (m.fit_label_model(x, rows, SUPPORTS, WEAK, rounds=4) for x in (frame, counts))
+    assert got.groups == want.groups and (got.priors == want.priors).all() and all((a == b).all() for a, b in zip(got.tables, want.tables, strict=True))
+
+
+def test_order_of_patterns_does_not_change_the_label_model():
+    rows = [(v, LABELS[c]) for v, _, c in labelled()]
+    counts = list((Counter(v for v, _ in rows) | Counter({0: 12_345_678})).items())
+    one, two = (m.fit_label_model(dict(x), rows, SUPPORTS, WEAK) for x in (counts, counts[::-1]))
+    assert one.groups == two.groups and all((a == b).all() for a, b in zip(one.tables, two.tables, strict=True))
+
+
 def test_texts_read_by_line_are_read_whole():
     for text in ["a [[b|you\nidiot]] c\n<!-- you --> moron", "x <span\nclass=y>fu</span>ck\n\nz", "&lt;b\n&gt;you", "one\n\ntwo. three", "[[a]]\n''b''\n{{c|d}}", "[a\nb]", None, ""]:
         masks, lengths, codes = m.unpacked(m._Looker()(text))
