@@ -1,4 +1,5 @@
 import sqlite3
+from datetime import datetime
 from types import SimpleNamespace
 
 import duckdb
@@ -187,3 +188,29 @@ def rs_create(spark):
     from rootstock import create_rdb
 
     return create_rdb({"u": spark.createDataFrame([(1, 0.5), (2, 1.5)], "id bigint, x double")}, "shop", primary_keys={"u": "id"})
+
+
+def test_duckdb_query_stores_whole_batches(spark, tmp_path, monkeypatch):
+    """A statement a row takes minutes from 100,000 rows on."""
+    import duckdb
+
+    from rootstock.queries import features
+
+    spark.createDataFrame([(k, f"c{k}", k / 2) for k in range(5)], "c_custkey int, c_name string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(k, k % 4, datetime(2024, 1, 1, k % 24), None if k == 7 else k / 4) for k in range(300)]
+    spark.createDataFrame(orders, "o_orderkey int, o_custkey int, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    opened, statements = duckdb.connect, []
+
+    class Counted:
+        def __init__(self, *args, **kwargs):
+            self.inner = opened(*args, **kwargs)
+
+        def __getattr__(self, name):
+            if name in ("execute", "executemany"):
+                return lambda sql, args=(): (statements.extend([sql] * (len(args) if name == "executemany" else 1)), getattr(self.inner, name)(sql, args))[1]
+            return getattr(self.inner, name)
+
+    monkeypatch.setattr(duckdb, "connect", Counted)
+    got = {r.o_orderkey: r.asDict() for r in features.duckdb_source(spark, str(tmp_path)).collect()}
+    assert sum(s.startswith("insert") for s in statements) < 20
+    assert got == {k: {"o_orderkey": k, "c_acctbal": c / 2, "n": 75, "max_price": (296 + c) / 4} for k, c, _, _ in orders}
