@@ -231,13 +231,25 @@ class Compiler:
     # --- running aggregates
 
     def _hot(self, edge: Edge) -> DataFrame | None:
-        """Keys with more than `hot_rows` children, or None if there are none: one counting job per edge."""
-        if edge not in self._known:
+        return self._more(edge, self.hot_rows)
+
+    def _more(self, edge: Edge, most: int) -> DataFrame | None:
+        """Keys with more than `most` children, or None if there are none: one counting job per edge and number."""
+        if (edge, most) not in self._known:
             counts_of = self._rows(edge.child).groupBy(F.col(self._columns(edge.child)[edge.column]).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-            hot = counts_of.where(F.col("k").isNotNull() & (F.col("n") > self.hot_rows)).select("k")
-            found, size = measured(hot)
-            self._known[edge] = None if not found else F.broadcast(hot) if small(found, size) else hot
-        return self._known[edge]
+            more = counts_of.where(F.col("k").isNotNull() & (F.col("n") > most)).select("k")
+            found, size = measured(more)
+            self._known[edge, most] = None if not found else F.broadcast(more) if small(found, size) else more
+        return self._known[edge, most]
+
+    def _by_length(self, rows: DataFrame, probes: DataFrame, edge: Edge, most: int, short: Callable, long: Callable) -> DataFrame:
+        """What short gives for keys with at most `most` children, and long for all others."""
+        if self.strategy == "auto" and most <= self.hot_rows:
+            return long(rows, probes)
+        if (more := self._more(edge, most)) is None:
+            return short(rows, probes)
+        few, many = (lambda df: df.join(more, "k", "left_anti")), (lambda df: df.join(more, "k", "left_semi"))
+        return short(few(rows), few(probes)).unionByName(long(many(rows), many(probes)))
 
     def _fast(self, keys: DataFrame, edge: Edge, linear: list[Aggregate], stepped: list[Aggregate]) -> list[tuple[DataFrame, dict[Feature, str]]]:
         return ([self._linear(keys, edge, linear)] if linear else []) + ([self._stepped(keys, edge, stepped)] if stepped else [])
@@ -250,22 +262,19 @@ class Compiler:
         bases = {b: f"v{i}" for i, b in enumerate(dict.fromkeys(f.base.column for f in mine if f.base is not None))}
         as_int = lambda b: isinstance(child.schema[columns[b]].dataType, T.BooleanType)
         rows = child.select(F.col(columns[edge.column]).alias("k"), F.col(time).alias("t"), *[(F.col(columns[b]).cast("int") if as_int(b) else F.col(columns[b])).alias(v) for b, v in bases.items()]).where("k is not null and t is not null")
-        rows = rows.join(keys.select("k").distinct(), "k", "left_semi")
+        asked = lambda df: df.join(keys.select("k").distinct(), "k", "left_semi")
         probes = keys.select("k", F.col(CUT).alias("t"))
         alias = {f: self._new() for f in mine}
+        # With strategy auto, the keys are few of the children's.
+        some = asked(rows) if self.strategy == "auto" else rows
         running = [f for f in mine if f.primitive.window]
-        tables = [self._running(rows, probes, {f: bases.get(f.base.column) if f.base else None for f in running}, alias)] if running else []
-        counted: dict[str, list[Aggregate]] = {}
-        for f in mine:
-            if f.primitive.kind == "histogram":
-                counted.setdefault(rows.schema[bases[f.base.column]].dataType.simpleString(), []).append(f)
-        tables += [self._running_histograms(rows, probes, {f: bases[f.base.column] for f in same}, alias) for same in counted.values()]
-        for v in dict.fromkeys(bases[f.base.column] for f in mine if f.primitive.share is not None):
-            wanted = {alias[f]: f.primitive.share for f in mine if f.primitive.share is not None and bases[f.base.column] == v}
-            tables.append(self._selected(rows.select("k", "t", F.col(v).cast("double").alias("v")), probes, wanted))
-        out = tables[0]
-        for table in tables[1:]:
-            out = out.join(table, ["k", "t"], "full")
+        tables = [self._running(asked(rows), probes, {f: bases.get(f.base.column) if f.base else None for f in running}, alias)] if running else []
+        if counted := {f: bases[f.base.column] for f in mine if f.primitive.kind == "histogram"}:
+            long = lambda r, p: self._histograms(asked(r), p, counted, alias)
+            tables.append(self._by_length(some, probes, edge, self.bucket_rows, lambda r, p: self._short_histograms(r, p, counted, alias), long))
+        if shares := {f: bases[f.base.column] for f in mine if f.primitive.share is not None}:
+            tables.append(self._quantiles(asked(rows), probes, shares, alias))
+        out = self._side_by_side(tables)
         # Booleans were counted as 0 and 1; what picks one of them gives a boolean again.
         back = [F.col(alias[f]).cast("boolean").alias(alias[f]) if f.base is not None and as_int(f.base.column) and f.primitive.name in PICKS else F.col(alias[f]) for f in mine]
         return out.select("k", F.col("t").alias(CUT), *back), alias
@@ -310,6 +319,48 @@ class Compiler:
         inside = Window.partitionBy(*by, "b").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return both.withColumn("upto", F.sum(n).over(inside)).join(carried, [*by, "b"]).withColumn("upto", F.coalesce("carried", F.lit(0)) + F.col("upto")).drop("b", "carried")
 
+    def _met(self, rows: DataFrame, probes: DataFrame, ranked: list[str]) -> DataFrame:
+        """rows and probes of short keys, all of a key in one partition; r_<c> is how often a row's value of c has come so far, with the row."""
+        both = rows.withColumn("probe", F.lit(False)).unionByName(probes.select("k", "t", F.lit(True).alias("probe")), allowMissingColumns=True).repartition("k")
+        return both.withColumns({f"r_{c}": F.row_number().over(Window.partitionBy("k", c).orderBy("t")) for c in ranked})
+
+    def _short_histograms(self, rows: DataFrame, probes: DataFrame, mine: dict[Aggregate, str], alias: dict[Feature, str]) -> DataFrame:
+        """What `_histograms` gives, by a window per column and one over each key. A column that nobody selects costs nothing."""
+        columns = list(dict.fromkeys(mine.values()))
+        both = self._met(rows.select("k", "t", *columns), probes, columns)
+        # A probe comes before the row of its own instant: strictly earlier.
+        before = Window.partitionBy("k").orderBy("t", F.col("probe").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        weight = lambda x: F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
+        parts = {}
+        for c in columns:
+            r, there = F.col(f"r_{c}").cast("double"), F.col(c).isNotNull()
+            parts |= {f"n_{c}": F.count(c), f"kinds_{c}": F.sum(F.when(there & (r == 1), 1)), f"spread_{c}": F.sum(F.when(there, weight(r) - weight(r - 1))), f"top_{c}": F.min(F.when(there, F.struct((-r).alias("r"), F.col(c).alias("v"))))}
+        met = both.select("k", "t", "probe", *[e.over(before).alias(n) for n, e in parts.items()]).where("probe")
+
+        def value(name: str, c: str) -> Column:
+            n, kinds = F.col(f"n_{c}").cast("double"), F.col(f"kinds_{c}")
+            if name == "mode":
+                return F.col(f"top_{c}.v")
+            return F.when(kinds == 1, F.lit(0.0)).when(n > 0, F.log2(n) - F.col(f"spread_{c}") / n) if name == "discrete_entropy" else kinds
+
+        return met.select("k", "t", *[value(f.primitive.name, c).alias(alias[f]) for f, c in mine.items()])
+
+    def _histograms(self, rows: DataFrame, probes: DataFrame, mine: dict[Aggregate, str], alias: dict[Feature, str]) -> DataFrame:
+        counted: dict[str, dict[Aggregate, str]] = {}
+        for f, c in mine.items():
+            counted.setdefault(rows.schema[c].dataType.simpleString(), {})[f] = c
+        return self._side_by_side([self._running_histograms(rows, probes, same, alias) for same in counted.values()])
+
+    def _quantiles(self, rows: DataFrame, probes: DataFrame, mine: dict[Aggregate, str], alias: dict[Feature, str]) -> DataFrame:
+        wanted = {c: {alias[f]: f.primitive.share for f, own in mine.items() if own == c} for c in dict.fromkeys(mine.values())}
+        return self._side_by_side([self._selected(rows.select("k", "t", F.col(c).cast("double").alias("v")), probes, w) for c, w in wanted.items()])
+
+    def _side_by_side(self, tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for table in tables[1:]:
+            out = out.join(table, ["k", "t"], "full")
+        return out
+
     def _running_histograms(self, rows: DataFrame, probes: DataFrame, mine: dict[Aggregate, str], alias: dict[Feature, str]) -> DataFrame:
         """Mode, entropy and distinct counts of columns of one type, from the number of times that a value has come so far.
 

@@ -223,6 +223,33 @@ def test_windows_and_selection_give_what_the_range_join_gives(spark, monkeypatch
                 assert (x is None) == (y is None) and (x == y or (isinstance(y, float) and x == pytest.approx(y, rel=1e-6, abs=1e-6, nan_ok=True))), (engine, i, n, x, y)
 
 
+def short_histories(spark):
+    """Keys with few children each, with ties of time and value, NULLs, NaN and a key without children; cutoffs at the children's own instants."""
+    r = random.Random(31)
+    moment = lambda: T0 + timedelta(minutes=r.randrange(12))
+    kids = [(f"p{r.randrange(20)}", moment(), r.choice([None, math.nan, 0.5, 0.5, r.uniform(-3, 3)]), r.choice([None, "x", "x", "y"]), r.choice([None, True, False])) for _ in range(200)] + [("p20", T0, None, None, None)]
+    child = spark.createDataFrame(kids, "p string, at timestamp_ntz, v double, c string, f boolean")
+    parents = spark.createDataFrame([(f"p{k}",) for k in range(22)], "id string")
+    rdb = rs.create_rdb({"p": parents, "kid": child}, primary_keys={"p": "id"}, foreign_keys=[("kid", "p", "p", "id")], time_columns={"kid": "at"}, type_hints={"kid": {"v": "float", "f": "float", "c": "category"}})
+    return rdb, spark.createDataFrame([(k, f"p{k % 23}", moment() if k % 9 else None) for k in range(150)], "i int, p string, cut timestamp_ntz")
+
+
+def same_by_windows(spark, primitives):
+    rdb, target = short_histories(spark)
+    got = {e: {x.i: x.asDict() for x in rs.compute_features(rdb, target, {"p": "p.id"}, "cut", config_overrides={"agg_primitives": primitives, "engine": e}).collect()} for e in ("range", "window")}
+    for i, want in got["range"].items():
+        for n, y in want.items():
+            x = got["window"][i][n]
+            assert type(x) is type(y) and (x == y or (isinstance(y, float) and x == pytest.approx(y, rel=1e-9, abs=1e-9, nan_ok=True))), (i, n, x, y)
+
+
+def test_histograms_of_short_keys_need_no_count_per_value_and_bucket(spark, monkeypatch):
+    from rootstock.plans import compile as c
+
+    monkeypatch.setattr(c.Compiler, "_upto", lambda *_: pytest.fail("running counts by value and time bucket"))
+    same_by_windows(spark, ["nunique", "num_unique", "mode", "discrete_entropy"])
+
+
 def test_nested_aggregates_in_steps_give_what_the_range_join_gives(spark):
     tables = random_tables(21)
     r = random.Random(22)
