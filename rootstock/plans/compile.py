@@ -30,6 +30,8 @@ CUT = "__cut"
 AGGREGATES_AT_ONCE = 200
 #: Parts that a full time bucket, or the values of a key, are split into.
 SPLITS = 64
+#: Quantiles of keys with at most so many children come from a running list of values.
+LISTED = 256
 #: Primitives that give one of the values that they see.
 PICKS = ("min", "max", "first", "last", "any_value", "mode")
 
@@ -273,7 +275,8 @@ class Compiler:
             long = lambda r, p: self._histograms(asked(r), p, counted, alias)
             tables.append(self._by_length(some, probes, edge, self.bucket_rows, lambda r, p: self._short_histograms(r, p, counted, alias), long))
         if shares := {f: bases[f.base.column] for f in mine if f.primitive.share is not None}:
-            tables.append(self._quantiles(asked(rows), probes, shares, alias))
+            long = lambda r, p: self._quantiles(asked(r), p, shares, alias)
+            tables.append(self._by_length(some, probes, edge, min(LISTED, self.bucket_rows), lambda r, p: self._short_quantiles(r, p, shares, alias), long))
         out = self._side_by_side(tables)
         # Booleans were counted as 0 and 1; what picks one of them gives a boolean again.
         back = [F.col(alias[f]).cast("boolean").alias(alias[f]) if f.base is not None and as_int(f.base.column) and f.primitive.name in PICKS else F.col(alias[f]) for f in mine]
@@ -345,6 +348,22 @@ class Compiler:
 
         return met.select("k", "t", *[value(f.primitive.name, c).alias(alias[f]) for f, c in mine.items()])
 
+    def _short_quantiles(self, rows: DataFrame, probes: DataFrame, mine: dict[Aggregate, str], alias: dict[Feature, str]) -> DataFrame:
+        """What `_selected` gives, from the sorted list of a key's values so far."""
+        columns = list(dict.fromkeys(mine.values()))
+        both = self._met(rows.select("k", "t", *[F.col(c).cast("double").alias(c) for c in columns]), probes, [])
+        before = Window.partitionBy("k").orderBy("t", F.col("probe").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        met = both.select("k", "t", "probe", *[F.collect_list(c).over(before).alias(c) for c in columns]).where("probe")
+        # NaN comes after all numbers.
+        met = met.select("k", "t", *[F.sort_array(c).alias(c) for c in columns])
+
+        def value(c: str, q: float) -> Column:
+            at = F.lit(q) * (F.size(c) - 1)
+            low, high = F.get(c, F.floor(at).cast("int")), F.get(c, F.ceil(at).cast("int"))
+            return F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
+
+        return met.select("k", "t", *[value(c, f.primitive.share).alias(alias[f]) for f, c in mine.items()])
+
     def _histograms(self, rows: DataFrame, probes: DataFrame, mine: dict[Aggregate, str], alias: dict[Feature, str]) -> DataFrame:
         counted: dict[str, dict[Aggregate, str]] = {}
         for f, c in mine.items():

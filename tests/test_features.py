@@ -250,6 +250,13 @@ def test_histograms_of_short_keys_need_no_count_per_value_and_bucket(spark, monk
     same_by_windows(spark, ["nunique", "num_unique", "mode", "discrete_entropy"])
 
 
+def test_quantiles_of_short_keys_write_no_rounds(spark, monkeypatch):
+    from rootstock.plans import compile as c
+
+    monkeypatch.setattr(c, "keep", lambda _: pytest.fail("rounds of selection, written to the shared folder"))
+    same_by_windows(spark, ["quantile_25", "median", "quantile_90"])
+
+
 def test_nested_aggregates_in_steps_give_what_the_range_join_gives(spark):
     tables = random_tables(21)
     r = random.Random(22)
